@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact, media, secrets, urls
-from pulseframe.llm.common import documents, text_or_empty
+from pulseframe.llm import bpe, exact, media, mixing, secrets, simhash, tokens, urls
+from pulseframe.llm.common import documents, scratch, text_or_empty
 
 
 def hex_sha256(c) -> F.Column:
@@ -87,3 +87,24 @@ ORACLES = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
 }
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "tokens")
+    tokens.write_tokens(documents(spark, sf_dir), at)
+    read = tokens.read_tokens(spark, at).select("shard", "block", "doc_id", "ahead", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    read = read.join(tokens.block_starts(spark, at), ["shard", "block"])
+    return read.select("doc_id", (F.col("first") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+QUERIES |= {"op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash}
+ORACLES |= {"op7_mixing": mixing.MIX_SQL}
