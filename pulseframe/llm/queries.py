@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact, media, mixing, secrets, simhash, tokens, urls
+from pulseframe.llm import bpe, exact, media, mixing, quality, secrets, simhash, tokens, urls
 from pulseframe.llm.common import documents, scratch, text_or_empty
 
 
@@ -108,3 +108,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash}
 ORACLES |= {"op7_mixing": mixing.MIX_SQL}
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES |= {"op10_quality": op10_quality}
