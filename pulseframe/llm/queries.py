@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact, media, mixing, quality, secrets, simhash, tokens, urls
+from pulseframe.llm import bpe, exact, media, mixing, quality, repeats, secrets, simhash, tokens, urls
 from pulseframe.llm.common import documents, scratch, text_or_empty
 
 
@@ -115,3 +115,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_quality": op10_quality}
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(documents(spark, sf_dir))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES |= {"op8_suffix_array_dedup": op8_suffix_array_dedup}
