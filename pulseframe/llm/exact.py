@@ -117,3 +117,15 @@ def duplicate_groups(
     rest = plain.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
     stay = plain.filter(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", first == 1)
     return rest.unionByName(stay).drop("_key").withColumnRenamed("id", id_column)
+
+
+def keep_distinct(df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of df that duplicate_groups keeps, with their columns."""
+    groups = duplicate_groups(df, id_column, text, keep)
+    dropped = materialize(groups.filter(~F.col("kept")).select(F.col(id_column).alias("_id"), F.col("digest").alias("_digest"), F.col(id_column).eqNullSafe(F.col("keep_id")).alias("_repeat")), "dropped")
+    digest = sha256(text_or_empty(df[text]))
+    others = dropped.filter(~F.col("_repeat")).distinct()
+    rest = df.join(others, df[id_column].eqNullSafe(others["_id"]) & (digest == others["_digest"]), "left_anti")
+    if dropped.filter("_repeat").isEmpty():
+        return rest
+    return rest.dropDuplicates([id_column, text])  # rows that repeat both their id and their text

@@ -73,6 +73,22 @@ def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", text:
     return dealt.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), "extra", taken.alias("taken"))
 
 
+def repeat_rows(df: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of df, each as often as the mix takes it, with their columns.
+
+    Texts stay whole: the one document in a bucket that mix takes in part is taken
+    whole if at least half of it is due, else not once more. Rows that no word is
+    taken of go; rows with the same id, source and size are taken alike.
+    """
+    shares = mix(df, id_column, source, text, weights, max_epochs, seed)
+    copies = (F.col("whole") + (F.col("extra") * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("long")).alias("_copies")
+    shares = materialize(shares.filter("taken > 0").select(F.col(id_column).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies), "copies")
+    shares = shares.groupBy("_id", "_source", "_size").agg(F.max("_copies").alias("_copies"))
+    same = df[id_column].eqNullSafe(shares["_id"]) & df[source].eqNullSafe(shares["_source"]) & (word_count(df[text]) == shares["_size"])
+    taken = df.join(shares, same).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*(df[c] for c in df.columns))
+
+
 MIX_SQL = f"""
     WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
     per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source),

@@ -154,13 +154,25 @@ def score(features: DataFrame, model: Model, column: str = "features", out: str
     return features.withColumn(out, scores(F.col(column)))
 
 
+def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> tuple[Model, DataFrame]:
+    """The model, and the written table (id, features) of all rows of df."""
+    known = materialize(with_features(df.select(F.col(id_column).alias("id"), text), text).select("id", "features"), "features")
+    return train(known, labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")), max_rows), known
+
+
 def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """One row per row of df: id, held_out, score (0 to 1), predicted (1 from 0.5).
 
     Null texts count as empty; every row gets a score. Equal texts get equal scores.
     An empty df gives no rows.
     """
-    known = materialize(with_features(df.select(F.col(id_column).alias("id"), text), text).select("id", "features"), "features")
-    model = train(known, labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")), max_rows)
+    model, known = fit(df, labels, id_column, text, label_column, max_rows)
     scored = score(known, model)
     return scored.select(F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The rows of df that the classifier accepts, with their columns; no text is shuffled."""
+    model, _ = fit(df, labels, id_column, text, label_column, max_rows)
+    scored = score(with_features(df, text, "_features"), model, "_features", "_score")
+    return scored.filter(F.col("_score") >= 0.5).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -112,17 +112,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of df: id, fingerprint (long), component_id.
+    """One row per row of df: id, row (hash of the text), fingerprint (long), component_id, kept.
 
     component_id is the smallest id among the documents reachable over links, itself
-    included; nulls are passed over. Texts without words share fingerprint 0 and
-    link like any other. Equal fingerprints are one node, so copies meet no pairs.
-    An empty df gives no rows.
+    included; nulls are passed over. Of each component the row with the smallest id
+    is kept (null ids last; of rows with one id that with the smallest row). Texts
+    without words, null ones too, share fingerprint 0 and link like any other. Equal
+    fingerprints are one node, so copies meet no pairs. An empty df gives no rows.
     """
-    prints = materialize(simhash(df.select(F.col(id_column).alias("id"), text), text, "print", shingle).select("id", "print"), "prints")
-    nodes = materialize(prints.groupBy("print").agg(F.min("id").alias("least_id")), "nodes")
-    found = components(links(nodes.select("print"), max_bits))
-    named = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "least_id", F.coalesce("least", "print").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = materialize(named.join(ids, "component").select("print", "component_id"), "named")
-    return prints.join(named, "print").select(F.col("id").alias(id_column), F.col("print").alias("fingerprint"), "component_id")
+    rows = df.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text")).withColumn("row", F.xxhash64("text"))
+    prints = materialize(simhash(rows, "text", "print", shingle).select("id", "row", "print"), "prints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    nodes = materialize(prints.groupBy("print").agg(least.alias("least")), "nodes")
+    found = components(links(nodes.select("print"), max_bits)).withColumnRenamed("least", "component")
+    named = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    named = materialize(named.join(first, "component").select("print", "first"), "named")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))
+    return prints.join(named, "print").select(F.col("id").alias(id_column), "row", F.col("print").alias("fingerprint"), F.col("first.id").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of df of which near_duplicates keeps one a component, with their columns.
+
+    Rows with the same id and text, of which there are none after exact dedup, are kept together.
+    """
+    dropped = near_duplicates(df, id_column, text, shingle, max_bits).filter(~F.col("kept")).select(F.col(id_column).alias("_id"), F.col("row").alias("_row")).distinct()
+    dropped = materialize(dropped, "dropped")
+    gone = df[id_column].eqNullSafe(dropped["_id"]) & (F.xxhash64(text_or_empty(df[text])) == dropped["_row"])
+    return df.join(dropped, gone, "left_anti")
