@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import materialize, scratch, text_or_empty
+from pulseframe.llm.common import materialize, scratch, shuffle_files_go_at_the_end, text_or_empty
 
 #: Bits of the filter. Its rows are words of 64 bits, so 2**18 rows of 16 bytes at most: it can always be broadcast.
 FILTER_BITS = 24
@@ -34,13 +34,13 @@ class DigestIndex:
     def flush(self, rows: DataFrame, memtables: int = MEMTABLES) -> None:
         """Aggregate rows (digest, id) in memtables and write each as a run in order of its digests."""
         path = scratch(self.spark, "run")
-        (
+        run = (
             rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(memtables)).alias("memtable"), "digest")
             .agg(F.min("id").alias("least_id"), F.max("id").alias("largest_id"), F.count(F.lit(1)).alias("n"))
             .sortWithinPartitions("memtable", "digest")
-            .write.partitionBy("memtable")
-            .parquet(path)
         )
+        with shuffle_files_go_at_the_end(self.spark):
+            run.write.partitionBy("memtable").parquet(path)
         self.runs.append(path)
 
     def compact(self) -> DataFrame:
@@ -54,7 +54,8 @@ class DigestIndex:
             .sortWithinPartitions("digest")
         )
         path = scratch(self.spark, "compacted")
-        merged.write.parquet(path)
+        with shuffle_files_go_at_the_end(self.spark):
+            merged.write.parquet(path)
         self.runs = [path]
         return self.spark.read.parquet(path)
 

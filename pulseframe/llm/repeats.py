@@ -23,13 +23,11 @@ rows from each task.
 
 from __future__ import annotations
 
-import gc
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +134,12 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c if c.dtype == np.int64 else c.view(np.int64)) for c in columns], _NAMES)
 
 
+def _by_document(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """In order of documents, so that what their rows share is packed well in the shuffle."""
+    order = np.lexsort((columns[2], columns[3]))
+    return _batch([c[order] for c in columns])
+
+
 def _scatter(doc: np.ndarray, loc: np.ndarray) -> np.ndarray:
     """Keys for rows that need no partner: they are dealt out evenly."""
     return _mix(doc.view(np.uint64), loc.view(np.uint64))
@@ -161,7 +165,7 @@ def own_comparison(rank: np.ndarray, pair: np.ndarray, loc: np.ndarray, doc: np.
         marks = heads[many]
         key, pair, loc, doc, row = (np.concatenate([a, b[marks]]) for a, b in ((key, rank), (pair, pair), (loc, loc), (doc, doc), (row, row)))
         kind = np.concatenate([kind, np.full(len(marks), MARK)])
-    return _batch([key, pair, loc, doc, row, kind])
+    return _by_document([key, pair, loc, doc, row, kind])
 
 
 def rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,7 @@ def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = np.where(doc > least, REMOVED, COMPARE)
             alone = kind == REMOVED
             rank[alone] = _scatter(doc[alone], loc[alone])
-            yield _batch([rank, second, loc, doc, row, kind])
+            yield _by_document([rank, second, loc, doc, row, kind])
 
 
 def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +299,6 @@ def cut(text: bytes, locs: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), spans
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished rounds now: it acts when the driver's garbage goes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 SPANS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 _SPANS = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -325,18 +323,16 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     Texts under SPAN bytes stay whole. Other columns of df are ignored. An empty df
     gives no rows.
     """
-    spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty(text).alias("text"))
-    docs = docs.select("doc", F.xxhash64("text").alias("row"), "text")
+    shared = not docs.groupBy("doc").count().filter("count > 1").isEmpty()  # only then an id doesn't tell a row
+    docs = docs.select("doc", (F.xxhash64("text") if shared else F.lit(0).cast("long")).alias("row"), "text")
     long_enough = docs.filter(F.octet_length("text") >= SPAN)
 
     anchors = long_enough.mapInArrow(rank_anchors, ROWS)
     runs = materialize(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(settle_runs, ROWS).select("doc", "row", "loc", "kind"), "runs")
-    release(spark)
     unsettled = runs.filter(F.col("kind") == UNSETTLED).groupBy("doc", "row").agg(F.collect_set("loc").alias("locs"))
     windows = long_enough.join(unsettled, ["doc", "row"]).select("doc", "row", "text", "locs").mapInArrow(rank_windows, ROWS)
     single = materialize(windows.repartition("key").sortWithinPartitions("key").mapInArrow(settle_windows, ROWS).select("doc", "row", "loc"), "windows")
-    release(spark)
     removed = runs.filter(F.col("kind") == REMOVED).select("doc", "row", "loc").unionByName(single)
     removed = removed.groupBy("doc", "row").agg(F.collect_list("loc").alias("locs"))
     done = docs.join(removed, ["doc", "row"], "left").select("doc", _cut("text", "locs").alias("x"))

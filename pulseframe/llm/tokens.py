@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseframe.llm.bpe import VOCABULARY, ChunkedEncoder
-from pulseframe.llm.common import text_or_empty
+from pulseframe.llm.common import shuffle_files_go_at_the_end, text_or_empty
 
 END_ID = 2
 #: A block is closed once it has so many ids; a document is never split.
@@ -178,7 +178,8 @@ def write_tokens(df: DataFrame, to: str, id_column: str = "doc_id", text: str =
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text).alias("text"))
     sorted_rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    sorted_rows.mapInArrow(build, BLOCKS).write.option("compression", "zstd").parquet(to)
+    with shuffle_files_go_at_the_end(df.sparkSession):
+        sorted_rows.mapInArrow(build, BLOCKS).write.option("compression", "zstd").parquet(to)
 
 
 def read_tokens(spark: SparkSession, at: str) -> DataFrame:
