@@ -38,6 +38,8 @@ PER_WINDOW = SPAN - GRAM + 1
 SIDE = (SPAN - GRAM + 1) // 2
 #: Bytes of text that are handled at once, and the longest piece of a text; pieces overlap by SPAN - 1.
 CHUNK, PIECE = 1 << 20, 1 << 22
+#: Rows that a task compares among themselves at a time.
+COMPARED = 1 << 20
 #: Different runs of one rank in a task from which all go to round 3.
 MANY_RUNS = 64
 #: What a row is: to be compared, already known to be removed, a mark that its rank has very many runs, and bound for round 3.
@@ -97,8 +99,8 @@ def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - size)], a[width - size:]) if size < width else a
 
 
-def runs_of(pieces: list[bytes]) -> tuple[Bytes, np.ndarray, ...]:
-    """Runs of windows with one anchor: their bytes, the piece, first window and number of windows of each, and the ranks of round 1 and 2."""
+def runs_of(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: the piece, first window, distance of the anchor from it and number of windows of each, and the ranks of round 1 and 2."""
     data = Bytes(b"".join(pieces))
     lengths = np.array([len(p) for p in pieces])
     ends = np.cumsum(lengths)
@@ -109,7 +111,7 @@ def runs_of(pieces: list[bytes]) -> tuple[Bytes, np.ndarray, ...]:
     windows = np.flatnonzero(np.arange(SPAN, SPAN + len(anchors)) <= ends[piece])
     if not len(windows):
         none = np.zeros(0, np.int64)
-        return data, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     anchors = anchors[windows]
     first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     count = np.diff(np.concatenate([first, [len(windows)]]))
@@ -117,7 +119,7 @@ def runs_of(pieces: list[bytes]) -> tuple[Bytes, np.ndarray, ...]:
     run = _mix(_mix(data.spans(start), data.spans(start + count - 1)), count.astype(np.uint64))
     pair = (run & ~np.uint64(0xFFFF)) | data.side(anchor - SIDE) << np.uint64(8) | data.side(anchor + GRAM)
     at = piece[start].astype(np.int64)
-    return data, at, start - (ends - lengths)[at], count, grams[anchor], pair
+    return at, start - (ends - lengths)[at], anchor - start, count, grams[anchor], pair
 
 
 def pieces_of(text: bytes) -> list[tuple[int, bytes]]:
@@ -126,6 +128,11 @@ def pieces_of(text: bytes) -> list[tuple[int, bytes]]:
     return [(at, text[at:at + PIECE + SPAN - 1]) for at in range(0, len(text), PIECE)]
 
 
+def location(start: np.ndarray, anchor: np.ndarray | int, count: np.ndarray | int) -> np.ndarray:
+    """A run's first window, the distance of its anchor from there, and its windows, in one number."""
+    return start << 16 | anchor << 8 | count
+
+
 ROWS = "key long, pair long, loc long, doc long, row long, kind long"
 _NAMES = ["key", "pair", "loc", "doc", "row", "kind"]
 
@@ -173,9 +180,9 @@ def rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, held = [], 0, []
 
         def flush() -> None:
-            _, at, start, count, rank, pair = runs_of([p for *_, p in held])
+            at, start, anchor, count, rank, pair = runs_of([p for *_, p in held])
             doc, row, base = (np.array([h[k] for h in held], np.int64)[at] for k in range(3))
-            parts.append((rank, pair, (start + base) << 8 | count, doc, row))
+            parts.append((rank, pair, location(start + base, anchor, count), doc, row))
 
         for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             for base, piece in pieces_of(text.as_py().encode()):
@@ -185,6 +192,9 @@ def rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if size >= CHUNK:
                         flush()
                         size, held = 0, []
+                        if sum(len(x[0]) for x in parts) >= COMPARED:
+                            yield own_comparison(*(np.concatenate(c) for c in zip(*parts)))
+                            parts.clear()
         if held:
             flush()
         if parts:
@@ -231,6 +241,7 @@ def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = d[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             removed = d > least
             unsettled = mark & ~removed
+            sides = []
             for shift in (8, 0):
                 side = p >> np.uint64(shift) & np.uint64(0xFF)
                 by = np.lexsort((side, k))
@@ -240,7 +251,16 @@ def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 differ = (_of_group(r, heads, group, np.minimum) != _of_group(r, heads, group, np.maximum)) & (_of_group(e, heads, group, np.minimum) != _of_group(e, heads, group, np.maximum))
                 hit = np.zeros(len(k), bool)
                 hit[by] = differ
+                sides.append(hit)
                 unsettled |= hit & ~removed
+            # A window shared with others has SIDE bytes or more ahead of the anchor, or else behind its GRAM bytes.
+            at = loc[index]
+            anchor, count = at >> 8 & 0xFF, at & 0xFF
+            ahead = np.clip(anchor - SIDE + 1, 0, count)  # windows that reach so far ahead
+            begin = np.where(mark | sides[0], 0, np.minimum(np.maximum(anchor - SIDE, 0), count))
+            end = np.where(mark | sides[1], count, ahead)
+            loc = loc.copy()
+            loc[index] = np.where(unsettled, location((at >> 16) + begin, 0, np.maximum(end - begin, 0)), at)
             kind = kind.copy()
             kind[index[removed]] = REMOVED
             kind[index[unsettled]] = UNSETTLED
@@ -252,25 +272,32 @@ def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Round 3: the windows of the runs in the column locs, as rows of one window each."""
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def compared() -> pa.RecordBatch:
+        rank, second, loc, doc, row = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((doc, second, rank))
+        rank, second, loc, doc, row = (c[order] for c in (rank, second, loc, doc, row))
+        fresh = np.concatenate([[True], (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])])
+        kind = np.where(doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1], REMOVED, COMPARE)
+        alone = kind == REMOVED
+        rank[alone] = _scatter(doc[alone], loc[alone])
+        parts.clear()
+        return _by_document([rank, second, loc, doc, row, kind])
+
     for batch in batches:
-        parts = []
         for doc, row, text, locs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             loc = locs.values.to_numpy()
             count = loc & 0xFF
-            at = np.repeat(loc >> 8, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            if not (n := int(count.sum())):
+                continue
+            at = np.repeat(loc >> 16, count) + np.arange(n) - np.repeat(np.cumsum(count) - count, count)
             data = Bytes(text.as_py().encode())
-            same = np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64)
-            parts.append((data.spans(at), data.spans(at, 1), at << 8 | 1, *same))
+            parts.append((data.spans(at), data.spans(at, 1), location(at, 0, 1), np.full(n, doc, np.int64), np.full(n, row, np.int64)))
+            if sum(len(p[0]) for p in parts) >= COMPARED:
+                yield compared()
         if parts:
-            rank, second, loc, doc, row = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((doc, second, rank))
-            rank, second, loc, doc, row = (c[order] for c in (rank, second, loc, doc, row))
-            fresh = np.concatenate([[True], (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])])
-            least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            kind = np.where(doc > least, REMOVED, COMPARE)
-            alone = kind == REMOVED
-            rank[alone] = _scatter(doc[alone], loc[alone])
-            yield _by_document([rank, second, loc, doc, row, kind])
+            yield compared()
 
 
 def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,11 +314,11 @@ def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def cut(text: bytes, locs: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of the text, and the removed spans, from (first window << 8 | windows)."""
+    """What is left of the text, and the removed spans, from the runs' locations."""
     if not len(locs):
         return text, []
     locs = np.sort(locs)
-    start, end = locs >> 8, (locs >> 8) + (locs & 0xFF) + SPAN - 1
+    start, end = locs >> 16, (locs >> 16) + (locs & 0xFF) + SPAN - 1
     reach = np.maximum.accumulate(end)
     fresh = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
     spans = list(zip(start[fresh].tolist(), reach[np.concatenate([fresh[1:] - 1, [len(locs) - 1]])].tolist()))
