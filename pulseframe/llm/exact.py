@@ -29,7 +29,7 @@ class DigestIndex:
     """Runs of (digest, least_id, largest_id, n) in one folder, merged on compaction."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.runs = spark, []
+        self.spark, self.runs, self.schema = spark, [], None
 
     def flush(self, rows: DataFrame, memtables: int = MEMTABLES) -> None:
         """Aggregate rows (digest, id) in memtables and write each as a run in order of its digests."""
@@ -42,13 +42,14 @@ class DigestIndex:
         with shuffle_files_go_at_the_end(self.spark):
             run.write.partitionBy("memtable").parquet(path)
         self.runs.append(path)
+        self.schema = run.drop("memtable").schema
 
     def compact(self) -> DataFrame:
         """One sorted run of all: per digest the smallest and largest identifier and the number of rows."""
         if not self.runs:
             raise ValueError("nothing was flushed")
         merged = (
-            reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self.runs])
+            reduce(DataFrame.unionByName, [self.spark.read.schema(self.schema).parquet(p) for p in self.runs])
             .groupBy("digest")
             .agg(F.min("least_id").alias("least_id"), F.max("largest_id").alias("largest_id"), F.sum("n").alias("n"))
             .sortWithinPartitions("digest")
@@ -57,7 +58,7 @@ class DigestIndex:
         with shuffle_files_go_at_the_end(self.spark):
             merged.write.parquet(path)
         self.runs = [path]
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
 
 
 def bit_of(digest: Column, bits: int) -> Column:

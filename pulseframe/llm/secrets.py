@@ -38,14 +38,14 @@ def suspect_windows(text: str, window: int, least_bits: float) -> list[tuple[int
     count: dict[str, int] = {}
     total, spans = 0.0, []
     for i, c in enumerate(text):
-        n = count.get(c, 0)
-        count[c] = n + 1
-        total += term[n + 1] - term[n]
         if i >= window:
             gone = text[i - window]
             n = count[gone]
             count[gone] = n - 1
             total += term[n - 1] - term[n]
+        n = count.get(c, 0)
+        count[c] = n + 1
+        total += term[n + 1] - term[n]
         if i >= window - 1 and total <= most:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
