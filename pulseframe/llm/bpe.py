@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,9 @@ from pulseframe.llm.common import text_or_empty
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 NO_PAIR = 1 << 62
 #: Words that a worker keeps, in each of two generations.
-CACHED = 400_000
+CACHED = 300_000
+#: Characters of text whose new words are encoded together.
+BLOCK = 1 << 22
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -99,6 +102,63 @@ def merge_all(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]])
     return [s for s in symbols if s >= 0]
 
 
+class MergeTable:
+    """Ranks and results of the mergeable pairs, as sorted arrays."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
+        keys = np.array([a << 20 | b for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], -1)
+        self.rank, self.into = (np.array([v[k] for v in ranks.values()], np.int64)[order] for k in (0, 1))
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each pair, and whether it can be merged."""
+        keys = left << 20 | right
+        at = np.searchsorted(self.keys[:-1], keys)
+        return at, (self.keys[at] == keys) & (left >= 0) & (right >= 0)
+
+
+def merge_many(rows: list[list[int]], table: MergeTable) -> list[np.ndarray]:
+    """merge_all of many short rows, whose trees grow and shrink side by side: row w of each array is one word's."""
+    n = max(map(len, rows))
+    size = 1 << max(1, (n - 1).bit_length())
+    count = len(rows)
+    lengths = np.array([len(r) for r in rows])
+    symbols = np.full((count, n + 1), -1, np.int64)
+    symbols[np.arange(n + 1)[None, :] < lengths[:, None]] = np.concatenate([np.array(r, np.int64) for r in rows])
+    right = np.tile(np.arange(1, n + 2), (count, 1))
+    left = np.tile(np.arange(-1, n), (count, 1))
+    tree = np.full((count, 2 * size), NO_PAIR, np.int64)
+
+    def leaf(w: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        at, good = table.find(symbols[w, i], symbols[w, j])
+        tree[w, size + i] = np.where(good, table.rank[np.where(good, at, 0)] << 32 | i, NO_PAIR)
+
+    for i in range(n - 1):
+        leaf(np.arange(count), np.full(count, i), np.full(count, i + 1))
+    for i in range(size - 1, 0, -1):
+        tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
+    while len(w := np.flatnonzero(tree[:, 1] != NO_PAIR)):
+        i = tree[w, 1] & 0xFFFFFFFF
+        j = right[w, i]
+        at, _ = table.find(symbols[w, i], symbols[w, j])
+        symbols[w, i] = table.into[at]
+        symbols[w, j] = -1
+        after = right[w, i] = np.minimum(right[w, j], n)
+        left[w, after] = i
+        tree[w, size + j] = NO_PAIR
+        leaf(w, i, after)
+        before = left[w, i]
+        has = before >= 0
+        leaf(w[has], before[has], i[has])
+        for changed in (j, i, np.where(has, before, i)):
+            k = (size + changed) >> 1
+            while k[0]:
+                tree[w, k] = np.minimum(tree[w, 2 * k], tree[w, 2 * k + 1])
+                k >>= 1
+    return [r[r >= 0] for r in symbols]
+
+
 #: A chunk that begins or ends with one of these isn't separate from its neighbours.
 _SPACE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎    　﻿" + "".join(map(chr, range(0x2000, 0x2010))))
 
@@ -115,20 +175,63 @@ def _letters(s: str) -> bool:
     return s.isalpha() and max(s) < "\u0250"
 
 
+_WORDS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 class ChunkedEncoder:
     """Token ids of whole texts, as packed 32-bit integers.
 
     A single space between two characters that aren't white space always begins a
     word, so the pieces between such spaces are encoded one by one and kept; texts
-    with other white space beside a space are encoded at once.
+    with other white space beside a space are encoded at once. The words that a block of
+    texts needs and that aren't kept are encoded together.
     """
 
-    def __init__(self, encode_whole, encode_word):
-        self.encode_whole, self.encode_word = encode_whole, encode_word  # str -> list of ids
+    def __init__(self, encode_whole, encode_words, kept: int = CACHED):
+        self.encode_whole, self.encode_words = encode_whole, encode_words  # str -> ids; words -> packed ids of each
+        self.ready: dict[str, bytes] = {}
+        self.tails = TwoGenerations(lambda s: (self._word(s), len(s) < 9))
         self.line_end = _packed(encode_whole("\n"))
-        self.spaced = TwoGenerations(lambda s: self._piece(s, " "))
+        self.spaced = TwoGenerations(lambda s: self._piece(s, " "), kept)
         self.bare = TwoGenerations(lambda s: self._piece(s, ""))
 
+    def _word(self, word: str) -> bytes:
+        return self.ready.get(word) or self.encode_words([word])[0]
+
+    def prepare(self, texts: list[str]) -> None:
+        """Encode the words of the texts that aren't kept."""
+        parts = set()
+        for t in texts:
+            parts.update(t.split(" "))
+        spaced, bare, old_spaced, old_bare = self.spaced, self.bare, self.spaced.old, self.bare.old
+        words = set()
+        for part in parts:
+            if part in spaced or part in old_spaced:
+                continue
+            for m in _WORDS.finditer(part):
+                if m.start():
+                    if (w := m.group()) not in bare and w not in old_bare:
+                        words.add(w)
+                elif (w := m.group()) not in spaced and w not in old_spaced:
+                    words.add(" " + w)
+        listed = [w for w in words if len(w) < 30]
+        self.ready = dict(zip(listed, self.encode_words(listed))) if listed else {}
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """packed of each text, block by block."""
+        out, block, size = [], [], 0
+        for t in texts:
+            block.append(t)
+            size += len(t)
+            if size >= BLOCK:
+                self.prepare(block)
+                out += map(self.packed, block)
+                block, size = [], 0
+        self.prepare(block)
+        out += map(self.packed, block)
+        self.ready = {}
+        return out
+
     def _piece(self, part: str, ahead: str) -> tuple[bytes, bool]:
         """Of part after the space ahead or a line end, and whether to keep it.
 
@@ -139,9 +242,9 @@ class ChunkedEncoder:
         if not part or part[0] in _SPACE or part[-1] in _SPACE:
             return b"!", True
         if _letters(part):
-            return _packed(self.encode_word(ahead + part)), len(part) < 60
+            return self._word(ahead + part), len(part) < 60
         if (word := part.rstrip(_PUNCTUATION)) and _letters(word):
-            return (self.spaced if ahead else self.bare)[word] + self.bare[part[len(word):]], False
+            return (self.spaced if ahead else self.bare)[word] + self.tails[part[len(word):]], len(part) < 8
         if "\n" in part:
             first, *rest = part.split("\n")
             parts = [(self.spaced if ahead else self.bare)[first], *(self.bare[p] for p in rest)]
@@ -176,7 +279,24 @@ class SegmentTreeBPE:
         pieces = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.encoder = ChunkedEncoder(self.encode, self.encode_word)
+        self.table = MergeTable(self.ranks)
+        self.encoder = ChunkedEncoder(self.encode, self.encode_words)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word; short words of like lengths are merged side by side."""
+        if len(words) < 16:
+            return [_packed(self.encode_word(w)) for w in words]
+        raw = [w.encode() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        for low, high in ((1, 8), (9, 16), (17, 64)):
+            some = [k for k, r in enumerate(raw) if low <= len(r) <= high]
+            if some:
+                for k, ids in zip(some, merge_many([[self.of_byte[b] for b in raw[k]] for k in some], self.table)):
+                    out[k] = ids.astype(np.uint32).tobytes()
+        for k, r in enumerate(raw):
+            if len(r) > 64:
+                out[k] = _packed(self.encode_word(words[k]))
+        return out
 
     def encode_word(self, word: str) -> list[int]:
         return merge_all([self.of_byte[b] for b in word.encode()], self.ranks)
@@ -218,8 +338,7 @@ def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", path: str =
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
-        packed = load(path).encoder.packed
-        return list_of_packed([packed(t.as_py() or "") for t in texts])
+        return list_of_packed(load(path).encoder.packed_all(texts.to_pylist()))
 
     return df.withColumn(out, encode(text_or_empty(text)))
 
@@ -233,7 +352,7 @@ def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str
     @F.arrow_udf(T.StringType())
     def decode(column: pa.Array) -> pa.Array:
         bpe = load(path)
-        values, offsets = column.values.to_pylist(), column.offsets.to_pylist()
-        return pa.array([bpe.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
+        values, offsets = column.values.to_numpy(), column.offsets.to_pylist()
+        return pa.array([bpe.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
 
     return df.withColumn(out, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))

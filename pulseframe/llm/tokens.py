@@ -25,6 +25,8 @@ from pulseframe.llm.common import shuffle_files_go_at_the_end, text_or_empty
 END_ID = 2
 #: A block is closed once it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
+#: Words that a worker keeps, in each of two generations.
+KEPT_WORDS = 500_000
 SUPER = 64  # bytes of a plane between two rank counts
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -138,7 +140,8 @@ def library_encoder(path: str) -> tuple[ChunkedEncoder, int]:
 
     tokenizer = Tokenizer.from_file(path)
     encode = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
-    return ChunkedEncoder(encode, encode), max(1, (tokenizer.get_vocab_size() - 1).bit_length())
+    words = lambda w: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(w, add_special_tokens=False)]
+    return ChunkedEncoder(encode, words, KEPT_WORDS), max(1, (tokenizer.get_vocab_size() - 1).bit_length())
 
 
 BLOCKS = "shard long, block long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, matrix binary"
@@ -164,8 +167,8 @@ def write_tokens(df: DataFrame, to: str, id_column: str = "doc_id", text: str =
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "n_ids": [total], "doc_ids": [ids], "lengths": [lengths], "matrix": [matrix]}, _BLOCKS)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = encoder.packed(t.as_py()) + end
+            for i, one in zip(batch.column(0).to_pylist(), encoder.packed_all(batch.column(1).to_pylist())):
+                one += end
                 ids.append(i)
                 lengths.append(len(one) // 4)
                 packed.append(one)
