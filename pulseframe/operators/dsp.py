@@ -1,0 +1,105 @@
+"""Filters and resampling of whole recordings, a recording a group."""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from pulseframe.sources.signals import KEYS
+
+
+def butterworth_bandpass(low: float, high: float, rate: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Digital coefficients (b, a) by the bilinear transform of the analogue prototype."""
+    if not 0 < low < high < rate / 2:
+        raise ValueError("the band must lie between 0 and half the sample rate")
+    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    w1, w2 = (2 * rate * np.tan(np.pi * f / rate) for f in (low, high))
+    half, centre = poles * (w2 - w1) / 2, w1 * w2
+    root = np.sqrt(half**2 - centre + 0j)
+    analogue = np.concatenate([half + root, half - root])
+    gain = (w2 - w1) ** order
+    digital = (2 * rate + analogue) / (2 * rate - analogue)
+    zeros = np.concatenate([np.ones(order), -np.ones(order)])
+    k = gain * np.prod(2 * rate - np.zeros(order)) / np.prod(2 * rate - analogue)
+    return np.real(k * np.poly(zeros)), np.real(np.poly(digital))
+
+
+def notch(freq: float, rate: float, q: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    w = 2 * np.pi * freq / rate
+    beta = np.tan(w / q / 2)
+    g = 1 / (1 + beta)
+    return g * np.array([1, -2 * np.cos(w), 1]), np.array([1, -2 * g * np.cos(w), 2 * g - 1])
+
+
+def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    out, z = np.empty_like(x), state.copy()
+    for i, v in enumerate(x):
+        y = b[0] * v + z[0]
+        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
+        z[-1] = b[-1] * v - a[-1] * y
+        out[i] = y
+    return out
+
+
+def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Forward and backward over an odd extension, from the steady state of its first value."""
+    n = 3 * max(len(a), len(b))
+    if len(x) <= n:
+        raise ValueError(f"a recording needs more than {n} samples")
+    companion = np.zeros((len(a) - 1,) * 2)
+    companion[0] = -a[1:]
+    companion[np.arange(1, len(a) - 1), np.arange(len(a) - 2)] = 1
+    steady = np.linalg.solve(np.eye(len(a) - 1) - companion.T, b[1:] - a[1:] * b[0])
+    long = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2:-n - 2:-1]])
+    for _ in range(2):
+        long = _filter(b, a, long, steady * long[0])[::-1]
+    return long[n:-n]
+
+
+def resample(x: np.ndarray, rate: float, target: float) -> np.ndarray:
+    """Polyphase: a Kaiser-windowed sinc between insertion of zeros and decimation; ceil(n * up / down) samples."""
+    ratio = Fraction(target / rate).limit_denominator(1000)
+    up, down = ratio.numerator, ratio.denominator
+    if abs(target - rate) < 1e-9:
+        return x
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / max(up, down)) * np.kaiser(len(t), 5.0)
+    taps *= up / taps.sum()
+    spread = np.zeros(len(x) * up)
+    spread[::up] = x
+    return np.convolve(spread, taps)[half:half + len(spread)][::down][: -(-len(x) * up // down)]
+
+
+def filter_recordings(df: DataFrame, rate: float, band: tuple[float, float] | None = (20.0, 450.0), mains: float | None = 50.0, channels=("ch0", "ch1")) -> DataFrame:
+    """Band-pass, then notch, each channel of each recording; either may be None."""
+    stages = [butterworth_bandpass(*band, rate)] if band else []
+    stages += [notch(mains, rate)] if mains else []
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sample_idx")
+        for c in channels:
+            x = rows[c].to_numpy(float)
+            for b, a in stages:
+                x = zero_phase(b, a, x)
+            rows[c] = x
+        return rows
+
+    return df.groupBy(*KEYS).applyInPandas(run, df.schema)
+
+
+def mains_share(x: np.ndarray, rate: float, mains: float = 50.0, width: float = 5.0) -> float:
+    """Share of the power density (Hann segments, half overlapped) within width of mains; 0 if it can't be told."""
+    n = min(1024, len(x))
+    if len(x) < 16 or rate <= 2 * mains:
+        return 0.0
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    parts = [x[k:k + n] for k in range(0, len(x) - n + 1, n - n // 2)]
+    power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * window)) ** 2 for p in parts], axis=0)
+    power[1:-1 if n % 2 == 0 else None] *= 2
+    f = np.fft.rfftfreq(n, 1 / rate)
+    total, near = np.trapezoid(power, f), np.abs(f - mains) <= width
+    return float(np.trapezoid(power[near], f[near]) / total) if total > 0 else 0.0
