@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODES = ("dropout", "saturation", "clipping", "offset", "noise_burst")
 
@@ -29,7 +30,8 @@ def mav(x: Column) -> Column:
 def kurtosis(x: Column) -> Column:
     """Fourth standardised moment (3 for a normal distribution); 0 without variance."""
     m = mean(x)
-    second, fourth = (mean(F.transform(x, lambda v, k=k: F.pow(v - m, k))) for k in (2, 4))
+    second = mean(F.transform(x, lambda v: (v - m) * (v - m)))
+    fourth = mean(F.transform(x, lambda v: F.pow(v - m, 4)))
     return F.when(second == 0, 0.0).otherwise(fourth / (second * second))
 
 
@@ -46,7 +48,7 @@ def sub_window_rms(x: Column, parts: int = 10) -> Column:
     return F.when((F.size(x) < parts) | (r == 0), 1.0).otherwise(F.array_max(blocks) / r)
 
 
-@F.pandas_udf("struct<mnf double, hfr double>")
+@F.pandas_udf(T.StructType([T.StructField("mnf", T.DoubleType()), T.StructField("hfr", T.DoubleType())]))
 def spectrum(x: pd.Series, rate: pd.Series) -> pd.DataFrame:
     """Mean frequency and share of power from 150 Hz of the mean-removed windows; 0 without power."""
     out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +68,31 @@ def torque(state: Column, confidence: Column, mode: Column) -> Column:
     return F.when(helps, gate_scale(confidence) * 2.0).when(mode == "LIMITED_ASSIST", 0.4).otherwise(0.0)
 
 
+def plant_tick(torque: float, applied: float, angle: float, velocity: float, dt: float) -> tuple[float, float, float]:
+    """Limits, then the actuator's slew, then the elbow: velocity first, damped, still at the stops."""
+    inside = ANGLES[0] <= angle <= ANGLES[1] and abs(velocity) <= MAX_VELOCITY
+    wanted = max(-MAX_TORQUE, min(MAX_TORQUE, torque)) if inside else 0.0
+    applied = max(-MAX_TORQUE, min(MAX_TORQUE, applied + max(-SLEW * dt, min(SLEW * dt, wanted - applied))))
+    velocity = velocity + (applied - DAMPING * velocity) / INERTIA * dt
+    angle = angle + velocity * dt
+    if abs(angle) > STOP:
+        return applied, max(-STOP, min(STOP, angle)), 0.0
+    return applied, angle, velocity
+
+
 def plant(df: DataFrame, *by: str, dt: float = 0.05) -> DataFrame:
-    """Torques in order through limits, actuator and elbow: applied, angle and velocity a tick.
+    """Torques in order of i through limits, actuator and elbow: applied, angle and velocity a tick.
 
-    What a tick may apply depends on where the last one left the elbow, so each run is
-    one fold over its ordered torques.
+    What a tick may apply depends on where the last one left the elbow, so a run is
+    one fold, linear in its ticks.
     """
-    runs = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "torque"))).alias("ticks"))
-    zero = "named_struct('i', -1L, 'applied', 0D, 'angle', 0D, 'velocity', 0D)"
-    fold = f"""aggregate(ticks, array({zero}), (out, t) -> concat(out, transform(array(element_at(out, -1)), s ->
-        transform(array(CASE WHEN s.angle BETWEEN {ANGLES[0]}D AND {ANGLES[1]}D AND abs(s.velocity) <= {MAX_VELOCITY}D THEN greatest(-{MAX_TORQUE}D, least({MAX_TORQUE}D, t.torque)) ELSE 0D END), u ->
-        transform(array(greatest(-{MAX_TORQUE}D, least({MAX_TORQUE}D, s.applied + greatest(-{SLEW * dt}D, least({SLEW * dt}D, u - s.applied))))), a ->
-        transform(array(s.velocity + (a - {DAMPING}D * s.velocity) / {INERTIA}D * {dt}D), v ->
-        transform(array(s.angle + v * {dt}D), g -> named_struct('i', t.i, 'applied', a,
-            'angle', greatest(-{STOP}D, least({STOP}D, g)), 'velocity', CASE WHEN abs(g) > {STOP}D THEN 0D ELSE v END))[0])[0])[0])[0])))"""
-    return runs.select(*by, F.explode(F.expr(f"slice({fold}, 2, size(ticks))")).alias("t")).select(*by, "t.*")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, state, out = rows.sort_values("i"), (0.0, 0.0, 0.0), []
+        for t in rows["torque"]:
+            state = plant_tick(t, *state, dt)
+            out.append(state)
+        return rows[[*by, "i"]].assign(applied=[o[0] for o in out], angle=[o[1] for o in out], velocity=[o[2] for o in out])
+
+    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    return df.select(*by, "i", "torque").groupBy(*by).applyInPandas(fold, f"{keys}, i long, applied double, angle double, velocity double")

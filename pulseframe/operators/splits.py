@@ -6,13 +6,16 @@ has protocol, split, the window's keys and role; windows in neither role are the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulseframe.sources.signals import KEYS
 
 ID = [*KEYS, "seq"]
-RECORDING = Window.partitionBy(*KEYS)
+
+
+def recording() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
 
 
 def _assigned(df: DataFrame, protocol: str, split, role) -> DataFrame:
@@ -29,7 +32,7 @@ def _both_sides(assigned: DataFrame) -> DataFrame:
 
 def within_time(df: DataFrame, share: float = 0.7, guard: int = 3) -> DataFrame:
     """Per recording: windows ahead of the cut, less the guard, train; those from the cut on test."""
-    pos, n = F.row_number().over(RECORDING.orderBy("seq")) - 1, F.count(F.lit(1)).over(RECORDING)
+    pos, n = F.row_number().over(recording().orderBy("seq")) - 1, F.count(F.lit(1)).over(recording())
     df = df.withColumns({"_pos": pos, "_cut": (n * F.lit(share)).cast("long")})
     role = F.when(F.col("_pos") < F.greatest(F.lit(0), F.col("_cut") - guard), "train").when(F.col("_pos") >= F.col("_cut"), "test")
     return _both_sides(_assigned(df, "within-session", F.concat_ws("/", F.lit("within"), *KEYS), role))
@@ -41,7 +44,7 @@ def within_repetition(df: DataFrame, share: float = 0.7) -> DataFrame:
     df = df.withColumns(
         {
             "_rank": F.dense_rank().over(by_rep.orderBy("repetition")),
-            "_k": F.size(F.collect_set(F.when(F.col("repetition") > 0, F.col("repetition"))).over(RECORDING)),
+            "_k": F.size(F.collect_set(F.when(F.col("repetition") > 0, F.col("repetition"))).over(recording())),
             "_pos": F.row_number().over(by_rep.orderBy("seq")) - 1,
             "_n": F.count(F.lit(1)).over(by_rep),
         }
@@ -49,7 +52,7 @@ def within_repetition(df: DataFrame, share: float = 0.7) -> DataFrame:
     cut = F.greatest(F.lit(1), (F.col("_k") * F.lit(share)).cast("int"))
     trains = F.when(F.col("repetition") > 0, F.col("_rank") <= cut).otherwise(F.col("_pos") < (F.col("_n") * F.lit(share)).cast("long"))
     moved = df.filter("_k >= 2")
-    moved = moved.withColumn("_later", F.count_if((F.col("repetition") > 0) & ~trains).over(RECORDING)).filter("_later > 0")
+    moved = moved.withColumn("_later", F.count_if((F.col("repetition") > 0) & ~trains).over(recording())).filter("_later > 0")
     return _both_sides(_assigned(moved, "within-session", F.concat_ws("/", F.lit("within"), *KEYS), F.when(trains, "train").otherwise("test")))
 
 

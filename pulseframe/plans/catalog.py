@@ -2,5 +2,450 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pulseframe.functions import arrays
+from pulseframe.operators import decision, metrics, models, qc, splits
+from pulseframe.operators import windows as win
+from pulseframe.plans import oracles as o
+from pulseframe.sources import signals
+from pulseframe.sources.signals import KEYS
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+ID = ["subject_id", "session_id", "seq"]
+ROUND = 6
+
+
+def register(name: str, oracle: str | None = None):
+    def wrap(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return wrap
+
+
+def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def derived(name: str, base: str, columns: str) -> None:
+    """A query with some columns of another, and its oracle likewise."""
+    names = [c.strip() for c in columns.split(",")]
+    QUERIES[name] = lambda spark, sf_dir, f=QUERIES[base]: f(spark, sf_dir).select(*names)
+    ORACLES[name] = f"SELECT {columns} FROM ({ORACLES[base]})"
+
+
+def r(columns: str, digits: int = ROUND) -> str:
+    return ", ".join(f"round({c.strip()}, {digits}) + 0::DOUBLE AS {c.strip()}" for c in columns.split(","))
+
+
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.samples_from_events(spark, sf_dir)
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return win.sliding(sample_rows(spark, sf_dir))
+
+
+def pure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows(spark, sf_dir).filter("pure").select(*ID, "label", "repetition")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows(spark, sf_dir).filter("pure")
+    return w.select(*ID, (F.col("label") != 0).cast("int").alias("y_true"), (F.col("rms_ch0") > 0.8).cast("int").alias("y_pred"), F.least(F.lit(1.0), F.col("rms_ch0") / 1.5).alias("confidence"))
+
+
+# Sources and projections
+
+register("src_samples", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx, label, repetition, {r('ch0, ch1')} FROM smp")(lambda s, d: rounded(sample_rows(s, d)))
+derived("proj_channels", "src_samples", "subject_id, session_id, sample_idx, ch1")
+register("subjects", f"WITH {o.SAMPLES} SELECT DISTINCT subject_id FROM smp")(lambda s, d: sample_rows(s, d).select("subject_id").distinct())
+register("src_db6_load", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx FROM smp WHERE subject_id IN ('s01', 's03') AND session_id = 'd02'")(
+    lambda s, d: sample_rows(s, d).filter(F.col("subject_id").isin("s01", "s03") & (F.col("session_id") == "d02")).select("subject_id", "session_id", "sample_idx")
+)
+register("proj_binary_labels", f"WITH {o.WINDOWS} SELECT subject_id, session_id, seq, (label <> 0)::INT AS label FROM win")(lambda s, d: win.binary_labels(windows(s, d)).select(*ID, "label"))
+
+
+@register(
+    "src_db6_index",
+    """SELECT path, 's' || lpad(a, 2, '0') AS subject_id, 'd' || lpad(b, 2, '0') || '_t' || lpad(c, 2, '0') AS session_id FROM (
+        SELECT 'db/S' || (s_suppkey % 12) || '_D' || (s_nationkey % 5 + 1) || '_t' || (s_suppkey % 2 + 1) || '.mat' AS path, (s_suppkey % 12)::VARCHAR AS a, (s_nationkey % 5 + 1)::VARCHAR AS b, (s_suppkey % 2 + 1)::VARCHAR AS c FROM supplier)""",
+)
+def src_db6_index(spark, sf_dir):
+    part = lambda e: F.expr(e).cast("string")
+    paths = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.explode(F.array(F.concat(F.lit("db/S"), part("s_suppkey % 12"), F.lit("_D"), part("s_nationkey % 5 + 1"), F.lit("_t"), part("s_suppkey % 2 + 1"), F.lit(".mat")), F.lit("db/._S1_D1_T1.mat"), F.lit("db/readme.mat"))).alias("path")
+    )
+    return signals.recording_index(paths)
+
+
+register("src_frames", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 6) AS value, round((generate_subscripts(embedding, 1) - 1) / 1000.0::DOUBLE, 6) AS timestamp FROM embeddings")(
+    lambda s, d: rounded(signals.frames(signals.embedding_windows(s, d))).withColumn("pos", F.col("pos").cast("long"))
+)
+
+# Windows and features
+
+FEATURES = ", ".join(f"{f}_{c}" for f in ("rms", "mav", "zcr", "wl", "ssc", "std", "mean", "absmax") for c in ("ch0", "ch1"))
+register("win_sliding", f"WITH {o.WINDOWS} SELECT subject_id, session_id, seq, start_idx, label, repetition, pure, {r(FEATURES)} FROM win")(lambda s, d: rounded(windows(s, d).drop("x_ch0", "x_ch1")))
+derived("win_last_label", "win_sliding", "subject_id, session_id, seq, label, repetition")
+derived("feat_hudgins", "win_sliding", ", ".join([*ID, *(f"{f}_{c}" for f in win.FEATURES for c in win.CHANNELS)]))
+for _f in win.FEATURES:
+    derived(f"feat_{_f}", "win_sliding", f"subject_id, session_id, seq, {_f}_ch0, {_f}_ch1")
+derived("feat_matrix", "feat_hudgins", ", ".join(f"{f}_{c}" for f in win.FEATURES for c in win.CHANNELS))
+register("filter_pure", f"WITH {o.WINDOWS} SELECT subject_id, session_id, count(*) AS windows, count(*) FILTER (pure) AS pure FROM win GROUP BY ALL")(
+    lambda s, d: windows(s, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("windows"), F.count_if("pure").alias("pure"))
+)
+register("win_build", f"WITH {o.PURE} SELECT subject_id, session_id, seq, label, CASE WHEN (SELECT bool_and(repetition IS NOT NULL) FROM smp) THEN repetition END AS repetition FROM pw")(
+    lambda s, d: pure(s, d).crossJoin(F.broadcast(sample_rows(s, d).agg(F.bool_and(F.col("repetition").isNotNull()).alias("all_known")))).select(*ID, "label", F.when(F.col("all_known"), F.col("repetition")).alias("repetition"))
+)
+register(
+    "win_sample_linspace",
+    f"WITH {o.WINDOWS} SELECT subject_id, session_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, session_id ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY subject_id, session_id) AS n FROM win)"
+    " WHERE n <= 5 OR list_contains(list_transform(range(5), lambda k: trunc(k * (n - 1)::DOUBLE / 4)::BIGINT), pos)",
+)(lambda s, d: splits.capped(windows(s, d), 5, *KEYS).select(*ID))
+register(
+    "resample_labels",
+    f"WITH {o.SAMPLES}, sized AS (SELECT subject_id, session_id, count(*) AS n_old, ceil(count(*) / 2)::BIGINT AS n_new FROM smp GROUP BY ALL), grid AS (SELECT *, unnest(range(n_new)) AS i FROM sized)"
+    " SELECT g.subject_id, g.session_id, i, label, repetition FROM grid g JOIN smp ON smp.subject_id = g.subject_id AND smp.session_id = g.session_id AND sample_idx = least(trunc(i * n_old::DOUBLE / n_new)::BIGINT, n_old - 1)",
+)(lambda s, d: win.resample_labels(sample_rows(s, d), F.ceil(F.col("n_old") / 2), F.col("n_old")))
+register(
+    "feat_standardize",
+    f"WITH {o.WINDOWS}, st AS (SELECT avg(rms_ch0) AS m, stddev_pop(rms_ch0) AS s FROM win WHERE pure AND subject_id <> 's00') SELECT subject_id, session_id, seq, round((rms_ch0 - m) / s, 6) AS rms_ch0 FROM win, st WHERE pure",
+)(lambda s, d: rounded(win.standardize(windows(s, d).filter("pure").select(*ID, "rms_ch0"), ["rms_ch0"], F.col("subject_id") != "s00")))
+
+_E = "SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings"
+_RMS = "sqrt(list_avg(list_transform({x}, lambda v: v * v)))"
+register(
+    "feat_shape",
+    f"""WITH e AS ({_E}), m AS (SELECT *, list_avg(x) AS mu, {_RMS.format(x="x")} AS rms FROM e)
+        SELECT vec_id, round(list_avg(list_transform(x, lambda v: (v - mu) ** 4)) / list_avg(list_transform(x, lambda v: (v - mu) ** 2)) ** 2, 6) AS kurt,
+               round(list_max(list_transform(x, lambda v: abs(v))) / rms, 6) AS crest,
+               round(list_max(list_transform(range(10), lambda k: {_RMS.format(x="x[k * 6 + 1 : k * 6 + 6]")})) / rms, 6) AS sw_rms FROM m""",
+)(lambda s, d: rounded(signals.embedding_windows(s, d).select("vec_id", arrays.kurtosis(F.col("x")).alias("kurt"), arrays.crest(F.col("x")).alias("crest"), arrays.sub_window_rms(F.col("x")).alias("sw_rms"))))
+derived("feat_kurt", "feat_shape", "vec_id, kurt")
+derived("feat_crest", "feat_shape", "vec_id, crest")
+derived("feat_swrms", "feat_shape", "vec_id, sw_rms")
+derived("win_subwindows", "feat_shape", "vec_id, sw_rms")
+_DFT = "list_transform(range(33), lambda k: list_sum(list_transform(range(64), lambda i: (x[i + 1] - mu) * cos(2 * pi() * k * i / 64))) ** 2 + list_sum(list_transform(range(64), lambda i: (x[i + 1] - mu) * sin(2 * pi() * k * i / 64))) ** 2)"
+register(
+    "feat_spectrum",
+    f"""WITH e AS ({_E}), p AS (SELECT vec_id, {_DFT} AS p FROM (SELECT *, list_avg(x) AS mu FROM e))
+        SELECT vec_id, round(list_sum(list_transform(range(33), lambda k: p[k + 1] * k * 1000 / 64)) / list_sum(p), 6) AS mnf, round(list_sum(list_transform(range(10, 33), lambda k: p[k + 1])) / list_sum(p), 6) AS hfr FROM p""",
+)(lambda s, d: rounded(signals.embedding_windows(s, d).select("vec_id", arrays.spectrum(F.col("x"), F.lit(1000.0)).alias("f")).select("vec_id", "f.mnf", "f.hfr")))
+derived("feat_mnf", "feat_spectrum", "vec_id, mnf")
+derived("feat_hfr", "feat_spectrum", "vec_id, hfr")
+
+# Quality
+
+
+def profile(spark, sf_dir):
+    return win.long_by_channel(windows(spark, sf_dir))
+
+
+def tight_limits(spark, sf_dir) -> DataFrame:
+    t = qc.thresholds(profile(spark, sf_dir), margin=0.9)
+    return t.withColumn("saturation_limit", F.col("saturation_limit") / 0.9 * 0.5)
+
+
+def checked(spark, sf_dir):
+    t = tight_limits(spark, sf_dir)
+    df = profile(spark, sf_dir).filter("pure").crossJoin(F.broadcast(t))
+    return df, qc.limits(min_clip_run=2, min_zero_run=2, **{c: F.col(c) for c in t.columns})
+
+
+@register("qc_checks", f"WITH {o.CHECKS} SELECT subject_id, session_id, seq, channel, dropout, dropout_run, saturation, clipping, amplitude_low, amplitude_high, baseline_offset FROM checked")
+def qc_checks(spark, sf_dir):
+    df, lim = checked(spark, sf_dir)
+    return df.select(*ID, "channel", *(c.alias(k) for k, c in qc.reasons(lim).items()))
+
+
+for _k in ("dropout", "dropout_run", "saturation", "clipping"):
+    derived(f"qc_{_k}", "qc_checks", f"subject_id, session_id, seq, channel, {_k}")
+derived("qc_amplitude", "qc_checks", "subject_id, session_id, seq, channel, amplitude_low, amplitude_high")
+derived("qc_offset", "qc_checks", "subject_id, session_id, seq, channel, baseline_offset")
+
+
+@register("qc_gate", f"WITH {o.CHECKS} SELECT subject_id, session_id, seq, channel, CASE WHEN dropout THEN 'dropout' WHEN saturation THEN 'saturation' END AS reason FROM checked")
+def qc_gate(spark, sf_dir):
+    df, lim = checked(spark, sf_dir)
+    return df.select(*ID, "channel", qc.gate(F.col("std"), qc.saturated_fraction(F.col("x"), lim["saturation_limit"]), lim).alias("reason"))
+
+
+@register("qc_longest_run", f"WITH {o.CHECKS} SELECT subject_id, session_id, seq, channel, {o.run('x', 'v > 0')} AS run FROM chan WHERE pure")
+def qc_longest_run(spark, sf_dir):
+    return profile(spark, sf_dir).filter("pure").select(*ID, "channel", qc.longest_run(F.col("x"), lambda v: v > 0).alias("run"))
+
+
+@register("qc_report", f"WITH {o.CHECKS} SELECT subject_id, session_id, seq, channel, array_to_string(failures, ',') AS failures, round(std, 6) AS std, round(rms, 6) AS rms, round(mav, 6) AS mav, round(mean, 6) + 0::DOUBLE AS dc_offset FROM failed")
+def qc_report(spark, sf_dir):
+    out = qc.channel_failures(*checked(spark, sf_dir))
+    return rounded(out.select(*ID, "channel", F.array_join("failures", ",").alias("failures"), "std", "rms", "mav", F.col("mean").alias("dc_offset")))
+
+
+def gated(spark, sf_dir):
+    return qc.window_failures(qc.channel_failures(*checked(spark, sf_dir)))
+
+
+register("qc_window_failures", f"WITH {o.CHECKS} SELECT subject_id, session_id, seq, array_to_string(failures, ',') AS failures, valid FROM qc")(lambda s, d: gated(s, d).select(*ID, F.array_join("failures", ",").alias("failures"), "valid"))
+register("filter_qc", f"WITH {o.CHECKS} SELECT subject_id, session_id, seq FROM qc WHERE valid")(lambda s, d: gated(s, d).filter("valid").select(*ID))
+_ACC = "count(*) AS total, count(*) FILTER (valid) AS kept, count(*) FILTER (NOT valid) AS rejected, round(count(*) FILTER (NOT valid) / count(*)::DOUBLE, 6) AS rejection_rate"
+register("qc_account", f"WITH {o.CHECKS} SELECT subject_id, {_ACC} FROM qc GROUP BY subject_id")(lambda s, d: rounded(qc.account(gated(s, d), "subject_id")))
+register("qc_merge", f"WITH {o.CHECKS} SELECT reason, count(*) AS n FROM (SELECT unnest(failures) AS reason FROM qc) GROUP BY reason")(lambda s, d: qc.account_reasons(gated(s, d)))
+register("qc_by_session", f"WITH {o.CHECKS} SELECT subject_id, session_id, {_ACC} FROM qc GROUP BY ROLLUP (subject_id, session_id)")(
+    lambda s, d: rounded(
+        gated(s, d).rollup(*KEYS).agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("kept")).withColumn("rejected", F.col("total") - F.col("kept")).withColumn("rejection_rate", qc.rate(F.col("rejected"), F.col("total")))
+    )
+)
+derived("qc_rate", "qc_account", "subject_id, rejection_rate")
+register("qc_worst_sessions", f"WITH {o.CHECKS}, s AS (SELECT subject_id, session_id, {_ACC} FROM qc GROUP BY ALL) SELECT subject_id, session_id, rejection_rate FROM s ORDER BY rejection_rate DESC, subject_id, session_id LIMIT 5")(
+    lambda s, d: rounded(qc.account(gated(s, d), *KEYS)).select(*KEYS, "rejection_rate").orderBy(F.desc("rejection_rate"), *KEYS).limit(5)
+)
+
+# Faults
+
+_SPANS = {"dropout": "CASE WHEN i BETWEEN 26 AND 38 THEN 0 ELSE x[i] END", "clipping": "CASE WHEN i BETWEEN 20 AND 25 THEN 1.0 ELSE x[i] END", "saturation": "greatest(-1.0, least(1.0, x[i] * 10))", "offset": "x[i] + 0.5"}
+for _mode, _sql in _SPANS.items():
+    register(f"inj_{_mode}", f"WITH e AS ({_E}), f AS (SELECT vec_id, list_transform(range(1, 65), lambda i: ({_sql})::DOUBLE) AS y FROM e) SELECT vec_id, round(list_avg(y), 6) AS mean, round({_RMS.format(x='y')}, 6) AS rms FROM f")(
+        lambda s, d, m=_mode: rounded(signals.embedding_windows(s, d).withColumn("y", arrays.inject(F.col("x"), m, 64)).select("vec_id", arrays.mean(F.col("y")).alias("mean"), arrays.rms(F.col("y")).alias("rms")))
+    )
+
+
+def detection(spark, sf_dir):
+    e = signals.embedding_windows(spark, sf_dir)
+    modes = [F.struct(F.lit(m).alias("mode"), arrays.inject(F.col("x"), m, 64).alias("y")) for m in arrays.MODES]
+    y = F.col("y")
+    m = arrays.mean(y)
+    std = F.sqrt(arrays.mean(F.transform(y, lambda v: (v - m) * (v - m))))
+    long = e.select("vec_id", F.explode(F.array(*modes)).alias("f")).select("vec_id", "f.*").select("vec_id", "mode", y.alias("x"), std.alias("std"), m.alias("mean"), arrays.rms(y).alias("rms"))
+    failed = qc.channel_failures(long, qc.limits(max_offset=0.4))
+    return failed.groupBy("mode").agg(F.avg((F.size("failures") > 0).cast("double")).alias("detected"))
+
+
+register("inj_detection_rate")(lambda s, d: rounded(detection(s, d)))
+register("inj_noise")(lambda s, d: rounded(signals.embedding_windows(s, d).select("vec_id", arrays.rms(arrays.inject(F.col("x"), "noise_burst", 64)).alias("rms"))))
+
+# Aggregates
+
+register("agg_profile", f"WITH {o.CHANNELS} SELECT subject_id, session_id, seq, channel, round(rms, 6) AS rms, round(abs(mean), 6) AS abs_mean, round(absmax, 6) AS abs_max FROM chan")(
+    lambda s, d: rounded(profile(s, d).select(*ID, "channel", "rms", F.abs("mean").alias("abs_mean"), F.col("absmax").alias("abs_max")))
+)
+_P = (0.001, 0.01, 0.5, 0.99, 0.999)
+register("agg_percentiles", f"WITH {o.CHANNELS} SELECT " + ", ".join(f"round(quantile_cont(rms, {p}), 6) AS p{k}" for k, p in enumerate(_P)) + " FROM chan")(lambda s, d: rounded(profile(s, d).agg(*(F.percentile("rms", F.lit(p)).alias(f"p{k}") for k, p in enumerate(_P)))))
+register("agg_thresholds", f"WITH {o.THRESHOLDS} SELECT {r('min_rms, flatline_std, max_rms, max_offset, saturation_limit')} FROM thr")(lambda s, d: rounded(tight_limits(s, d)))
+register(
+    "agg_corruption_kwargs",
+    f"WITH {o.CHANNELS}, c AS (SELECT quantile_cont(absmax, 0.999) * 3 AS rail, quantile_cont(rms, 0.5) AS typical FROM chan) SELECT {r('rail, typical')}, round(CASE WHEN typical = 0 THEN 10 ELSE 3 * rail / typical END, 6) AS gain, round(typical * 3, 6) AS \"offset\" FROM c",
+)(lambda s, d: rounded(qc.corruption_settings(profile(s, d))))
+_COV = ["rms_ch0", "wl_ch0", "rms_ch1"]
+register(
+    "agg_moments_cov",
+    f"WITH {o.WINDOWS} SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in _COV) + ", " + ", ".join(f"round(covar_samp({a}, {b}), 6) AS cov_{a}_{b}" for i, a in enumerate(_COV) for b in _COV[i:]) + " FROM win WHERE pure",
+)(lambda s, d: rounded(models.moments(windows(s, d).filter("pure"), _COV)))
+register("agg_group_subject_session", f"WITH {o.PURE} SELECT subject_id, session_id, count(*) AS n, min(seq) AS first, max(seq) AS last FROM pw GROUP BY ALL")(lambda s, d: pure(s, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")))
+register("agg_sessions_by_subject", f"WITH {o.PURE} SELECT subject_id, string_agg(DISTINCT session_id, ',' ORDER BY session_id) AS sessions FROM pw GROUP BY subject_id")(
+    lambda s, d: pure(s, d).groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_set("session_id")), ",").alias("sessions"))
+)
+register("agg_distinct", f"WITH {o.PURE} SELECT label, repetition, count(*) AS n FROM pw GROUP BY ALL")(lambda s, d: pure(s, d).groupBy("label", "repetition").agg(F.count(F.lit(1)).alias("n")))
+register("agg_class_share", f"WITH {o.PURE} SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM pw)::DOUBLE, 6) AS share FROM pw GROUP BY label")(
+    lambda s, d: rounded(pure(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))))
+)
+
+# Splits and set operations
+
+_S = "protocol, split, subject_id, session_id, seq, label, repetition, role"
+register("split_within_time", f"WITH {o.WITHIN} SELECT {_S} FROM within_t")(lambda s, d: splits.within_time(pure(s, d)))
+register(
+    "split_within_rep",
+    f"""WITH {o.PURE}, a AS (SELECT *, dense_rank() OVER (PARTITION BY subject_id, session_id, repetition > 0 ORDER BY repetition) AS rnk, row_number() OVER (PARTITION BY subject_id, session_id, repetition > 0 ORDER BY seq) - 1 AS pos,
+            count(*) OVER (PARTITION BY subject_id, session_id, repetition > 0) AS n, (SELECT count(DISTINCT repetition) FROM pw q WHERE q.repetition > 0 AND q.subject_id = pw.subject_id AND q.session_id = pw.session_id) AS k FROM pw),
+        b AS (SELECT *, CASE WHEN repetition > 0 THEN rnk <= greatest(1, trunc(k * 0.7::DOUBLE)::INT) ELSE pos < trunc(n * 0.7::DOUBLE)::BIGINT END AS tr FROM a WHERE k >= 2)
+        SELECT 'within-session' AS protocol, 'within/' || subject_id || '/' || session_id AS split, subject_id, session_id, seq, label, repetition, CASE WHEN tr THEN 'train' ELSE 'test' END AS role FROM b""",
+)(lambda s, d: splits.within_repetition(pure(s, d)))
+register("split_cross_session", f"WITH {o.CROSS} SELECT {_S} FROM cross_s")(lambda s, d: splits.cross_session(pure(s, d)))
+register("split_cross_subject", f"WITH {o.PURE} SELECT 'cross-subject' AS protocol, 'cross-subject/' || t AS split, subject_id, session_id, seq, label, repetition, CASE WHEN subject_id = t THEN 'test' ELSE 'train' END AS role FROM pw, (SELECT DISTINCT subject_id AS t FROM pw)")(
+    lambda s, d: splits.cross_subject(pure(s, d))
+)
+register(
+    "split_random",
+    f"WITH {o.PURE} SELECT 'random-shuffle' AS protocol, 'random-shuffle' AS split, subject_id, session_id, seq, label, repetition, CASE WHEN ('0x' || substr(md5('0|' || subject_id || '|' || session_id || '|' || seq), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.3::DOUBLE THEN 'test' ELSE 'train' END AS role FROM pw",
+)(lambda s, d: splits.random_shuffle(pure(s, d)))
+register(
+    "split_cal_class",
+    f"WITH {o.CROSS}, c AS (SELECT *, row_number() OVER (PARTITION BY split, role, label ORDER BY subject_id, session_id, seq) AS k FROM cross_s) SELECT protocol, split || '+cal2' AS split, subject_id, session_id, seq, label, repetition, CASE WHEN role = 'test' AND k <= 2 THEN 'train' ELSE role END AS role FROM c",
+)(lambda s, d: splits.calibrate_class(splits.cross_session(pure(s, d))))
+register(
+    "split_cal_reps",
+    f"WITH {o.CROSS}, c AS (SELECT *, dense_rank() OVER (PARTITION BY split, role, repetition > 0 ORDER BY repetition) AS k FROM cross_s) SELECT protocol, split || '+cal1rep' AS split, subject_id, session_id, seq, label, repetition, CASE WHEN role = 'test' AND repetition > 0 AND k <= 1 THEN 'train' ELSE role END AS role FROM c",
+)(lambda s, d: splits.calibrate_repetitions(splits.cross_session(pure(s, d))))
+register("split_validate", f"WITH {o.CROSS} SELECT count(*) AS overlapping FROM (SELECT 1 FROM cross_s GROUP BY split, subject_id, session_id, seq HAVING count(DISTINCT role) > 1)")(
+    lambda s, d: splits.overlaps(splits.cross_session(pure(s, d))).agg(F.count(F.lit(1)).alias("overlapping"))
+)
+register("split_half", f"WITH {o.PURE} SELECT subject_id, session_id, seq, row_number() OVER (PARTITION BY subject_id, session_id ORDER BY seq) <= trunc(count(*) OVER (PARTITION BY subject_id, session_id) / 2)  AS calibrates FROM pw")(
+    lambda s, d: pure(s, d).select(*ID, (F.row_number().over(splits.recording().orderBy("seq")) <= F.floor(F.count(F.lit(1)).over(splits.recording()) / 2)).alias("calibrates"))
+)
+_LATE = "SELECT DISTINCT session_id FROM pw WHERE session_id >= 'd07'"
+register("join_semi_isin", f"WITH {o.PURE} SELECT subject_id, session_id, seq FROM pw WHERE session_id IN ({_LATE})")(lambda s, d: (lambda p: p.join(p.filter("session_id >= 'd07'").select("session_id").distinct(), "session_id", "left_semi").select(*ID))(pure(s, d)))
+register("join_anti_setdiff", f"WITH {o.PURE} SELECT subject_id, session_id, seq FROM pw WHERE session_id NOT IN ({_LATE})")(lambda s, d: (lambda p: p.join(p.filter("session_id >= 'd07'").select("session_id").distinct(), "session_id", "left_anti").select(*ID))(pure(s, d)))
+register("join_split_features", f"WITH {o.WITHIN} SELECT split, role, count(*) AS n, round(avg(rms_ch0), 6) AS rms_ch0 FROM within_t JOIN win USING (subject_id, session_id, seq) GROUP BY ALL")(
+    lambda s, d: rounded(splits.within_time(pure(s, d)).join(windows(s, d).select(*ID, "rms_ch0"), ID).groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("rms_ch0").alias("rms_ch0")))
+)
+derived("filter_subset", "join_semi_isin", "subject_id, session_id, seq")
+
+# Metrics
+
+_HIT = "avg((y_true = y_pred)::INT)"
+_BIN = "CASE " + " ".join(f"WHEN confidence <= {e!r}::DOUBLE THEN {k}" for k, e in enumerate(metrics.EDGES[1:10])) + " ELSE 9 END"
+_SCALE = "CASE WHEN confidence < 0.4::DOUBLE THEN 0 WHEN confidence < 0.7::DOUBLE THEN (confidence - 0.4::DOUBLE) / (0.7::DOUBLE - 0.4::DOUBLE) ELSE 1 END"
+_ON = f"({_SCALE} > 0 AND y_pred <> 0)"
+register("met_accuracy", f"WITH {o.PREDICTIONS} SELECT subject_id, round({_HIT}, 6) AS accuracy FROM pred GROUP BY subject_id")(lambda s, d: rounded(metrics.accuracy(predictions(s, d), "subject_id")))
+register("met_balanced", f"WITH {o.PREDICTIONS} SELECT subject_id, round(avg(r), 6) AS balanced_accuracy FROM (SELECT subject_id, y_true, {_HIT} AS r FROM pred GROUP BY ALL) GROUP BY subject_id")(lambda s, d: rounded(metrics.balanced_accuracy(predictions(s, d), "subject_id")))
+_BINS = f"bins AS (SELECT {_BIN} AS bin, count(*) AS n, avg(confidence) AS mean_confidence, {_HIT} AS accuracy FROM pred GROUP BY ALL)"
+register("met_ece", f"WITH {o.PREDICTIONS}, {_BINS} SELECT round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM bins")(lambda s, d: rounded(metrics.expected_calibration_error(predictions(s, d))))
+register("met_reliability", f"WITH {o.PREDICTIONS}, {_BINS} SELECT b.bin, coalesce(n, 0) AS n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM (SELECT unnest(range(10))::INT AS bin) b LEFT JOIN bins USING (bin)")(
+    lambda s, d: rounded(metrics.reliability(predictions(s, d)).select("bin", "n", F.nanvl("mean_confidence", F.lit(None)).alias("mean_confidence"), F.nanvl("accuracy", F.lit(None)).alias("accuracy")))
+)
+register("met_safety", f"WITH {o.PREDICTIONS} SELECT subject_id, round(avg(({_ON} AND y_true = 0)::INT), 6) AS unsafe_assist_rate, round(avg({_ON}::INT) FILTER (y_true <> 0), 6) AS assist_availability FROM pred GROUP BY subject_id")(
+    lambda s, d: rounded(metrics.safety(predictions(s, d), "subject_id"))
+)
+derived("met_unsafe", "met_safety", "subject_id, unsafe_assist_rate")
+derived("met_avail", "met_safety", "subject_id, assist_availability")
+_SWEEP = "curve AS (SELECT tau, avg((confidence >= tau AND y_pred <> 0 AND y_true = 0)::INT) AS unsafe, avg((confidence >= tau AND y_pred <> 0)::INT) FILTER (y_true <> 0) AS availability FROM pred, (SELECT round(0.5 + 0.05 * unnest(range(10)), 2)::DOUBLE AS tau) GROUP BY tau)"
+register("met_sweep", f"WITH {o.PREDICTIONS}, {_SWEEP} SELECT tau, {r('unsafe, availability')} FROM curve")(lambda s, d: rounded(metrics.sweep(predictions(s, d))))
+register("met_policy_pick", f"WITH {o.PREDICTIONS}, {_SWEEP} SELECT coalesce(min(tau) FILTER (unsafe <= 0.15), 0.5)::DOUBLE AS tau FROM curve")(lambda s, d: metrics.first_safe_tau(metrics.sweep(predictions(s, d)), 0.15))
+
+
+def by_split(spark, sf_dir):
+    test = splits.cross_session(pure(spark, sf_dir)).filter("role = 'test'").select("split", *ID)
+    p = test.join(predictions(spark, sf_dir), ID)
+    return metrics.accuracy(p, "split").join(metrics.balanced_accuracy(p, "split"), "split").join(metrics.safety(p, "split"), "split")
+
+
+_BY = f"t AS (SELECT split, pred.* FROM cross_s JOIN pred USING (subject_id, session_id, seq) WHERE role = 'test'), m AS (SELECT split, {_HIT} AS accuracy, avg(({_ON} AND y_true = 0)::INT) AS unsafe_assist_rate FROM t GROUP BY split)"
+_PX = o.CROSS + o.PREDICTIONS[len(o.WINDOWS):]
+register("met_evaluate_splits", f"WITH {_PX}, {_BY} SELECT split, {r('accuracy, unsafe_assist_rate')} FROM m")(lambda s, d: rounded(by_split(s, d).select("split", "accuracy", "unsafe_assist_rate")))
+register(
+    "agg_summarize",
+    f"WITH {_PX}, {_BY} SELECT split_part(split, '/', 2) AS subject_id, count(*) AS n_splits, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std, round(min(accuracy), 6) AS accuracy_min, round(max(accuracy), 6) AS accuracy_max FROM m GROUP BY ALL",
+)(lambda s, d: rounded(metrics.summarize(by_split(s, d).withColumn("subject_id", F.split("split", "/")[1]), ["accuracy"], "subject_id")))
+register(
+    "agg_by_elapsed",
+    f"WITH {_PX}, {_BY} SELECT elapsed, round(avg(accuracy), 6) AS accuracy FROM m JOIN tests ON split = 'cross-session/' || tests.subject_id || '/' || t GROUP BY elapsed",
+)(
+    lambda s, d: rounded(
+        by_split(s, d).withColumn("elapsed", F.dense_rank().over(Window.partitionBy(F.split("split", "/")[1]).orderBy("split")).cast("long")).groupBy("elapsed").agg(F.avg("accuracy").alias("accuracy"))
+    )
+)
+register(
+    "agg_per_subject_delta",
+    f"WITH {o.PREDICTIONS}, v AS (SELECT subject_id, {_HIT} FILTER (session_id = 'd00') AS within_acc, {_HIT} FILTER (session_id <> 'd00') AS cross_acc FROM pred GROUP BY subject_id) SELECT subject_id, {r('within_acc, cross_acc')}, round(within_acc - cross_acc, 6) AS d_acc FROM v",
+)(
+    lambda s, d: rounded(
+        predictions(s, d).groupBy("subject_id").agg(
+            F.avg(F.when(F.col("session_id") == "d00", (F.col("y_true") == F.col("y_pred")).cast("double"))).alias("within_acc"),
+            F.avg(F.when(F.col("session_id") != "d00", (F.col("y_true") == F.col("y_pred")).cast("double"))).alias("cross_acc"),
+        ).withColumn("d_acc", F.col("within_acc") - F.col("cross_acc"))
+    )
+)
+
+# Decision and safety
+
+
+def ticks(spark, sf_dir):
+    c0, c1 = F.col("ch0"), F.col("ch1")
+    return sample_rows(spark, sf_dir).select(
+        *KEYS, F.col("sample_idx").alias("i"), (c0 >= -0.8).alias("valid"), ((c1 + 1) * 0.05).alias("latency"), (c0 > -0.4).alias("intent"), F.least(F.lit(1.0), (c0 + 1) / 1.6).alias("confidence"),
+        (c0 < 4).alias("safety_ok"), (c0 > 8).alias("emergency"), (c1 > 0.95).alias("reset"),
+    )
+
+
+register("gate_confidence", f"WITH {o.TICKS} SELECT subject_id, session_id, i, confidence >= 0.4::DOUBLE AS allowed, round({_SCALE}, 6) AS scale FROM tick")(
+    lambda s, d: rounded(ticks(s, d).select(*KEYS, "i", metrics.gate_allows(F.col("confidence")).alias("allowed"), metrics.gate_scale(F.col("confidence")).alias("scale")))
+)
+_FSM = """ep AS (SELECT *, sum(reset::INT) OVER (PARTITION BY subject_id, session_id ORDER BY i) AS epoch FROM tick),
+st AS (SELECT *, CASE WHEN max(emergency::INT) OVER e = 1 THEN 'EMERGENCY_STOP' WHEN max((NOT safety_ok)::INT) OVER e = 1 THEN 'FALLBACK'
+    WHEN intent AND confidence >= 0.7::DOUBLE THEN 'ASSIST' WHEN intent AND confidence >= 0.4::DOUBLE THEN 'DEGRADED' ELSE 'IDLE' END AS state FROM ep WINDOW e AS (PARTITION BY subject_id, session_id, epoch ORDER BY i))"""
+register("fsm_step", f"WITH {o.TICKS}, {_FSM} SELECT subject_id, session_id, i, state FROM st")(lambda s, d: decision.states(ticks(s, d), *KEYS).select(*KEYS, "i", "state"))
+register("fsm_reset", f"WITH {o.TICKS}, {_FSM} SELECT subject_id, session_id, i, state FROM st WHERE reset")(lambda s, d: decision.states(ticks(s, d), *KEYS).filter("reset").select(*KEYS, "i", "state"))
+register("fsm_transitions", f"WITH {o.TICKS}, {_FSM}, l AS (SELECT *, lag(state, 1, 'IDLE') OVER (PARTITION BY subject_id, session_id ORDER BY i) AS from_state FROM st) SELECT subject_id, session_id, i, from_state, state AS to_state FROM l WHERE from_state <> state")(
+    lambda s, d: decision.transitions(decision.states(ticks(s, d), *KEYS), *KEYS)
+)
+_FAULT = """isl AS (SELECT *, sum(valid::INT) OVER (PARTITION BY subject_id, session_id ORDER BY i) AS island FROM tick),
+flt AS (SELECT *, sum((NOT valid)::INT) OVER (PARTITION BY subject_id, session_id, island ORDER BY i)::BIGINT AS missed FROM isl)"""
+register("fault_frame", f"WITH {o.TICKS}, {_FAULT} SELECT subject_id, session_id, i, missed, CASE WHEN missed >= 3 THEN 'dropout' WHEN latency > 0.05::DOUBLE THEN 'latency' END AS fault FROM flt")(lambda s, d: decision.faults(ticks(s, d), *KEYS).select(*KEYS, "i", "missed", "fault"))
+register("fault_desync", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx, abs(ch0 - ch1) > 0.02::DOUBLE AS desync FROM smp")(lambda s, d: sample_rows(s, d).select(*KEYS, "sample_idx", decision.desync(F.col("ch0"), F.col("ch1")).alias("desync")))
+register("fallback_select", f"WITH {o.TICKS} SELECT subject_id, session_id, i, CASE WHEN NOT safety_ok THEN 'PASSIVE' WHEN confidence < 0.4::DOUBLE THEN 'LIMITED_ASSIST' ELSE 'NONE' END AS mode FROM tick")(
+    lambda s, d: ticks(s, d).select(*KEYS, "i", decision.fallback(~F.col("safety_ok"), F.col("confidence")).alias("mode"))
+)
+register("limit_enforce", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx, round(CASE WHEN ch0 BETWEEN 0 AND 2.35::DOUBLE AND abs(ch1) <= 3 THEN greatest(-5, least(5, ch0 * 4)) ELSE 0 END, 6) AS torque FROM smp")(
+    lambda s, d: rounded(sample_rows(s, d).select(*KEYS, "sample_idx", decision.enforce(F.col("ch0") * 4, F.col("ch0"), F.col("ch1")).alias("torque")))
+)
+register("limit_clamp", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx, round(greatest(-5, least(5, ch0 * 4)), 6) AS torque FROM smp")(lambda s, d: rounded(sample_rows(s, d).select(*KEYS, "sample_idx", decision.clamp(F.col("ch0") * 4).alias("torque"))))
+
+
+def loop(spark, sf_dir):
+    t = decision.states(ticks(spark, sf_dir), *KEYS)
+    mode = decision.fallback(~F.col("safety_ok"), F.col("confidence"))
+    return t.withColumn("mode", mode).withColumn("torque", decision.torque(F.col("state"), F.col("confidence"), F.col("mode")))
+
+
+_TORQUE = f"""lp AS (SELECT *, CASE WHEN state IN ('ASSIST', 'DEGRADED') AND confidence >= 0.4::DOUBLE AND mode = 'NONE' THEN 2.0 * {_SCALE} WHEN mode = 'LIMITED_ASSIST' THEN 0.4 ELSE 0 END::DOUBLE AS torque FROM
+    (SELECT *, CASE WHEN NOT safety_ok THEN 'PASSIVE' WHEN confidence < 0.4::DOUBLE THEN 'LIMITED_ASSIST' ELSE 'NONE' END AS mode FROM st))"""
+register("loop_torque_rule", f"WITH {o.TICKS}, {_FSM}, {_TORQUE} SELECT subject_id, session_id, i, round(torque, 6) AS torque FROM lp")(lambda s, d: rounded(loop(s, d).select(*KEYS, "i", "torque")))
+register(
+    "loop_baseline",
+    f"""WITH RECURSIVE {o.TICKS}, {_FSM}, {_TORQUE}, run AS (
+        SELECT DISTINCT subject_id, session_id, -1::BIGINT AS i, 0::DOUBLE AS applied, 0::DOUBLE AS angle, 0::DOUBLE AS velocity FROM lp
+        UNION ALL SELECT subject_id, session_id, i, applied, greatest(-2.5, least(2.5, g)), CASE WHEN abs(g) > 2.5 THEN 0 ELSE v END FROM (SELECT *, angle + v * 0.05::DOUBLE AS g FROM (
+            SELECT *, velocity + (applied - 0.3::DOUBLE * velocity) / 0.05::DOUBLE * 0.05::DOUBLE AS v FROM (
+                SELECT lp.subject_id, lp.session_id, lp.i, angle, velocity, greatest(-5, least(5, applied + greatest(-1.0::DOUBLE, least(1.0::DOUBLE,
+                    CASE WHEN angle BETWEEN 0 AND 2.35::DOUBLE AND abs(velocity) <= 3 THEN greatest(-5, least(5, torque)) ELSE 0 END - applied)))) AS applied
+                FROM run JOIN lp ON lp.subject_id = run.subject_id AND lp.session_id = run.session_id AND lp.i = run.i + 1))))
+        SELECT subject_id, session_id, i, {r('applied, angle, velocity', 5)} FROM run WHERE i >= 0""",
+)(lambda s, d: rounded(decision.plant(loop(s, d), *KEYS), 5))
+derived("plant_actuator", "loop_baseline", "subject_id, session_id, i, applied")
+derived("plant_elbow", "loop_baseline", "subject_id, session_id, i, angle, velocity")
+
+# One-class distances and monitors
+
+_M = "st AS (SELECT avg(rms_ch0) AS ma, avg(wl_ch0) AS mb, var_samp(rms_ch0) + 1e-6 AS va, var_samp(wl_ch0) + 1e-6 AS vb, covar_samp(rms_ch0, wl_ch0) AS c FROM win WHERE pure)"
+_D = f"{_M}, dist AS (SELECT subject_id, session_id, seq, sqrt((vb * (rms_ch0 - ma) ** 2 - 2 * c * (rms_ch0 - ma) * (wl_ch0 - mb) + va * (wl_ch0 - mb) ** 2) / (va * vb - c * c)) AS distance FROM win, st WHERE pure)"
+
+
+def distances(spark, sf_dir):
+    w = windows(spark, sf_dir).filter("pure")
+    model = models.OneClass.fit(w, ["rms_ch0", "wl_ch0"])
+    return w.select(*ID, model.distance().alias("distance"), model.flag().alias("flag"))
+
+
+register("anom_distance", f"WITH {o.WINDOWS}, {_D} SELECT subject_id, session_id, seq, round(distance, 6) AS distance FROM dist")(lambda s, d: rounded(distances(s, d).select(*ID, "distance")))
+register("agg_quantile", f"WITH {o.WINDOWS}, {_D} SELECT round(quantile_cont(distance, 0.975), 6) AS threshold FROM dist")(lambda s, d: rounded(distances(s, d).agg(F.percentile("distance", F.lit(0.975)).alias("threshold"))))
+register("anom_flag_rate", f"WITH {o.WINDOWS}, {_D} SELECT session_id, round(avg((distance > (SELECT quantile_cont(distance, 0.975) FROM dist))::INT), 6) AS flag_rate FROM dist GROUP BY session_id")(
+    lambda s, d: rounded(distances(s, d).groupBy("session_id").agg(F.avg(F.col("flag").cast("double")).alias("flag_rate")))
+)
+register(
+    "anom_adaptive",
+    f"WITH {o.WINDOWS}, {_D} SELECT subject_id, session_id, seq, CASE WHEN count(*) OVER w >= 20 THEN round(quantile_cont(distance, 0.975) OVER w, 6) ELSE 'inf'::DOUBLE END AS threshold FROM dist WINDOW w AS (PARTITION BY subject_id, session_id ORDER BY seq ROWS BETWEEN 3999 PRECEDING AND CURRENT ROW)",
+)(lambda s, d: models.adaptive_threshold(distances(s, d), "distance", *KEYS, least=20).select(*ID, F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(F.round("threshold", ROUND)).alias("threshold")))
+register("mon_recall", f"WITH {o.PREDICTIONS} SELECT session_id, round({_HIT} FILTER (y_true = 0), 6) AS rest_recall, round({_HIT} FILTER (y_true <> 0), 6) AS move_recall, round(avg(confidence), 6) AS mean_confidence FROM pred GROUP BY session_id")(
+    lambda s, d: rounded(
+        predictions(s, d).groupBy("session_id").agg(
+            F.avg(F.when(F.col("y_true") == 0, (F.col("y_pred") == 0).cast("double"))).alias("rest_recall"), F.avg(F.when(F.col("y_true") != 0, (F.col("y_true") == F.col("y_pred")).cast("double"))).alias("move_recall"), F.avg("confidence").alias("mean_confidence")
+        )
+    )
+)
+
+
+@register("mon_decision")
+def mon_decision(spark, sf_dir):
+    """Two models on the same windows, fitted on the first session: confidence, disagreement and predicted movement by session."""
+    columns = [f"{f}_{c}" for f in win.FEATURES for c in win.CHANNELS]
+    w = win.binary_labels(windows(spark, sf_dir).filter("pure")).select(*ID, "label", *columns)
+    train = w.filter("session_id = 'd00'")
+    lda = models.Discriminant.fit(train, columns).predict(w).withColumnRenamed("y_pred", "y_lda").withColumnRenamed("confidence", "c_lda")
+    both = models.logistic(train, columns)(lda)
+    return rounded(both.groupBy("session_id").agg(F.avg("confidence").alias("mean_confidence"), F.avg((F.col("y_pred") != F.col("y_lda")).cast("double")).alias("disagreement"), F.avg((F.col("y_lda") != 0).cast("double")).alias("move_share")))

@@ -65,7 +65,7 @@ def embedding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recording_index(paths: DataFrame, path: str = "path") -> DataFrame:
     """File paths with a subject, a day and a time in their names: sorted keys, others dropped."""
     stem = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
-    part = lambda k: F.regexp_extract(stem, r"(?i)S(\d+)_D(\d+)_T(\d+)", k).cast("int")
+    part = lambda k: F.regexp_extract(stem, r"(?i)S(\d+)_D(\d+)_T(\d+)", k).try_cast("int")
     good = paths.filter(~stem.startswith("._") & ~F.col(path).contains("__MACOSX") & part(1).isNotNull())
     return good.select(path, F.format_string("s%02d", part(1)).alias("subject_id"), F.format_string("d%02d_t%02d", part(2), part(3)).alias("session_id"))
 
