@@ -163,6 +163,11 @@ def merge_many(rows: list[list[int]], table: MergeTable) -> list[np.ndarray]:
 _SPACE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎    　﻿" + "".join(map(chr, range(0x2000, 0x2010))))
 
 
+def separate(part: str) -> bool:
+    """Whether the text between two spaces is encoded alike whatever stands beyond them."""
+    return bool(part) and part[0] not in _SPACE and part[-1] not in _SPACE
+
+
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -239,7 +244,7 @@ class ChunkedEncoder:
         line end between other characters is a token of its own, and so is
         punctuation that ends a word.
         """
-        if not part or part[0] in _SPACE or part[-1] in _SPACE:
+        if not separate(part):
             return b"!", True
         if _letters(part):
             return self._word(ahead + part), len(part) < 60

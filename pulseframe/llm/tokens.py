@@ -9,17 +9,19 @@ access, counting and search need one step a plane.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.bpe import VOCABULARY, ChunkedEncoder
+from pulseframe.llm.bpe import VOCABULARY, byte_alphabet, separate
 from pulseframe.llm.common import shuffle_files_go_at_the_end, text_or_empty
 
 END_ID = 2
@@ -27,6 +29,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Words that a worker keeps, in each of two generations.
 KEPT_WORDS = 500_000
+#: Characters of text that are cut into words together, and words that are one call's text.
+BLOCK, JOINED = 1 << 23, 2048
 SUPER = 64  # bytes of a plane between two rank counts
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -42,7 +46,7 @@ class WaveletMatrix:
         now = np.ascontiguousarray(values, np.uint16 if bits <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for bit in range(bits - 1, -1, -1):
-            on = (now >> bit & 1).astype(bool)
+            on = (now & now.dtype.type(1 << bit)) != 0
             low = now[~on]
             planes.append(np.packbits(on, bitorder="little"))
             zeros.append(len(low))
@@ -128,20 +132,117 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
             on = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            now[self.zeros[k]:] |= now.dtype.type(1 << self.bits - 1 - k)
             back = np.empty_like(now)
-            back[~on], back[on] = now[: self.zeros[k]], now[self.zeros[k]:] | now.dtype.type(1 << self.bits - 1 - k)
+            back[~on], back[on] = now[: self.zeros[k]], now[self.zeros[k]:]
             now = back
         return now
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> tuple[ChunkedEncoder, int]:
-    from tokenizers import Tokenizer
+class LibraryEncoder:
+    """Token ids of whole texts by the tokenizers library, as packed 32-bit integers.
+
+    The texts of a block are cut at their spaces; each different piece is encoded
+    once, with the space ahead of it, and short ones are kept for later blocks. A text
+    with a piece that isn't separate from its neighbours is encoded at once.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    encode = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
-    words = lambda w: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(w, add_special_tokens=False)]
-    return ChunkedEncoder(encode, words, KEPT_WORDS), max(1, (tokenizer.get_vocab_size() - 1).bit_length())
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bits = max(vocabulary.values()).bit_length()
+        space = next(c for c, b in byte_alphabet().items() if b == 32)
+        self.begins = np.zeros(1 << self.bits, bool)  # ids of tokens that begin with a space
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        packed = np.fromiter((i for x in ids for i in x), np.uint32, ends[-1] // 4 if ends else 0).tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+    def spaced(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of a space and each part; they are encoded as one text, in which a part begins where a token begins with a space."""
+        out: list[bytes] = []
+        groups = [parts[k:k + JOINED] for k in range(0, len(parts), JOINED)]
+        joined = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, coded in zip(groups, joined):
+            ids = np.array(coded.ids, np.uint32)
+            starts = np.flatnonzero(self.begins[ids]) * 4
+            if len(starts) != len(group):  # an added token took the space beside it
+                out += self.whole([" " + p for p in group])
+                continue
+            packed, starts = ids.tobytes(), starts.tolist()
+            out += [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]
+        return out
+
+    def pieces(self, parts: list[str]) -> list[bytes | None]:
+        """Packed ids of a space and each part; None where the part isn't separate."""
+        out = list(map(self.now.get, parts))
+        unknown = [k for k, x in enumerate(out) if x is None]
+        fresh = {}
+        for k in unknown:
+            p = parts[k]
+            if (x := self.old.get(p)) is not None:
+                out[k] = fresh[p] = x
+        new = [k for k in unknown if out[k] is None and separate(parts[k])]
+        names = [parts[k] for k in new]
+        coded = self.spaced(names)
+        for k, x in zip(new, coded):
+            out[k] = x
+        fresh.update((p, x) for p, x in zip(names, coded) if len(p) < 60)
+        if len(self.now) + len(fresh) > self.kept:
+            self.now, self.old = {}, self.now
+        self.now.update(fresh)
+        return out
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        first = np.zeros(len(at), bool)
+        first[ends[:-1]] = True
+        parts = coded.dictionary.to_pylist()
+        inside = np.zeros(len(parts), bool)
+        inside[at[~first]] = True
+        inner = np.flatnonzero(inside).tolist()  # parts that stand after a space somewhere
+        packed: list[bytes | None] = [None] * len(parts)
+        for k, x in zip(inner, self.pieces([parts[k] for k in inner])):
+            packed[k] = x
+        missing = np.array([x is None for x in packed], bool)[at] & ~first
+        odd = np.add.reduceat(missing, ends[:-1], dtype=np.int64) > 0
+        heads = [parts[k] for k in at[ends[:-1]].tolist()]
+        odd |= np.array([not separate(h) for h in heads], bool)
+        at = at.tolist()
+        ahead = self.whole([t if o else h for t, h, o in zip(texts, heads, odd.tolist())])
+        return [
+            x if o else x + b"".join(map(packed.__getitem__, at[a + 1:b]))
+            for x, o, a, b in zip(ahead, odd.tolist(), ends[:-1].tolist(), ends[1:].tolist())
+        ]
+
+    def packed_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text, block by block."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= BLOCK:
+                yield from self.block(held)
+                held, size = [], 0
+        if held:
+            yield from self.block(held)
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 BLOCKS = "shard long, block long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, matrix binary"
@@ -157,13 +258,13 @@ def write_tokens(df: DataFrame, to: str, id_column: str = "doc_id", text: str =
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bits = library_encoder(path)
+        encoder = library_encoder(path)
         end = np.array([end_id], np.uint32).tobytes()
         shard, block = TaskContext.get().partitionId(), 0
         ids, lengths, packed, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(packed), np.uint32), bits).to_bytes()
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(packed), np.uint32), encoder.bits).to_bytes()
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "n_ids": [total], "doc_ids": [ids], "lengths": [lengths], "matrix": [matrix]}, _BLOCKS)
 
         for batch in batches:
