@@ -21,12 +21,12 @@ RULES = (
 )
 #: One of these rejects.
 STRICT = ("casino", "porn", "xxx", "viagra", "escort", "jackpot", "spam", "malware", "phishing", "torrent")
-#: Terms with weights: distinct ones that together weigh REJECT_AT or more reject.
+#: Terms with weights: LEAST_SOFT or more distinct ones that together weigh REJECT_AT or more reject.
 SOFT = {
     "free": 1, "bet": 1, "bets": 1, "win": 1, "cheap": 1, "pills": 1, "ads": 1, "track": 1, "tracker": 1, "farm": 1,
     "deal": 1, "deals": 1, "loan": 1, "loans": 1, "bonus": 1, "click": 1, "adult": 2, "poker": 2, "pharmacy": 1, "sale": 1,
 }
-REJECT_AT = 2
+LEAST_SOFT, REJECT_AT = 2, 2
 
 
 def ascii_lower(c: Column) -> Column:
@@ -82,7 +82,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, sof
     """Add host, path, rule, verdict ("allow" or "block"), strict_hits, soft_hits and soft_weight.
 
     The longest fitting rule decides; without one, the vocabulary: one strict term
-    blocks, and so do distinct soft terms that weigh reject_at or more together. A
+    blocks, and so do LEAST_SOFT or more distinct soft terms that weigh reject_at or more together. A
     null or empty url has no host, path or hits and is allowed. Existing columns of
     these names are replaced. Every row is judged by itself.
     """
@@ -94,7 +94,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, sof
         for u in urls:
             s, w = hits(u.as_py() or "", strict, soft)
             weight = sum(w.values())
-            rows.append({"strict_hits": len(s), "soft_hits": len(w), "soft_weight": weight, "reject": bool(s) or weight >= reject_at})
+            rows.append({"strict_hits": len(s), "soft_hits": len(w), "soft_weight": weight, "reject": bool(s) or (len(w) >= LEAST_SOFT and weight >= reject_at)})
         return pa.array(rows, _HITS)
 
     named = df.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
