@@ -30,7 +30,7 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.bpe_decode(bpe.bpe_encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    coded = bpe.bpe_round_trip(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

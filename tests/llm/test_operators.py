@@ -7,6 +7,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,6 +106,19 @@ def test_bpe_equals_the_library(table, none, library):
         assert r.ids == ids
         assert r.decoded == library.decode(ids, skip_special_tokens=False) == (r.text or "")
     assert bpe.bpe_decode(bpe.bpe_encode(none)).count() == 0
+    again = bpe.bpe_round_trip(df.withColumn("IDS", F.lit(1))).select("text", "ids", "decoded").collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, coded))
+    assert bpe.bpe_round_trip(none).count() == 0
+
+
+def test_slices_hold_every_text():
+    texts = ["", "ab", "c" * 50, "é" * 20, "", "x", "y" * 9]
+    for array in (pa.array(["skipped", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+        for most in (1, 10, 45, 1000):
+            parts = list(bpe.slices(array, most))
+            assert sum(parts, []) == texts
+            assert all(len(p) == 1 or sum(len(t.encode()) for t in p) <= most for p in parts)
+    assert list(bpe.slices(pa.array([], pa.string()))) == []
 
 
 def test_bpe_on_odd_texts(library):
