@@ -10,6 +10,7 @@ access, counting and search need one step a plane.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.bpe import VOCABULARY, byte_alphabet, separate
+from pulseframe.llm.bpe import VOCABULARY, TwoGenerations, byte_alphabet, separate
 from pulseframe.llm.common import shuffle_files_go_at_the_end, text_or_empty
 
 END_ID = 2
@@ -31,6 +32,9 @@ BLOCK_IDS = 1 << 20
 KEPT_WORDS = 500_000
 #: Characters of text that are cut into words together, and words that are one call's text.
 BLOCK, JOINED = 1 << 23, 2048
+#: A word of Latin letters and the punctuation at its end: byte-level pre-tokenizers cut it between the two and nowhere else.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[!-/:-@\\[-`{-~]*")
 SUPER = 64  # bytes of a plane between two rank counts
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -144,11 +148,13 @@ class LibraryEncoder:
 
     The texts of a block are cut at their spaces; each different piece is encoded
     once, with the space ahead of it, and short ones are kept for later blocks. A text
-    with a piece that isn't separate from its neighbours is encoded at once.
+    with a piece that isn't separate from its neighbours is encoded at once. Plain words
+    go to the vocabulary's model cut and spelled as the pre-tokenizer would, which is
+    most of its work.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
@@ -156,7 +162,15 @@ class LibraryEncoder:
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.bits = max(vocabulary.values()).bit_length()
-        space = next(c for c, b in byte_alphabet().items() if b == 32)
+        self.spelled = {b: c for c, b in byte_alphabet().items()}
+        space, self.spelled[10] = self.spelled[32], " "  # a line end is where to cut
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        split, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        # words alone are looked up, so an added token that holds punctuation isn't in one
+        byte_level = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.usual = byte_level and self.tokenizer.normalizer is None and all(t.content.strip(PUNCTUATION) != t.content for t in added)
+        self.endings = TwoGenerations(lambda s: (self.whole([s])[0], True), 4096)
         self.begins = np.zeros(1 << self.bits, bool)  # ids of tokens that begin with a space
         self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
 
@@ -167,11 +181,26 @@ class LibraryEncoder:
         packed = np.fromiter((i for x in ids for i in x), np.uint32, ends[-1] // 4 if ends else 0).tobytes()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def spaced(self, parts: list[str]) -> list[bytes]:
-        """Packed ids of a space and each part; they are encoded as one text, in which a part begins where a token begins with a space."""
+    def spaced(self, parts: list[str], fresh: dict[str, bytes]) -> list[bytes]:
+        """Packed ids of a space and each part. fresh gets the plain words that are new."""
+        words = [p.rstrip(PUNCTUATION) if self.usual and PLAIN.fullmatch(p) else "" for p in parts]
+        coded = {w: self.now.get(w) or self.old.get(w) or fresh.get(w) for w in words if w}
+        new = [w for w, x in coded.items() if x is None]
+        made = dict(zip(new, self._joined(new, True)))
+        coded |= made
+        fresh.update((w, x) for w, x in made.items() if len(w) < 60)
+        other = iter(self._joined([p for p, w in zip(parts, words) if not w], False))
+        return [coded[w] + self.endings[p[len(w):]] if w else next(other) for p, w in zip(parts, words)]
+
+    def _joined(self, parts: list[str], plain: bool) -> list[bytes]:
+        """The parts are encoded as one text, in which a part begins where a token begins with a space."""
         out: list[bytes] = []
         groups = [parts[k:k + JOINED] for k in range(0, len(parts), JOINED)]
-        joined = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        if plain:
+            texts = [("\n".join([" " + w for w in g])).encode().decode("latin-1").translate(self.spelled) for g in groups]
+        else:
+            texts = [" " + " ".join(g) for g in groups]
+        joined = (self.model if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         for group, coded in zip(groups, joined):
             ids = np.array(coded.ids, np.uint32)
             starts = np.flatnonzero(self.begins[ids]) * 4
@@ -193,7 +222,7 @@ class LibraryEncoder:
                 out[k] = fresh[p] = x
         new = [k for k in unknown if out[k] is None and separate(parts[k])]
         names = [parts[k] for k in new]
-        coded = self.spaced(names)
+        coded = self.spaced(names, fresh)
         for k, x in zip(new, coded):
             out[k] = x
         fresh.update((p, x) for p, x in zip(names, coded) if len(p) < 60)
@@ -209,7 +238,7 @@ class LibraryEncoder:
         at = coded.indices.to_numpy()
         first = np.zeros(len(at), bool)
         first[ends[:-1]] = True
-        parts = coded.dictionary.to_pylist()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         inside = np.zeros(len(parts), bool)
         inside[at[~first]] = True
         inner = np.flatnonzero(inside).tolist()  # parts that stand after a space somewhere
