@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,15 +88,25 @@ def plant(df: DataFrame, *by: str, dt: float = 0.05) -> DataFrame:
     """Torques in order of i through limits, actuator and elbow: applied, angle and velocity a tick.
 
     What a tick may apply depends on where the last one left the elbow, so a run is
-    one fold, linear in its ticks.
+    one fold, linear in its ticks. Runs come sorted, a batch at a time, and the fold
+    carries only its state from one batch to the next, so a run may have any length.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state, out = rows.sort_values("i"), (0.0, 0.0, 0.0), []
-        for t in rows["torque"]:
-            state = plant_tick(t, *state, dt)
-            out.append(state)
-        return rows[[*by, "i"]].assign(applied=[o[0] for o in out], angle=[o[1] for o in out], velocity=[o[2] for o in out])
-
-    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, "i", "torque").groupBy(*by).applyInPandas(fold, f"{keys}, i long, applied double, angle double, velocity double")
+    schema = df.select(*by, "i").schema
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, state = None, (0.0, 0.0, 0.0)
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(len(by)))) if by else repeat(())
+            for key, t in zip(keys, batch.column(len(by) + 1).to_pylist()):
+                if key != run:
+                    run, state = key, (0.0, 0.0, 0.0)
+                state = plant_tick(math.nan if t is None else t, *state, dt)
+                out.append(state)
+            done = [pa.array([o[k] for o in out], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], *done], [*by, "i", "applied", "angle", "velocity"])
+
+    rows = df.select(*by, F.col("i").cast("long").alias("i"), F.col("torque").cast("double").alias("torque"))
+    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, "i")
+    return rows.mapInArrow(fold, types.rsplit("`i` ", 1)[0] + "`i` long, applied double, angle double, velocity double")
