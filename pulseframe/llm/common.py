@@ -6,24 +6,29 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (a local session, as in tests) a temporary
-    folder of this machine serves, and goes when Python ends.
+    Only where the setting is absent in a local session (as in tests) a temporary
+    folder of this machine serves, and goes when Python ends. On a cluster, where
+    executors would each write to their own disks, an absent setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="pulseframe-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -32,7 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, in whatever store they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch paths in here goes at the end; results must be written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_scopes.pop())
 
 
 @contextmanager
@@ -56,7 +81,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with shuffle_files_go_at_the_end(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df._scratch)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores ahead until no frame has a column called so (Spark's names know no case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Rows that a table may have to be broadcast; callers keep their rows to a few hundred bytes.
+MAX_BROADCAST = 1 << 18
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """df, marked for broadcast if it has been counted to at most so many rows; else the planner joins it as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -3,8 +3,8 @@
 Memtables are slices of the rows, aggregated by digest before they are shuffled; each
 is flushed as a run: digests in sorted order, with the smallest and largest identifier and the
 number of rows. Compaction merges the runs by digest. The digests that more than one
-row has make the filter, a bit set of fixed size; the rows that pass it are hits, and
-their texts are compared byte by byte before they count as equal.
+row has make the filter, a bit set sized by their number; the rows that pass it are
+hits, and their texts are compared byte by byte before they count as equal.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import materialize, scratch, shuffle_files_go_at_the_end, text_or_empty
+from pulseframe.llm.common import fresh, materialize, scratch, shuffle_files_go_at_the_end, text_or_empty
 
-#: Bits of the filter. Its rows are words of 64 bits, so 2**18 rows of 16 bytes at most: it can always be broadcast.
-FILTER_BITS = 24
+#: Bits of the filter for each digest in it (about one in so many other rows passes), and its least and largest size
+#: as powers of two. Its rows are words of 64 bits: at most 2**20 rows of 16 bytes, so it can always be broadcast.
+BITS_A_DIGEST, LEAST_BITS, MOST_BITS = 16, 12, 26
 MEMTABLES = 4
 
 
@@ -65,22 +66,49 @@ def bit_of(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(1 << bits))
 
 
-def filter_of(digests: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The digests' bits as (word, mask): at most 2**(bits - 6) rows, whatever the input."""
+def filter_bits(digests: int) -> int:
+    """The power of two for so many digests."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_A_DIGEST * digests).bit_length()))
+
+
+def filter_of(digests: DataFrame, bits: int) -> DataFrame:
+    """The bits of the column digest as (word, mask): at most 2**(bits - 6) rows, whatever the input."""
     bit = bit_of(F.col("digest"), bits)
     return digests.groupBy((bit / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("mask"))
 
 
-def may_contain(df: DataFrame, digest: Column, words: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose bit is set; the words are bounded by the number of bits, so they are broadcast."""
-    bit = bit_of(digest, bits)
-    probe = df.withColumn("_word", (bit / 64).cast("long")).withColumn("_bit", (bit % 64).cast("int"))
-    hit = (probe["_word"] == words["word"]) & (F.call_function("shiftrightunsigned", words["mask"], probe["_bit"]).bitwiseAND(F.lit(1)) == 1)
-    return probe.join(F.broadcast(words), hit, "left_semi").drop("_word", "_bit")
+def split_by_filter(df: DataFrame, digest: Column, words: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose bit is set, and the others. The words are bounded by the number of bits, so they are broadcast and no row moves."""
+    bit, words = bit_of(digest, bits), words.toDF(word := fresh("word", df), mask := fresh("mask", df))
+    hit = ((bit / 64).cast("long") == F.col(word)) & (F.call_function("shiftrightunsigned", F.col(mask), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return df.join(F.broadcast(words), hit, "left_semi"), df.join(F.broadcast(words), hit, "left_anti")
+
+
+def without(df: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """The rows of df whose keys (name in gone -> column of df) no row of gone has; null keys equal null.
+
+    A filter of the keys that go lets most rows of df pass where they are; only
+    those that it holds, the rows of gone and about one other in BITS_A_DIGEST, are
+    joined exactly. Where there are more such keys than the largest filter can tell
+    apart, the join takes all rows.
+    """
+    gone = gone.select(*keys).distinct()
+    n = gone.count()
+    if not n:
+        return df
+    names = {k: fresh(f"_{k}", df) for k in keys}
+    right = gone.toDF(*names.values())
+    same = [df_key.eqNullSafe(F.col(names[k])) for k, df_key in keys.items()]
+    bits = filter_bits(n)
+    if (n >> bits - 2) > 0:  # under four bits a key it lets nearly all rows through
+        return df.join(right, same, "left_anti")
+    words = materialize(filter_of(gone.select(F.xxhash64(*keys).alias("digest")), bits), "filter")
+    hits, misses = split_by_filter(df, F.xxhash64(*keys.values()), words, bits)
+    return misses.unionByName(hits.join(right, same, "left_anti"))
 
 
 def duplicate_groups(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "largest", digest=sha256, bits: int = FILTER_BITS
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "largest", digest=sha256, bits: int | None = None
 ) -> DataFrame:
     """One row per row of df: id, digest, keep_id, group_size, kept.
 
@@ -88,8 +116,9 @@ def duplicate_groups(
     row with the largest (keep="smallest": the smallest) id stays. A null id loses
     to any other; of several rows with the id that stays and the same text one is
     kept. Texts with equal digests count as equal only if their bytes are: digest may
-    be any function of the text. Other columns of df play no part. An empty df
-    gives no rows.
+    be any function of the text. Other columns of df, whatever their names, play no
+    part. Texts of any length are read whole. bits sets the size of the filter
+    (by default after the number of repeated digests). An empty df gives no rows.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_column).alias("id"), text_or_empty(text).alias("_text")).withColumn("digest", digest(F.col("_text")))
@@ -101,7 +130,9 @@ def duplicate_groups(
 
     # Byte verification: hits meet by digest and text, aggregated before the shuffle.
     suspects = compacted.filter("n > 1").select("digest")
-    hits = may_contain(rows, F.col("digest"), filter_of(suspects, bits), bits).join(suspects, "digest", "left_semi")
+    bits = bits or filter_bits(suspects.count())
+    words = materialize(filter_of(suspects, bits), "filter")
+    hits = split_by_filter(rows, F.col("digest"), words, bits)[0].join(suspects, "digest", "left_semi")
     best = F.max if keep == "largest" else F.min
     classes = materialize(
         hits.groupBy("digest", "_text").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("_key", F.sha2("_text", 512)).drop("_text"), "classes"
@@ -122,12 +153,20 @@ def duplicate_groups(
 
 
 def keep_distinct(df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of df that duplicate_groups keeps, with their columns."""
+    """The rows of df that duplicate_groups keeps, with their columns under their names.
+
+    Of rows that repeat both id and text (null counts as empty) one stays. Rows of
+    groups that lose none aren't moved. Null ids, empty, null and very long texts,
+    ties and an empty df are as in duplicate_groups.
+    """
     groups = duplicate_groups(df, id_column, text, keep)
-    dropped = materialize(groups.filter(~F.col("kept")).select(F.col(id_column).alias("_id"), F.col("digest").alias("_digest"), F.col(id_column).eqNullSafe(F.col("keep_id")).alias("_repeat")), "dropped")
+    dropped = materialize(groups.filter(~F.col("kept")).select(F.col(id_column).alias("id"), "digest", F.col(id_column).eqNullSafe(F.col("keep_id")).alias("repeat")), "dropped")
     digest = sha256(text_or_empty(df[text]))
-    others = dropped.filter(~F.col("_repeat")).distinct()
-    rest = df.join(others, df[id_column].eqNullSafe(others["_id"]) & (digest == others["_digest"]), "left_anti")
-    if dropped.filter("_repeat").isEmpty():
+    rest = without(df, {"id": df[id_column], "digest": digest}, dropped.filter(~F.col("repeat")))
+    repeated = dropped.filter("repeat").select("digest").distinct()
+    if not (n := repeated.count()):
         return rest
-    return rest.dropDuplicates([id_column, text])  # rows that repeat both their id and their text
+    key = fresh("_digest", df)
+    bits = filter_bits(n)
+    hits, misses = split_by_filter(rest.withColumn(key, sha256(text_or_empty(text))), F.col(key), materialize(filter_of(repeated, bits), "filter"), bits)
+    return misses.unionByName(hits.dropDuplicates([id_column, key])).drop(key)

@@ -3,7 +3,8 @@
 A linear model of text statistics minimises the non-negative unbiased risk
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 from trusted positives and unlabelled text, where pi is the estimated share of
-positives in the unlabelled text.
+positives in the unlabelled text. The trusted positives are rows with label 1 of the
+training fold, the unlabelled text documents without a label; label 0 isn't used.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import materialize, text_or_empty
+from pulseframe.llm.common import fresh, text_or_empty
 
-#: Rows of the training fold on which the model is fitted, at most; those with the least hashes of their ids.
+#: Positives, and unlabelled rows, on which the model is fitted, at most; those with the least hashes of their ids.
 MAX_TRAINING_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
 
@@ -84,11 +85,6 @@ class Model:
     prior: float
 
 
-def estimate_prior(labels: np.ndarray) -> float:
-    """The share of positives among labelled rows of the training fold, kept off 0 and 1."""
-    return float(np.clip(labels.mean(), 0.02, 0.98)) if len(labels) else 0.5
-
-
 def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     z = np.clip((x - mean) / scale, -6, 6)
     return np.concatenate([z, np.abs(z)], axis=1)
@@ -118,28 +114,72 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives in the unlabelled rows, from scores that tell positives from unlabelled rows.
+
+    The share of unlabelled rows from some score on, over that of positives, bounds
+    the prior for every score; the least such bound, where the scores are as pure as
+    they get, estimates it. Scores come from models of the other half of the rows,
+    and the allowance for chance keeps the choice off thin tails. It is kept off 0 and 1.
+    """
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    if min(len(x) for half in halves for x in half) < 2:
+        return 0.5
+    scores: tuple[list, list] = [], []
+    for k in (0, 1):
+        model = fit_nnpu(*halves[k], 0.5, steps=500)
+        for out, x in zip(scores, halves[1 - k]):
+            out.append(margins(x, model))
+    p, u = (np.sort(np.concatenate(x)) for x in scores)
+    at = np.unique(np.concatenate([p, u]))
+    share_p, share_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+    chance = math.sqrt(math.log(4 / doubt) / 2) * (1 / math.sqrt(len(p)) + 1 / math.sqrt(len(u)))
+    at = np.flatnonzero(share_p > 0)
+    best = at[np.argmin((share_u[at] + (1 + slack) * chance) / share_p[at])]
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+
+
+def margins(x: np.ndarray, model: Model) -> np.ndarray:
+    return _design(x, model.mean, model.scale) @ model.weight + model.bias
+
+
 def held_out(id_: Column) -> Column:
     """Rows that no label is learned from: crc32 of the id as text leaves 1 by 3. A null id isn't held out, and has no label."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Fit on a bounded sample of labelled rows of the training fold.
+def training_ids(df: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> list[tuple]:
+    """(id, whether a trusted positive) of the rows to fit on, at most 2 * max_rows: of positives
+    and of unlabelled ids those with the least hashes. Only ids and labels are read.
 
-    features: (id, features); labels: (id, label), null or repeated labels are
-    dropped or all count. Rows with label 1 are the trusted positives, and the
-    texts of all labelled rows, whatever their label, are the unlabelled text; labels
-    enter besides through the prior alone. At most max_rows rows, those with the least
-    hashes of their ids, come to the driver. Without a positive, or without rows, the model says 0.5.
+    df has the column id, labels has id and label. A row counts as positive if a label of its id in
+    the training fold is 1, as unlabelled if its id has none (null ids are neither). Where
+    all ids have labels, those of the training fold stand in as unlabelled.
     """
-    fold = labels.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    rows = features.join(fold, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("features", "label").collect()
-    x = np.array([r["features"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    y = np.array([r["label"] for r in rows], float)
-    if not (y == 1).any():
-        zero = np.zeros(len(FEATURES))
+    known = labels.filter(F.col("label").isNotNull() & F.col("id").isNotNull())
+    fold = known.filter(~held_out(F.col("id")))
+    ids = df.filter(F.col("id").isNotNull()).select("id")
+    least = lambda rows: [r.id for r in rows.distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows).collect()]
+    positive = least(ids.join(fold.filter("label = 1").select("id"), "id", "left_semi"))
+    unlabelled = least(ids.join(known.select("id"), "id", "left_anti")) or least(ids.join(fold.select("id"), "id", "left_semi"))
+    return [(i, True) for i in positive] + [(i, False) for i in unlabelled]
+
+
+def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Model:
+    """The model. Statistics are computed of the texts that it is fitted on alone, a
+    bounded number, and come to the driver. Without a positive or an unlabelled row it says 0.5."""
+    spark = df.sparkSession
+    docs = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    chosen = training_ids(docs, labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")), max_rows)
+    zero = np.zeros(len(FEATURES))
+    if len({positive for _, positive in chosen}) < 2:
         return Model(zero, zero + 1, np.zeros(2 * len(FEATURES)), 0.0, 0.5)
-    return fit_nnpu(x[y == 1], x, estimate_prior(y))
+    picked = spark.createDataFrame(chosen, f"id {docs.schema['id'].dataType.simpleString()}, positive boolean")
+    # An id that several rows have brings one of them.
+    rows = with_features(docs.join(F.broadcast(picked), "id")).groupBy("id", "positive").agg(F.min("features").alias("features")).orderBy(F.xxhash64("id"), "id").collect()
+    side = lambda positive: np.array([r["features"] for r in rows if r["positive"] == positive], float)
+    positive, unlabelled = side(True), side(False)
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(features: DataFrame, model: Model, column: str = "features", out: str = "score") -> DataFrame:
@@ -148,31 +188,41 @@ def score(features: DataFrame, model: Model, column: str = "features", out: str
     @F.arrow_udf("double")
     def scores(rows: pa.Array) -> pa.Array:
         x = rows.flatten().to_numpy().reshape(-1, len(FEATURES))
-        margin = _design(x, model.mean, model.scale) @ model.weight + model.bias
-        return pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
+        return pa.array(1 / (1 + np.exp(-np.clip(margins(x, model), -40, 40))))
 
     return features.withColumn(out, scores(F.col(column)))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> tuple[Model, DataFrame]:
-    """The model, and the written table (id, features) of all rows of df."""
-    known = materialize(with_features(df.select(F.col(id_column).alias("id"), text), text).select("id", "features"), "features")
-    return train(known, labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")), max_rows), known
+def score_texts(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Add the column out: the score of the whole text, in one Arrow step. A null text counts as empty."""
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        x = np.array([text_features(t.as_py() or "") for t in texts], float).reshape(-1, len(FEATURES))
+        return pa.array(1 / (1 + np.exp(-np.clip(margins(x, model), -40, 40))))
+
+    return df.withColumn(out, scores(text_or_empty(text)))
 
 
 def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """One row per row of df: id, held_out, score (0 to 1), predicted (1 from 0.5).
 
-    Null texts count as empty; every row gets a score. Equal texts get equal scores.
-    An empty df gives no rows.
+    Null texts count as empty; every row gets a score, of its whole text. Equal texts
+    get equal scores, so repeated rows and ties do. Null ids are scored and not
+    fitted on. Other columns of df, whatever their names, play no part. An empty df
+    gives no rows.
     """
-    model, known = fit(df, labels, id_column, text, label_column, max_rows)
-    scored = score(known, model)
+    model = fit(df, labels, id_column, text, label_column, max_rows)
+    rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    scored = score_texts(rows, model).select("id", "score")
     return scored.select(F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label_column: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The rows of df that the classifier accepts, with their columns; no text is shuffled."""
-    model, _ = fit(df, labels, id_column, text, label_column, max_rows)
-    scored = score(with_features(df, text, "_features"), model, "_features", "_score")
-    return scored.filter(F.col("_score") >= 0.5).select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of df that the classifier accepts, with their columns under their names; no text is shuffled.
+
+    Nulls, empty texts, repeated rows and an empty df are as in classify.
+    """
+    name = fresh("_score", df)
+    scored = score_texts(df, fit(df, labels, id_column, text, label_column, max_rows), text, name)
+    return scored.filter(F.col(name) >= 0.5).drop(name)

@@ -16,12 +16,14 @@ from tokenizers import Tokenizer
 from pulseframe.llm import bpe, exact, media, mixing, quality, repeats, secrets, simhash, tokens, urls
 from pulseframe.llm.common import scratch
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, media string, ids string, key string, size string, digest string, row string, print string"
+CLASHES = """spans media ids key size digest row print word mask id doc score features label positive target bucket last least whole extra
+    _id _digest _row _doc _key _copies _copy _features _score _source _size _bucket _at _of _word _bit _text _url _hits _verdict _read _scan""".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def docs(spark, rows):
     """Documents with further columns that clash with names used inside."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *["x"] * 8) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *["x"] * len(CLASHES)) for i, t, s in rows], SCHEMA)
 
 
 def random_rows(seed, n=60, words=40):
@@ -188,7 +190,7 @@ def test_media_columns(table, none):
 def test_exact_groups(table, none, keep, weak):
     rows, df = table
     digest = (lambda c: F.pmod(F.length(c), F.lit(3)).cast("string")) if weak else exact.sha256
-    got = exact.duplicate_groups(df, keep=keep, digest=digest, bits=8 if weak else 24).collect()
+    got = exact.duplicate_groups(df, keep=keep, digest=digest, bits=8 if weak else None).collect()
     groups = {}
     for i, t, _ in rows:
         groups.setdefault(t or "", []).append(i)
@@ -209,9 +211,27 @@ def test_keep_distinct(table, none):
     assert kept.columns == df.columns
     got = [r.text or "" for r in kept.collect()]
     assert sorted(got) == sorted({t or "" for _, t, _ in rows})
+    assert set(kept.select("_digest", "word").distinct().collect()) == {("x", "x")}
     assert exact.keep_distinct(none).count() == 0
 
 
+def test_one_null_or_empty_text_of_an_id_stays(spark):
+    df = docs(spark, [(1, None, "s"), (1, "", "s"), (0, "", "s"), (2, "a", "s"), (2, "a", "t"), (None, "a", "s")])
+    got = exact.keep_distinct(df).collect()
+    assert by_row((r.doc_id, r.text or "") for r in got) == by_row([(1, ""), (2, "a")])
+
+
+@pytest.mark.parametrize("n", [0, 3, 500])
+def test_rows_without_keys(spark, n, monkeypatch):
+    df = docs(spark, [(i if i % 50 else None, f"t{i % 7}" if i % 11 else None, "s") for i in range(2000)])
+    gone = spark.createDataFrame([(i if i % 50 else None, f"t{i % 7}" if i % 11 else None) for i in range(0, 2 * n, 2)], "a long, b string")
+    want = {(i if i % 50 else None, f"t{i % 7}" if i % 11 else None) for i in range(2000)} - {tuple(r) for r in gone.collect()}
+    for most in (26, 4):  # with a filter, and where no filter is large enough
+        monkeypatch.setattr(exact, "MOST_BITS", most)
+        got = exact.without(df, {"a": df.doc_id, "b": df.text}, gone)
+        assert {(r.doc_id, r.text) for r in got.collect()} == want and got.columns == df.columns
+
+
 # 5
 
 
@@ -321,8 +341,17 @@ def test_mixing(table, none):
 
 def test_repeat_rows(table, none):
     rows, df = table
-    mixed = mixing.repeat_rows(df)
-    assert mixed.columns == df.columns and set(mixed.select("text").distinct().collect()) <= set(df.select("text").distinct().collect())
+    for bucket_docs in (8, 4096):
+        mixed = mixing.repeat_rows(df, bucket_docs=bucket_docs)
+        assert mixed.columns == df.columns and set(mixed.select("_copies", "_of", "size").distinct().collect()) == {("x", "x", "x")}
+        want = []
+        twice = {}  # rows with the same id, source and size are taken alike
+        for r in mixing.mix(df, bucket_docs=bucket_docs).collect():
+            twice[r.doc_id, r.source, r.size] = max(twice.get((r.doc_id, r.source, r.size), 0), r.whole + (r.size > 0 and 2 * r.extra >= r.size))
+        for i, t, s in rows:
+            n = len((t or "").split())
+            want += [(i, t, s)] * (twice[i, s, n] if n else 0)
+        assert by_row((r.doc_id, r.text, r.source) for r in mixed.collect()) == by_row(want)
     assert mixing.repeat_rows(none).count() == 0
 
 
