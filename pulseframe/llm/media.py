@@ -55,23 +55,27 @@ def pes_header(n: int, pts: int) -> bytes:
     return b"\0\0\1" + struct.pack(">BHBBB", STREAM_ID, n + 8, 0x84, 0x80, 5) + stamp
 
 
-def packets_of(pes: bytes, counter: int) -> np.ndarray:
-    """The PES packet in transport packets; the first is a random-access point, the last is stuffed."""
+def clock_reference(ticks: int) -> list[int]:
+    """The program clock in an adaptation field: 33 bits of 90 kHz, six reserved bits, nine of 27 MHz."""
+    return [ticks >> 25 & 0xFF, ticks >> 17 & 0xFF, ticks >> 9 & 0xFF, ticks >> 1 & 0xFF, (ticks & 1) << 7 | 0x7E, 0]
+
+
+def packets_of(pes: bytes, counter: int, clock: int = 0) -> np.ndarray:
+    """The PES packet in transport packets; the first carries the clock and is a random-access point, the last is stuffed."""
     data = np.frombuffer(pes, np.uint8)
-    first = PACKET - 6
+    first = PACKET - 12
     count = 1 + max(0, -(-(len(data) - first) // (PACKET - 4)))
     out = np.full((count, PACKET), 0xFF, np.uint8)
     out[:, 0], out[:, 1], out[:, 2] = SYNC, MEDIA_PID >> 8, MEDIA_PID & 0xFF
     out[:, 3] = 0x10 | (np.arange(counter, counter + count) & 15)
     out[0, 1] |= 0x40
     out[0, 3] |= 0x20
+    out[0, 4], out[0, 5], out[0, 6:12] = 7, 0x50, clock_reference(clock)
     if count == 1:
-        stuffed = first - len(data)
-        out[0, 4], out[0, 5] = 1 + stuffed, 0x40
-        out[0, 6 + stuffed:] = data
+        out[0, 4] += first - len(data)
+        out[0, PACKET - len(data):] = data
         return out
-    out[0, 4], out[0, 5] = 1, 0x40
-    out[0, 6:] = data[:first]
+    out[0, 12:] = data[:first]
     full = first + (count - 2) * (PACKET - 4)
     out[1:-1, 4:] = data[first:full].reshape(-1, PACKET - 4)
     tail = data[full:]
@@ -89,7 +93,8 @@ def mux(payload: bytes) -> bytes:
     out, counter, step = [PAT, PMT], 0, UNIT * UNITS_PER_PES
     for k, at in enumerate(range(0, len(payload), step)):
         part = payload[at:at + step]
-        packets = packets_of(pes_header(len(part), k * UNITS_PER_PES * TICKS) + part, counter)
+        ticks = k * UNITS_PER_PES * TICKS
+        packets = packets_of(pes_header(len(part), ticks) + part, counter, ticks)
         counter = counter + len(packets) & 15
         out.append(packets.tobytes())
     return b"".join(out)
@@ -97,24 +102,44 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Demuxed:
-    payload: bytes
+    payload: bytes | None
     pts: list[int]
     random_access: list[int]  #: offsets of transport packets in bytes
     continuity_errors: int
-
-
-def section_of(packet: np.ndarray) -> bytes:
-    raw = packet.tobytes()
-    at = 5 + raw[4]
+    error: str | None = None  #: why the stream can't be read; the other fields are then empty or null
+
+
+def demux_or_error(stream: bytes) -> Demuxed:
+    """demux, where a damaged stream has no payload and says why."""
+    try:
+        return demux(stream)
+    except ValueError as e:
+        return Demuxed(None, [], [], 0, str(e))
+
+
+def section_of(packets: np.ndarray, pids: np.ndarray, pid: int) -> bytes:
+    """The section that begins in the first starting packet of the pid and ends in it."""
+    found = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 != 0))
+    if not len(found):
+        raise ValueError("a program table is missing")
+    raw = packets[found[0]].tobytes()
+    at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
+    at += 1 + raw[at] if at < PACKET else 0
+    if at + 3 > PACKET:
+        raise ValueError("a program table is cut short")
     length = (raw[at + 1] << 8 | raw[at + 2]) & 0x0FFF
     data = raw[at:at + 3 + length]
-    if crc32_mpeg(data) != 0:
+    if len(data) < 16 or len(data) < 3 + length or crc32_mpeg(data) != 0:
         raise ValueError("a program table fails its CRC")
     return data
 
 
 def demux(stream: bytes) -> Demuxed:
-    """Parse the tables, then reassemble the first elementary stream of the first program."""
+    """Parse the tables, then reassemble the first elementary stream of the first program.
+
+    ValueError where the stream can't be read as one: packets cut short, no sync
+    bytes, tables missing or failing their CRC, elementary packets without their head or end.
+    """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
@@ -124,10 +149,11 @@ def demux(stream: bytes) -> Demuxed:
         raise ValueError("sync byte missing")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     starts = packets[:, 1] & 0x40 != 0
-    pat = section_of(packets[np.flatnonzero((pids == 0) & starts)[0]])
-    pmt_pid = struct.unpack(">H", pat[10:12])[0] & 0x1FFF
-    pmt = section_of(packets[np.flatnonzero((pids == pmt_pid) & starts)[0]])
+    pat = section_of(packets, pids, 0)
+    pmt = section_of(packets, pids, struct.unpack(">H", pat[10:12])[0] & 0x1FFF)
     info = struct.unpack(">H", pmt[10:12])[0] & 0x0FFF
+    if len(pmt) < 21 + info:
+        raise ValueError("a program has no elementary stream")
     pid = struct.unpack(">H", pmt[13 + info:15 + info])[0] & 0x1FFF
     own = np.flatnonzero(pids == pid)
     media = packets[own]
@@ -135,13 +161,15 @@ def demux(stream: bytes) -> Demuxed:
     errors = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
     adapted = media[:, 3] & 0x20 != 0
     begin = np.where(adapted, 5 + media[:, 4].astype(np.int32), 4)
+    if (begin > PACKET).any():
+        raise ValueError("an adaptation field is too long")
     random = adapted & (media[:, 4] > 0) & (media[:, 5] & 0x40 != 0)
     data = media[np.arange(PACKET)[None, :] >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
     heads = (ends - (PACKET - begin))[starts[own]].tolist()
     parts, pts = [], []
     for a, b in zip(heads, [*heads[1:], len(data)]):
-        if data[a:a + 3] != b"\0\0\1":
+        if data[a:a + 3] != b"\0\0\1" or b - a < 9 or (data[a + 7] & 0x80 and b - a < 14):
             raise ValueError("PES start code missing")
         length, head = struct.unpack(">H", data[a + 4:a + 6])[0], data[a + 8]
         if data[a + 7] & 0x80:
@@ -158,15 +186,16 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % UNIT if data else UNIT)
 
 
-FEATURES = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("pts", T.ArrayType(T.LongType())), T.StructField("random_access", T.ArrayType(T.LongType())), T.StructField("continuity_errors", T.LongType())])
-_FEATURES = pa.struct([("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("continuity_errors", pa.int64())])
+FEATURES = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("pts", T.ArrayType(T.LongType())), T.StructField("random_access", T.ArrayType(T.LongType())), T.StructField("continuity_errors", T.LongType()), T.StructField("error", T.StringType())])
+_FEATURES = pa.struct([("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("continuity_errors", pa.int64()), ("error", pa.string())])
 
 
 def store_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """Add the binary column out: the text's UTF-8 bytes, padded, as a transport stream.
 
-    A null or empty text is stored as one unit of bytes 255. An existing column of
-    the name out is replaced.
+    A null or empty text is stored as one unit of bytes 255, a text of any length
+    whole; repeated rows get equal streams. An existing column of the name out is
+    replaced, all others pass through. An empty df gives no rows.
     """
 
     @F.arrow_udf(T.BinaryType())
@@ -180,11 +209,14 @@ def read_media(df: DataFrame, media: str = "media", out: str = "read") -> DataFr
     """Add the struct column out from a column of transport streams: payload, time
     stamps, byte offsets of random-access points, and breaks of the counters.
 
-    A null stream counts as empty and gives an empty payload; a damaged one fails.
+    A null stream counts as empty and gives an empty payload. A damaged one gives a
+    null payload, no stamps or points, and what is wrong in error; the rows beside it
+    are read as ever. A break of the counters alone isn't damage. An existing column
+    of the name out is replaced. An empty df gives no rows.
     """
 
     @F.arrow_udf(FEATURES)
     def read(streams: pa.Array) -> pa.Array:
-        return pa.array([demux(s.as_py() or b"").__dict__ for s in streams], _FEATURES)
+        return pa.array([demux_or_error(s.as_py() or b"").__dict__ for s in streams], _FEATURES)
 
     return df.withColumn(out, read(F.col(media)))

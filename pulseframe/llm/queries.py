@@ -26,6 +26,7 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex_sha256(shown(F.filter(spans, lambda s: s["kind"] != "entropy"))).alias("base_sha256"),
         shown(spans).alias("spans"),
         count("entropy").alias("n_entropy"),
+        F.size("suppressed_spans").cast("long").alias("n_suppressed"),
     )
 
 
@@ -86,6 +87,7 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_url_filters": urls.FILTER_SQL,
 }
 
 

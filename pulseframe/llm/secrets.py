@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.common import text_or_empty
+from pulseframe.llm.common import fresh, text_or_empty
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -23,12 +23,12 @@ CLASSES = (
     ("hex", "0123456789abcdefABCDEF", 20, 3.0),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 4.0),
 )
-#: Candidates with one of these, in any case, are known to be harmless.
+#: Windows that touch one of these, in any case, are known to be harmless.
 ALLOW = ("example", "abcdefghij", "0123456789", "placeholder", "xxxxxxxx", "changeme")
 
 
-def suspect_windows(text: str, window: int, least_bits: float) -> list[tuple[int, int]]:
-    """Merged spans of the windows whose Shannon entropy is at least least_bits.
+def suspect_windows(text: str, window: int, least_bits: float) -> list[int]:
+    """Where the windows begin whose Shannon entropy is at least least_bits.
 
     With counts c of the characters in a window of w, the entropy is
     log2(w) - sum(c * log2(c)) / w; a step of the window changes two counts.
@@ -36,7 +36,7 @@ def suspect_windows(text: str, window: int, least_bits: float) -> list[tuple[int
     term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     most = window * (math.log2(window) - least_bits) + 1e-9
     count: dict[str, int] = {}
-    total, spans = 0.0, []
+    total, starts = 0.0, []
     for i, c in enumerate(text):
         if i >= window:
             gone = text[i - window]
@@ -47,12 +47,43 @@ def suspect_windows(text: str, window: int, least_bits: float) -> list[tuple[int
         count[c] = n + 1
         total += term[n + 1] - term[n]
         if i >= window - 1 and total <= most:
-            start = i - window + 1
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], i + 1)
-            else:
-                spans.append((start, i + 1))
-    return spans
+            starts.append(i - window + 1)
+    return starts
+
+
+def allowed_places(text: str, allow: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Spans of the allow-list's terms in the text, in order."""
+    low, found = text.lower(), []
+    for term in allow:
+        at = low.find(term)
+        while at >= 0:
+            found.append((at, at + len(term)))
+            at = low.find(term, at + 1)
+    return sorted(found)
+
+
+def by_allowance(starts: list[int], window: int, places: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Windows that touch none of the places, and those that do."""
+    if not places:
+        return [(s, s + window) for s in starts], []
+    clear, harmless, k, reach = [], [], 0, -1
+    for s in starts:
+        while k < len(places) and places[k][0] < s + window:
+            reach = max(reach, places[k][1])
+            k += 1
+        (harmless if reach > s else clear).append((s, s + window))
+    return clear, harmless
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans joined where they overlap or meet, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -74,11 +105,12 @@ class EntropyScan:
             table[list(chars.encode())] = True
             self.classes.append((table, window, bits))
 
-    def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans that no known span covers, in code points; the classes' spans are merged where they meet."""
+    def spans(self, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Suspect spans and those that the allow-list suppresses, in code points; the classes' spans are merged where they meet."""
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)
-        found: list[tuple[int, int]] = []
+        clear: list[tuple[int, int]] = []
+        harmless: list[tuple[int, int]] = []
         for table, window, bits in self.classes:
             if len(data) < window:
                 continue
@@ -89,44 +121,49 @@ class EntropyScan:
             for i in np.flatnonzero(ends - starts >= window).tolist():
                 a, b = int(starts[i]), int(ends[i])
                 run = raw[a:b].decode()
-                low = run.lower()
-                if any(x in low for x in self.allow):
-                    continue
-                found += [(a + s, a + e) for s, e in suspect_windows(run, window, bits)]
-        if not found:
-            return []
+                suspect = suspect_windows(run, window, bits)
+                if suspect:
+                    for out, found in zip((clear, harmless), by_allowance(suspect, window, allowed_places(run, self.allow))):
+                        out += [(a + s, a + e) for s, e in merged(found)]
+        if not clear and not harmless:
+            return [], []
+        points = lambda spans: spans
         if len(raw) != len(text):  # bytes to code points: continuation bytes don't count
             ahead = np.cumsum((data & 0xC0) != 0x80)
-            found = [(int(ahead[s]) - 1, int(ahead[e - 1])) for s, e in found]
-        merged: list[list[int]] = []
-        for s, e in sorted(found):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        return [(s, e, 3) for s, e in merged if not any(a <= s and e <= b for a, b, _ in known)]
+            points = lambda spans: [(int(ahead[s]) - 1, int(ahead[e - 1])) for s, e in spans]
+        return merged(points(clear)), merged(points(harmless))
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+FOUND = T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("suppressed", T.ArrayType(SPAN))])
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = pa.struct([("spans", _SPANS), ("suppressed", _SPANS)])
 
 
-def secret_spans(df: DataFrame, text: str = "text", out: str = "secret_spans", classes=CLASSES, allow=ALLOW) -> DataFrame:
-    """Add the column out: array of (kind, start, end) sorted by start, then by kind as in KINDS.
+def secret_spans(df: DataFrame, text: str = "text", out: str = "secret_spans", suppressed: str = "suppressed_spans", classes=CLASSES, allow=ALLOW) -> DataFrame:
+    """Add the column out: array of (kind, start, end) sorted by start, then by kind as in KINDS;
+    and the column suppressed: the entropy spans that the allow-list holds back.
 
-    Offsets are code points, the end exclusive. A null or empty text has an empty
-    array. An existing column of the name out is replaced; all others pass through.
-    Any length of text is scanned whole, in time linear in its length.
+    Offsets are code points, the end exclusive. Pattern matches stay as they are;
+    spans of entropy come beside them, over them too. A null or empty text has empty
+    arrays. Each row is scanned by itself, so repeated rows get equal spans, and an
+    empty df gives no rows. Existing columns of the names out and suppressed are replaced;
+    all others pass through. Any length of text is scanned whole, in time linear in
+    its length.
     """
+    name = fresh("_found", df)
 
-    @F.arrow_udf(T.ArrayType(SPAN))
+    @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
         entropy = EntropyScan(classes, allow)
         rows = []
         for t in texts:
             t = t.as_py() or ""
-            base = base_spans(t)
-            rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, e, k in sorted(base + entropy.spans(t, base), key=lambda x: (x[0], x[2], x[1]))])
-        return pa.array(rows, _SPANS)
-
-    return df.withColumn(out, scan(text_or_empty(text)))
+            suspect, harmless = entropy.spans(t)
+            found = base_spans(t) + [(s, e, 3) for s, e in suspect]
+            shown = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1]))]
+            rows.append({"spans": shown(found), "suppressed": shown([(s, e, 3) for s, e in harmless])})
+        return pa.array(rows, _FOUND)
+
+    found = df.withColumn(name, scan(text_or_empty(text)))
+    return found.withColumns({out: F.col(name)["spans"], suppressed: F.col(name)["suppressed"]}).drop(name)

@@ -1,8 +1,18 @@
-"""SimHash near-dedup: fingerprints, links by pivot distance tables, components."""
+"""SimHash near-dedup: fingerprints, links by pivot distance tables, components.
+
+The table of a fingerprint holds its Hamming distances to reference fingerprints, apart
+for each of a few blocks of bits; their sums over the blocks are the distances to the whole
+references. No coordinate of two fingerprints differs by more than the fingerprints do.
+Two that differ in max_bits bits agree in some of the blocks altogether, so all
+coordinates of these blocks are equal: they are the key under which fingerprints meet. Pairs
+that meet are discarded by the largest difference of the other coordinates and of the
+sums; survivors are verified.
+"""
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -12,9 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import materialize, text_or_empty
+from pulseframe.llm import exact
+from pulseframe.llm.common import discard, materialize, text_or_empty
 
-SHINGLE, SEED, MAX_BITS, PIVOTS = 3, 42, 3, 8
+SHINGLE, SEED, MAX_BITS = 3, 42, 3
+#: Reference fingerprints, and those of them whose distances are carried along to discard pairs: one byte each of a long.
+REFERENCES, CARRIED = 14, 7
+#: Fingerprints that meet under one key before it is split.
+HOT_CELL = 512
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -57,43 +72,110 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivot_table(print_: Column, pivots: int = PIVOTS) -> Column:
-    """Hamming distances to the reference fingerprints, one byte each in a long."""
+def references(n: int = REFERENCES) -> list[int]:
     rng = random.Random(SEED)
-    references = [rng.getrandbits(64) for _ in range(pivots)]
-    distance = lambda k: F.bit_count(print_.bitwiseXOR(F.lit(signed(references[k])))).cast("long")
-    return reduce(Column.bitwiseOR, (F.shiftleft(distance(k), 8 * k) for k in range(pivots)))
+    return [rng.getrandbits(64) for _ in range(n)]
+
+
+def distances(prints: np.ndarray, mask: int, refs: list[int]) -> np.ndarray:
+    """Distances of each fingerprint to each reference within the mask, a row of bytes each."""
+    return np.bitwise_count((prints[:, None] ^ np.array(refs, np.uint64)[None, :]) & np.uint64(mask))
+
+
+def packed(table: np.ndarray) -> np.ndarray:
+    """The first CARRIED columns, one byte each in a long."""
+    out = np.zeros((len(table), 8), np.uint8)
+    out[:, : min(CARRIED, table.shape[1])] = table[:, :CARRIED]
+    return out.view("<i8")[:, 0]
+
+
+def table_key(tables: list[np.ndarray]) -> np.ndarray:
+    """All distances of some tables as one number; equal ones have equal numbers."""
+    h = np.zeros(len(tables[0]), np.uint64)
+    for column in (c for t in tables for c in t.T):
+        h = (h ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that differ in max_bits bits or fewer.
+def within(a: Column, b: Column, most: int) -> Column:
+    """Whether no byte of the two longs (seven bytes of at most 64) differs by more than most."""
+    top = F.lit(0x0080808080808080)
+    lift = F.lit(0x0080808080808080 + most * 0x0001010101010101)
+    return (a + lift - b).bitwiseAND(b + lift - a).bitwiseAND(top) == top
 
-    With more blocks than max_bits, such a pair agrees in blocks - max_bits blocks at
-    least, so it meets under one of their combinations; the more
-    fingerprints, the more blocks and the longer the keys. In the join, pairs whose
-    distances to some pivot differ by more than max_bits are discarded; survivors
-    are verified, and a pair counts under the first combination it agrees in alone.
+
+def parts_beside(mask: int, parts: int) -> list[int]:
+    """The bits outside the mask in parts of about equal size."""
+    return [sum(1 << int(b) for b in part) for part in np.array_split([b for b in range(64) if not mask >> b & 1], parts)]
+
+
+def candidates(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, refs: list[int] | None = None, hot: int = HOT_CELL) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints that the tables don't tell apart: all links, and few others; a pair may come more than once.
+
+    Pairs that differ in max_bits bits or fewer agree in blocks - max_bits blocks at least;
+    the more fingerprints, the more blocks and the longer the keys (the links are
+    the same). A key under which more than hot fingerprints meet is split by the
+    tables of max_bits + 1 parts of its other bits, of which such a pair agrees in one.
     """
+    refs = references() if refs is None else refs
     if blocks is None:
         blocks = max_bits + 2 + (prints.count() > 1 << 24)
-    masks = [sum(m) for m in combinations(block_masks(blocks), blocks - max_bits)]
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("print").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)))
-    keyed = prints.select("print", pivot_table(F.col("print"), pivots).alias("pivots"), F.explode(keys).alias("x")).select("print", "pivots", "x.k", "x.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    masks = block_masks(blocks)
+    chosen = list(combinations(range(blocks), blocks - max_bits))
+    carried = [f"v{j}" for j in range(blocks)]
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            by_block = [distances(x, m, refs) for m in masks]
+            vs = [packed(t) for t in by_block]
+            for k, c in enumerate(chosen):
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, vs), pa.array(np.full(len(x), k)), pa.array(table_key([by_block[j] for j in c]))], ["print", *carried, "k", "key"])
+
+    parts = [parts_beside(sum(masks[j] for j in c), max_bits + 1) for c in chosen]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, k, key = (batch.column(name).to_numpy() for name in ("print", "k", "key"))
+            of_key = np.array(parts, np.uint64)[k]
+            for i in range(max_bits + 1):
+                table = np.bitwise_count((x.view(np.uint64)[:, None] ^ np.array(refs, np.uint64)[None, :]) & of_key[:, i][:, None])
+                sub = table_key([table, key.view(np.uint8).reshape(-1, 8)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: blocks + 1], batch.column("k"), pa.array(k * 16 + i + 16), pa.array(sub)], ["print", *carried, "k", "cell", "key"])
+
+    types = "print long, " + ", ".join(f"{v} long" for v in carried)
+    keyed = materialize(prints.select("print").mapInArrow(tables, f"{types}, k long, key long"), "keyed")
+    crowds = materialize(keyed.groupBy("k", "key").count().filter(F.col("count") > 1), "crowds")
+    # A key of one fingerprint meets none; the others' fingerprints are joined by it, or, where it is hot, by its parts.
+    cool = keyed.join(crowds.filter(F.col("count") <= hot).select("k", "key"), ["k", "key"], "left_semi").select("print", *carried, "k", F.lit(0).cast("long").alias("cell"), "key")
+    warm = keyed.join(crowds.filter(F.col("count") > hot).select("k", "key"), ["k", "key"], "left_semi").select("print", *carried, "k", "key")
+    met = materialize(cool.unionByName(warm.mapInArrow(split, f"{types}, k long, cell long, key long")), "met")
+
+    a, b = met.alias("a"), met.alias("b")
+    same = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k", "cell", "key")))
+    coordinates = [(F.col(f"a.{v}"), F.col(f"b.{v}")) for v in carried]
+    sums = [reduce(Column.__add__, side) for side in zip(*coordinates)]
+    near = reduce(Column.__and__, (within(x, y, max_bits) for x, y in [*coordinates, tuple(sums)]))
+    # A pair that meets under several keys counts under the first whose blocks agree.
     differing = F.col("a.print").bitwiseXOR(F.col("b.print"))
-    byte = lambda side, j: F.shiftright(F.col(f"{side}.pivots"), 8 * j).bitwiseAND(F.lit(255))
-    near = reduce(Column.__and__, (F.abs(byte("a", j) - byte("b", j)) <= max_bits for j in range(pivots)))
-    first = reduce(lambda rest, k: F.when(differing.bitwiseAND(F.lit(signed(masks[k]))) == 0, k).otherwise(rest), reversed(range(len(masks))), F.lit(-1))
-    where = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.print") < F.col("b.print")) & near
-    where = where & (F.bit_count(differing) <= max_bits) & (first == F.col("a.k"))
-    return a.join(b, where).select(F.col("a.print").alias("a"), F.col("b.print").alias("b"))
+    agrees = lambda c: differing.bitwiseAND(F.lit(signed(sum(masks[j] for j in c)))) == 0
+    first = reduce(lambda out, k: F.when(agrees(chosen[k]), k).otherwise(out), reversed(range(len(chosen))), F.lit(-1))
+    pairs = a.join(b, same & (F.col("a.print") < F.col("b.print")) & near & (first == F.col("a.k")))
+    return pairs.select(F.col("a.print").alias("a"), F.col("b.print").alias("b"))
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, refs: list[int] | None = None, hot: int = HOT_CELL) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints that differ in max_bits bits or fewer: the candidates that verification leaves."""
+    return candidates(prints, max_bits, blocks, refs, hot).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, least) for every node of the edges (a, b): the least node reachable.
 
     Large-star and small-star steps in turn until nothing changes; a step is an
-    aggregation by node and a join, so no neighbourhood meets in one task.
+    aggregation by node and a join, which the planner splits where a node has very
+    many neighbours, so none need meet in one task.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     state = None
@@ -102,9 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.filter("a != b").distinct(), "large")
+        discard(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select("b", "m").toDF("a", "b").unionByName(least.select("a", F.col("m").alias("b")))
         now = materialize(small.filter("a != b").distinct(), "small")
+        discard(large)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("least")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("least"))).distinct()
@@ -118,7 +202,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     included; nulls are passed over. Of each component the row with the smallest id
     is kept (null ids last; of rows with one id that with the smallest row). Texts
     without words, null ones too, share fingerprint 0 and link like any other. Equal
-    fingerprints are one node, so copies meet no pairs. An empty df gives no rows.
+    fingerprints are one node, so copies and repeated rows meet no pairs. Texts of any length are read
+    whole; other columns of df, whatever their names, play no part. An empty df gives no rows.
     """
     rows = df.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text")).withColumn("row", F.xxhash64("text"))
     prints = materialize(simhash(rows, "text", "print", shingle).select("id", "row", "print"), "prints")
@@ -135,9 +220,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 def keep_one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of df of which near_duplicates keeps one a component, with their columns.
 
-    Rows with the same id and text, of which there are none after exact dedup, are kept together.
+    Rows with the same id and text, of which there are none after exact dedup, are kept
+    together. Nulls, empty texts and an empty df are as in near_duplicates. Rows of components of one aren't moved.
     """
-    dropped = near_duplicates(df, id_column, text, shingle, max_bits).filter(~F.col("kept")).select(F.col(id_column).alias("_id"), F.col("row").alias("_row")).distinct()
-    dropped = materialize(dropped, "dropped")
-    gone = df[id_column].eqNullSafe(dropped["_id"]) & (F.xxhash64(text_or_empty(df[text])) == dropped["_row"])
-    return df.join(dropped, gone, "left_anti")
+    dropped = near_duplicates(df, id_column, text, shingle, max_bits).filter(~F.col("kept")).select(F.col(id_column).alias("id"), "row")
+    return exact.without(df, {"id": df[id_column], "row": F.xxhash64(text_or_empty(df[text]))}, materialize(dropped, "dropped"))

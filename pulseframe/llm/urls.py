@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseframe.llm.common import fresh
+
 #: (host, path, verdict)
 RULES = (
     ("org", "/", "allow"),
@@ -19,13 +21,26 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: One of these rejects.
-STRICT = ("casino", "porn", "xxx", "viagra", "escort", "jackpot", "spam", "malware", "phishing", "torrent")
-#: Terms with weights: LEAST_SOFT or more distinct ones that together weigh REJECT_AT or more reject.
-SOFT = {
-    "free": 1, "bet": 1, "bets": 1, "win": 1, "cheap": 1, "pills": 1, "ads": 1, "track": 1, "tracker": 1, "farm": 1,
-    "deal": 1, "deals": 1, "loan": 1, "loans": 1, "bonus": 1, "click": 1, "adult": 2, "poker": 2, "pharmacy": 1, "sale": 1,
-}
+#: The vocabulary by category: one strict term rejects; soft terms have weights, and LEAST_SOFT or more
+#: distinct ones that weigh REJECT_AT or more together reject.
+STRICT_TERMS = {
+    "gambling": ("casino", "casinos", "jackpot", "roulette", "blackjack", "sportsbook", "betting"),
+    "adult": ("porn", "porno", "xxx", "escort", "escorts", "hentai", "camgirls"),
+    "pharmacy": ("viagra", "cialis", "tramadol", "xanax"),
+    "abuse": ("spam", "malware", "phishing", "keygen", "warez", "ransomware"),
+    "piracy": ("torrent", "torrents", "crackz"),
+}
+SOFT_TERMS = {
+    "commerce": {"cheap": 1, "deal": 1, "deals": 1, "sale": 1, "discount": 1, "coupon": 1, "coupons": 1, "free": 1, "bonus": 1, "offer": 1, "outlet": 1},
+    "gambling": {"bet": 1, "bets": 1, "win": 1, "slots": 2, "poker": 2, "lottery": 2, "odds": 1},
+    "adult": {"adult": 2, "dating": 1, "singles": 1, "nude": 2, "webcam": 1},
+    "pharmacy": {"pills": 1, "pharmacy": 1, "meds": 1, "dosage": 1},
+    "finance": {"loan": 1, "loans": 1, "payday": 2, "crypto": 1, "forex": 1, "refinance": 1},
+    "tracking": {"ads": 1, "track": 1, "tracker": 1, "click": 1, "affiliate": 1, "popup": 1, "banner": 1},
+    "farms": {"farm": 1, "linkfarm": 2, "seo": 1, "backlinks": 2},
+}
+STRICT = tuple(t for terms in STRICT_TERMS.values() for t in terms)
+SOFT = {t: w for terms in SOFT_TERMS.values() for t, w in terms.items()}
 LEAST_SOFT, REJECT_AT = 2, 2
 
 
@@ -36,7 +51,8 @@ def ascii_lower(c: Column) -> Column:
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased;
     path: then up to "?", "#" or the end. Null or without "://": both empty."""
-    after = F.when(F.locate("://", url) > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("_url"))).otherwise("")
+    at = F.locate("://", url)
+    after = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     rest = F.regexp_extract(after, r"(?s)^([^/?#]*)([^?#]*)", 2)
     return ascii_lower(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1)), rest
 
@@ -83,10 +99,13 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, sof
 
     The longest fitting rule decides; without one, the vocabulary: one strict term
     blocks, and so do LEAST_SOFT or more distinct soft terms that weigh reject_at or more together. A
-    null or empty url has no host, path or hits and is allowed. Existing columns of
-    these names are replaced. Every row is judged by itself.
+    null or empty url has no host, path or hits and is allowed; urls of any length
+    are read whole. Existing columns of the names added are replaced, all others, whatever
+    their names, pass through. Every row is judged by itself, so repeated rows get equal
+    verdicts, and an empty df gives no rows.
     """
     strict, soft = tuple(strict), tuple((SOFT if soft is None else soft).items())
+    name, named_hits, ruled = fresh("_url", df), fresh("_hits", df), fresh("_verdict", df)
 
     @F.arrow_udf(VOCABULARY_HITS)
     def vocabulary(urls: pa.Array) -> pa.Array:
@@ -97,16 +116,38 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, sof
             rows.append({"strict_hits": len(s), "soft_hits": len(w), "soft_weight": weight, "reject": bool(s) or (len(w) >= LEAST_SOFT and weight >= reject_at)})
         return pa.array(rows, _HITS)
 
-    named = df.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
-    host, path = host_and_path(F.col("_url"))
-    named = named.withColumns({"host": host, "path": path, "_hits": vocabulary(F.col("_url"))})
+    named = df.withColumn(name, F.coalesce(F.col(url), F.lit("")))
+    host, path = host_and_path(F.col(name))
+    named = named.withColumns({"host": host, "path": path, named_hits: vocabulary(F.col(name))})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    named = named.withColumns({"rule": rule, "_verdict": verdict})
+    named, found = named.withColumns({"rule": rule, ruled: verdict}), F.col(named_hits)
     return named.withColumns(
         {
-            "verdict": F.coalesce("_verdict", F.when(F.col("_hits.reject"), "block").otherwise("allow")),
-            "strict_hits": F.col("_hits.strict_hits"),
-            "soft_hits": F.col("_hits.soft_hits"),
-            "soft_weight": F.col("_hits.soft_weight"),
+            "verdict": F.coalesce(F.col(ruled), F.when(found["reject"], "block").otherwise("allow")),
+            "strict_hits": found["strict_hits"],
+            "soft_hits": found["soft_hits"],
+            "soft_weight": found["soft_weight"],
         }
-    ).drop("_url", "_verdict", "_hits")
+    ).drop(name, named_hits, ruled)
+
+
+def _hits_sql(terms: str) -> str:
+    edge = "[^\\p{L}\\p{N}]"
+    return f"list_filter({terms}, lambda t: contains(low, t) AND regexp_matches(low, '(^|{edge})' || t || '({edge}|$)'))"
+
+
+FILTER_SQL = f"""
+    WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+    cut AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+                   translate(url, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS low FROM u),
+    named AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    found AS (SELECT *, {_hits_sql(repr(list(STRICT)))} AS strict, {_hits_sql(repr(list(SOFT)))} AS soft FROM named),
+    weighed AS (SELECT *, coalesce(list_sum(list_transform(soft, lambda t: CASE WHEN list_contains({[t for t, w in SOFT.items() if w == 2]!r}, t) THEN 2 ELSE 1 END)), 0) AS weight,
+        CASE {" ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1])))} END AS rule FROM found)
+    SELECT page_id, host, path, rule,
+           CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in RULES)}
+                WHEN len(strict) > 0 OR (len(soft) >= {LEAST_SOFT} AND weight >= {REJECT_AT}) THEN 'block' ELSE 'allow' END AS verdict,
+           len(strict)::BIGINT AS strict_hits, len(soft)::BIGINT AS soft_hits
+    FROM weighed
+"""

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -56,8 +57,6 @@ def by_row(rows):
 
 
 def test_entropy_is_that_of_each_window():
-    import math
-
     rng = random.Random(3)
     text = "".join(rng.choice("abcdef0123") for _ in range(200)) + "d" * 60
     for bits in (2.0, 2.8, 3.1):
@@ -67,10 +66,29 @@ def test_entropy_is_that_of_each_window():
             h = -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w))
             if h >= bits - 1e-9:
                 inside |= set(range(a, a + 20))
-        found = {i for s, e in secrets.suspect_windows(text, 20, bits) for i in range(s, e)}
+        found = {i for s in secrets.suspect_windows(text, 20, bits) for i in range(s, s + 20)}
         assert found == inside
 
 
+def spans_of(inside):
+    """Maximal runs of the positions in the set."""
+    return [(a, next(b for b in range(a, max(inside) + 2) if b not in inside)) for a in sorted(inside) if a - 1 not in inside]
+
+
+def plain_entropy(text):
+    """Characters in suspect windows that touch no term of the allow-list, and in those that do."""
+    clear, harmless = set(), set()
+    low = text.lower()
+    allowed = [(k, k + len(a)) for a in secrets.ALLOW for k in range(len(low)) if low.startswith(a, k)]
+    for _, chars, w, bits in secrets.CLASSES:
+        for a in range(len(text) - w + 1):
+            window = text[a:a + w]
+            if set(window) <= set(chars) and -sum(window.count(c) / w * math.log2(window.count(c) / w) for c in set(window)) >= bits - 1e-9:
+                touched = any(b < a + w and e > a for b, e in allowed)
+                (harmless if touched else clear).update(range(a, a + w))
+    return clear, harmless
+
+
 def test_secrets(spark, none):
     key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [
@@ -82,9 +100,19 @@ def test_secrets(spark, none):
         (6, "the value ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 is listed", "a"),
         (7, "toſen=abcdefabcdef123 tokeN=" + "k" * 5, "a"),
         (8, "secret=token=abcdefghijkl", "a"),
+        (9, "see docs.example, not code: Zq8Lr2Xw9Tn4Vb7Mk3Hs6Yd1Pc5QzWxEcRvT", "a"),
+        (10, "key docs/example/fghjZq8Lr2Xw9Tn4Vb7Mk3Hs6Yd1P", "a"),
     ]
-    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets.secret_spans(docs(spark, rows)).collect()}
-    assert found[1] == [("assign", 2, 11 + 40), ("hex", 11, 51)]
+    scanned = secrets.secret_spans(docs(spark, rows)).collect()
+    assert {r._found for r in secrets.secret_spans(docs(spark, rows).withColumn("_found", F.lit("x"))).collect()} == {"x"}
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in scanned}
+    held = {r.doc_id: [(s.start, s.end) for s in r.suppressed_spans] for r in scanned}
+    assert found[1] == [("assign", 2, 11 + 40), ("hex", 11, 51), ("entropy", 11, 51)] and held[6] == [(10, 46)]
+    assert not any(held[i] for i in (1, 2, 3, 4, 5, 7, 8, 9))
+    assert found[9] == [("entropy", 28, 64)] and [k for k, *_ in found[10]] == ["entropy"] and held[10]
+    for i, t, _ in rows:
+        clear, harmless = plain_entropy(t or "")
+        assert spans_of(clear) == [(s, e) for k, s, e in found[i] if k == "entropy"] and spans_of(harmless) == held[i]
     assert found[2] == [("access", 0, 18)]
     assert found[3] == found[4] == found[6] == found[7] == []
     assert [k for k, *_ in found[5]] == ["entropy"]
@@ -182,6 +210,23 @@ def test_media_columns(table, none):
     assert media.read_media(media.store_media(none)).count() == 0
 
 
+def test_damaged_streams_say_so(spark):
+    good = media.mux(media.padded(b"abc" * 5000))
+    flipped = bytearray(good)
+    flipped[20] ^= 1  # in the first table
+    streams = {
+        "good": good, "null": None, "empty": b"", "short": good[:-1], "no tables": good[376:], "one table": good[:188] + good[376:], "crc": bytes(flipped), "sync": b"x" + good[1:],
+        "cut": good[:188 * 4], "tables only": good[:376], "noise": bytes(random.Random(1).randrange(256) if k % 188 else 0x47 for k in range(188 * 40)),
+    }
+    df = spark.createDataFrame(list(streams.items()), "name string, media binary")
+    got = {r.name: r.read for r in media.read_media(df).collect()}
+    for name in ("null", "empty", "tables only"):
+        assert (got[name].payload, got[name].error) == (b"", None)
+    assert bytes(got["good"].payload).startswith(b"abc" * 5000) and got["good"].error is None
+    for name in ("short", "no tables", "one table", "crc", "sync", "cut", "noise"):
+        assert got[name].payload is None and got[name].error and got[name].pts == []
+
+
 # 4
 
 
@@ -404,8 +449,8 @@ def test_simhash_components(table, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [5, 6])
-def test_links_and_long_chains(spark, blocks):
+@pytest.mark.parametrize("blocks, hot", [(5, 512), (6, 512), (5, 3), (6, 2)])
+def test_links_and_long_chains(spark, blocks, hot):
     rng = random.Random(blocks)
     prints = {rng.getrandbits(64) for _ in range(50)}
     for p in list(prints):
@@ -415,8 +460,32 @@ def test_links_and_long_chains(spark, blocks):
             prints.add(p)
     signed = sorted(map(simhash.signed, prints))
     df = spark.createDataFrame([(p,) for p in signed], "print long")
-    got = {tuple(r) for r in simhash.links(df, blocks=blocks).collect()}
-    assert got == {(a, b) for k, b in enumerate(signed) for a in signed[:k] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    got = [tuple(r) for r in simhash.links(df, blocks=blocks, hot=hot).collect()]
+    assert len(got) == len(set(got))
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert set(got) == {(a, b) for k, b in enumerate(signed) for a in signed[:k] if apart(a, b) <= 3}
+    # What meets and isn't discarded is the pivots' work: nearly all pairs that verification gets are links. Two references aren't enough.
+    met, few = simhash.candidates(df, blocks=blocks, hot=hot).collect(), simhash.candidates(df, blocks=blocks, hot=hot, refs=simhash.references(2)).count()
+    assert len(met) < 3 * len(got) and few > len(met)
+
+
+def test_no_coordinate_of_two_tables_differs_by_more_than_the_prints(spark):
+    rng = random.Random(4)
+    a = [rng.getrandbits(64) for _ in range(400)]
+    b = list(a)
+    for k in range(400):
+        for _ in range(k % 10):
+            b[k] ^= 1 << rng.randrange(64)
+    refs, mask = simhash.references(7), (1 << 40) - (1 << 20)
+    x, y = (simhash.distances(np.array(p, np.uint64), mask, refs) for p in (a, b))
+    assert x.tolist() == [[((p ^ q) & mask).bit_count() for q in refs] for p in a]
+    df = spark.createDataFrame([(int(p), int(q)) for p, q in zip(simhash.packed(x), simhash.packed(y))], "a long, b long")
+    near = [r.near for r in df.select(simhash.within(F.col("a"), F.col("b"), 3).alias("near")).collect()]
+    assert near == [max(abs(p - q) for p, q in zip(*rows)) <= 3 for rows in zip(x.tolist(), y.tolist())]
+    assert all(n for n, p, q in zip(near, a, b) if (p ^ q).bit_count() <= 3) and not all(near)
+
+
+def test_components_of_chains(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
 
