@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.common import text_or_empty
+from pulseframe.llm.common import freed, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 NO_PAIR = 1 << 62
@@ -338,8 +338,9 @@ def list_of_packed(packed: list[bytes]) -> pa.ListArray:
 def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """Add the column out: array of token ids of the whole text.
 
-    A null or empty text has an empty array. Strings of special tokens in a text
-    become those tokens. An existing column of the name out is replaced.
+    A null or empty text has an empty array; texts of any length are encoded whole,
+    repeated rows alike. Strings of special tokens in a text become those tokens. An
+    existing column of the name out is replaced, all others pass through. An empty df gives no rows.
     """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -385,8 +386,8 @@ def bpe_round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded:
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for batch in batches:
-            for texts in slices(batch):
+        for batch in freed(batches):
+            for texts in freed(slices(batch)):
                 packed = bpe.encoder.packed_all(texts)
                 back = pa.array((bpe.decode(np.frombuffer(p, np.uint32).tolist()) for p in packed), pa.string())
                 yield pa.StructArray.from_arrays([list_of_packed(packed), back], ["ids", "decoded"])

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,14 @@ def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def freed(batches: Iterator) -> Iterator:
+    """The batches of a task; what Arrow holds of earlier ones without need goes back to the system ahead of each, and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -10,6 +10,7 @@ the time stamps and the random-access points.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.common import text_or_empty
+from pulseframe.llm.common import freed, text_or_empty
 
 PACKET, SYNC = 188, 0x47
 PROGRAM, PMT_PID, MEDIA_PID, STREAM_TYPE, STREAM_ID = 1, 0x1000, 0x0100, 0x06, 0xBD
@@ -199,8 +200,9 @@ def store_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFr
     """
 
     @F.arrow_udf(T.BinaryType())
-    def store(texts: pa.Array) -> pa.Array:
-        return pa.array([mux(padded((t.as_py() or "").encode())) for t in texts], pa.binary())
+    def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in freed(batches):
+            yield pa.array([mux(padded((t.as_py() or "").encode())) for t in texts], pa.binary())
 
     return df.withColumn(out, store(text_or_empty(text)))
 
@@ -216,7 +218,8 @@ def read_media(df: DataFrame, media: str = "media", out: str = "read") -> DataFr
     """
 
     @F.arrow_udf(FEATURES)
-    def read(streams: pa.Array) -> pa.Array:
-        return pa.array([demux_or_error(s.as_py() or b"").__dict__ for s in streams], _FEATURES)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for streams in freed(batches):
+            yield pa.array([demux_or_error(s.as_py() or b"").__dict__ for s in streams], _FEATURES)
 
     return df.withColumn(out, read(F.col(media)))

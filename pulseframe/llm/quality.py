@@ -10,6 +10,7 @@ training fold, the unlabelled text documents without a label; label 0 isn't used
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import fresh, text_or_empty
+from pulseframe.llm.common import freed, fresh, text_or_empty
 
 #: Positives, and unlabelled rows, on which the model is fitted, at most; those with the least hashes of their ids.
 MAX_TRAINING_ROWS = 20_000
@@ -70,8 +71,9 @@ def with_features(df: DataFrame, text: str = "text", out: str = "features") -> D
     """Add the column out: array of doubles as named in FEATURES. A null text counts as empty."""
 
     @F.arrow_udf("array<double>")
-    def features(texts: pa.Array) -> pa.Array:
-        return pa.array([text_features(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in freed(batches):
+            yield pa.array([text_features(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
 
     return df.withColumn(out, features(text_or_empty(text)))
 
@@ -197,9 +199,10 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", out: str = "sco
     """Add the column out: the score of the whole text, in one Arrow step. A null text counts as empty."""
 
     @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
-        x = np.array([text_features(t.as_py() or "") for t in texts], float).reshape(-1, len(FEATURES))
-        return pa.array(1 / (1 + np.exp(-np.clip(margins(x, model), -40, 40))))
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in freed(batches):
+            x = np.array([text_features(t.as_py() or "") for t in texts], float).reshape(-1, len(FEATURES))
+            yield pa.array(1 / (1 + np.exp(-np.clip(margins(x, model), -40, 40))))
 
     return df.withColumn(out, scores(text_or_empty(text)))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import exact
-from pulseframe.llm.common import discard, materialize, text_or_empty
+from pulseframe.llm.common import discard, freed, materialize, text_or_empty
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Reference fingerprints, and those of them whose distances are carried along to discard pairs: one byte each of a long.
@@ -53,8 +53,9 @@ def simhash(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle
     """Add the long column out: the 64 bits of the fingerprint. A text without words, or null, has 0."""
 
     @F.arrow_udf("long")
-    def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py() or "", shingle) for t in texts], np.uint64).view(np.int64))
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in freed(batches):
+            yield pa.array(np.array([fingerprint(t.as_py() or "", shingle) for t in texts], np.uint64).view(np.int64))
 
     return df.withColumn(out, prints(text_or_empty(text)))
 
