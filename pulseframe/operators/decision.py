@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.functions import arrays
+from pulseframe.operators import qc
 from pulseframe.operators.metrics import gate_allows, gate_scale
 
 MAX_TORQUE, ANGLES, MAX_VELOCITY, SLEW = 5.0, (0.0, 2.35), 3.0, 20.0
@@ -72,6 +74,31 @@ def torque(state: Column, confidence: Column, mode: Column) -> Column:
     return F.when(helps, gate_scale(confidence) * 2.0).when(mode == "LIMITED_ASSIST", 0.4).otherwise(0.0)
 
 
+def control(frames: DataFrame, lim: dict[str, Column], *by: str, full: float = 0.4, intent: float = 0.15) -> DataFrame:
+    """Frames (by, i, x, valid, latency) through the loop up to the torque that is asked for.
+
+    The quality gate and the frame's own flag make it valid or not; missed and late
+    frames make faults, and these make the loop unsafe. Confidence is the rms over full, 1 at
+    most; intent is an rms above its limit. Nothing resets the state machine unless a column reset does.
+    """
+    rms, m = arrays.rms(F.col("x")), arrays.mean(F.col("x"))
+    std = F.sqrt(arrays.mean(F.transform("x", lambda v: (v - m) * (v - m))))
+    reason = qc.gate(std, qc.saturated_fraction(F.col("x"), lim["saturation_limit"]), lim)
+    df = frames.withColumns({"rms": rms, "quality": reason, "valid": F.col("valid") & reason.isNull()})
+    df = faults(df, *by).withColumns({"confidence": F.least(F.lit(1.0), F.col("rms") / full), "intent": F.col("rms") > intent, "safety_ok": F.col("fault").isNull()})
+    df = df.withColumns({c: F.lit(False) for c in ("emergency", "reset") if c not in df.columns})
+    df = states(df, *by).withColumn("mode", fallback(~F.col("safety_ok"), F.col("confidence")))
+    return df.withColumn("torque", torque(F.col("state"), F.col("confidence"), F.col("mode")))
+
+
+def events(df: DataFrame, *by: str, rate: float = 20.0) -> DataFrame:
+    """The log of a loop: state transitions and safety events, as (by, timestamp, kind, data)."""
+    at = (F.col("i") / F.lit(rate)).alias("timestamp")
+    moved = transitions(df, *by).select(*by, at, F.lit("state_transition").alias("kind"), F.create_map(F.lit("from"), "from_state", F.lit("to"), "to_state").alias("data"))
+    unsafe = df.filter(F.col("fault").isNotNull()).select(*by, at, F.lit("safety_event").alias("kind"), F.create_map(F.lit("reason"), "fault").alias("data"))
+    return moved.unionByName(unsafe)
+
+
 def plant_tick(torque: float, applied: float, angle: float, velocity: float, dt: float) -> tuple[float, float, float]:
     """Limits, then the actuator's slew, then the elbow: velocity first, damped, still at the stops."""
     inside = ANGLES[0] <= angle <= ANGLES[1] and abs(velocity) <= MAX_VELOCITY

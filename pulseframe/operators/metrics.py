@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REST = 0
@@ -71,6 +71,69 @@ def safety(df: DataFrame, *by: str, low: float = LOW, high: float = HIGH) -> Dat
     )
 
 
+def evaluate(df: DataFrame, *by: str, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """All metrics of predictions (y_true, y_pred, confidence) by keys, from one aggregation by keys, class and bin."""
+    hit, on = (F.col("y_true") == F.col("y_pred")).cast("long"), assists(low, high).cast("long")
+    fine = df.withColumn("bin", bin_of(F.col("confidence"))).groupBy(*by, "y_true", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.sum("confidence").alias("conf"), F.sum(on).alias("on"))
+    within = lambda c, *more: F.sum(c).over(Window.partitionBy(*(by or [F.lit(1)]), *more))
+    fine = fine.withColumns({"class_n": within("n", "y_true"), "class_hits": within("hits", "y_true"), "bin_n": within("n", "bin"), "gap": F.abs(within("hits", "bin") - within("conf", "bin"))})
+    n, rest = F.sum("n"), F.col("y_true") == REST
+    moves = F.sum(F.when(~rest, F.col("n")))
+    return fine.groupBy(*by).agg(
+        n.alias("n_test"),
+        (F.sum("hits") / n).alias("accuracy"),
+        (F.sum(F.col("n") / F.col("class_n") * F.col("class_hits") / F.col("class_n")) / F.count_distinct("y_true")).alias("balanced_accuracy"),
+        (F.sum(F.col("n") / F.col("bin_n") * F.col("gap")) / n).alias("ece"),
+        (F.coalesce(F.sum(F.when(rest, F.col("on"))), F.lit(0)) / n).alias("unsafe_assist_rate"),
+        F.coalesce(F.try_divide(F.sum(F.when(~rest, F.col("on"))), moves), F.lit(float("nan"))).alias("assist_availability"),
+    )
+
+
+def as_row(df: DataFrame, meta: dict[str, str]) -> DataFrame:
+    """df with further columns meta_<name>, as text: lists are joined by commas."""
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",") if dict(df.dtypes)[c].startswith("array") else F.col(c).cast("string")
+    return df.withColumns({f"meta_{k}": shown(c) for k, c in meta.items()}).drop(*set(meta.values()))
+
+
+def per_subject(df: DataFrame) -> DataFrame:
+    """Of results (subject_id, kind "within" or "cross", balanced_accuracy, ece, ...) one row a subject with both kinds and their differences."""
+    names = {"balanced_accuracy": "bal", "ece": "ece", "unsafe_assist_rate": "unsafe", "assist_availability": "avail"}
+    one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{names[c]}")
+    out = df.groupBy("subject_id").agg(*(one(k, c) for c in names for k in ("within", "cross")))
+    ratio = F.when(F.col("within_ece") > 0, F.col("cross_ece") / F.col("within_ece")).otherwise(F.lit(float("nan")))
+    return out.withColumns({"d_bal": F.col("cross_bal") - F.col("within_bal"), "d_ece": F.col("cross_ece") - F.col("within_ece"), "ece_ratio": ratio})
+
+
+STUDIED = ("within_bal", "cross_bal", "d_bal", "within_ece", "cross_ece", "d_ece", "ece_ratio", "within_unsafe", "cross_unsafe", "within_avail", "cross_avail")
+
+
+def across_subjects(subjects: DataFrame, *by: str) -> DataFrame:
+    """n_subjects, and mean and population deviation of the finite values of each column of STUDIED."""
+    from pulseframe.sources.signals import finite
+
+    aggs = [F.count(F.lit(1)).alias("n_subjects")]
+    for c in STUDIED:
+        v = F.when(finite(F.col(c)), F.col(c))
+        aggs += [F.avg(v).alias(f"{c}_mean"), F.stddev_pop(v).alias(f"{c}_sd")]
+    return subjects.groupBy(*by).agg(*aggs)
+
+
+def central_test(subjects: DataFrame, *by: str) -> DataFrame:
+    """Calibration against performance: relative loss of accuracy, and how far calibration errors grow. One row a subject comes in."""
+    from pulseframe.sources.signals import finite
+
+    drop, ratio = F.when(F.col("within_bal") > 0, F.col("d_bal") / F.col("within_bal")), F.when(finite(F.col("ece_ratio")), F.col("ece_ratio"))
+    return subjects.groupBy(*by).agg(
+        F.avg(drop).alias("drop_mean"), F.stddev_pop(drop).alias("drop_sd"), F.avg(ratio).alias("ratio_mean"), F.percentile(ratio, F.lit(0.5)).alias("ratio_median"),
+        F.count(ratio).alias("n_ratios"), F.count_if(ratio > 1.0).alias("worse"), F.count_if(ratio >= 1.5).alias("much_worse"),
+    )
+
+
+def benign_against_degraded(sessions: DataFrame, degraded: Column, columns: list[str]) -> DataFrame:
+    """Mean and most of the columns by whether a session is degraded."""
+    return sessions.groupBy(degraded.alias("degraded")).agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("max", F.max))))
+
+
 def sweep(df: DataFrame, *by: str) -> DataFrame:
     """Unsafe rate and availability of hard gates at 0.50, 0.55, ... 0.95."""
     taus = df.sparkSession.createDataFrame([(round(0.5 + 0.05 * k, 2),) for k in range(10)], "tau double")

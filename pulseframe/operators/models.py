@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pulseframe.operators import metrics
+from pulseframe.operators.quantiles import exact_quantiles
+
+#: Determinant of a covariance below which it counts as singular.
+SINGULAR = 1e-12
 
 
 def moments(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
@@ -59,6 +72,62 @@ class Discriminant:
         return predicted(df, softmax(scores), self.classes)
 
 
+def discriminants(df: DataFrame, columns: list[str], *by: str, label: str = "label") -> DataFrame:
+    """A discriminant for each key, from one aggregation of moments by key and class: by, n_train, classes,
+    weights and biases. What is solved in a task are the moments of one key, a row a class. Keys
+    whose pooled covariance can't be inverted have none."""
+    keys = df.select(*by).schema
+    out = T.StructType([*keys.fields, T.StructField("n_train", T.LongType()), T.StructField("classes", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("biases", T.ArrayType(T.DoubleType()))])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(label)
+        n = rows["n"].to_numpy(float)
+        means = rows[[f"mean_{c}" for c in columns]].to_numpy(float)
+        pooled = np.zeros((len(columns),) * 2)
+        for _, r in rows[rows["n"] > 1].iterrows():
+            pooled += _matrix(r, columns) * (r["n"] - 1) / (n.sum() - len(rows))
+        if np.linalg.det(pooled) < SINGULAR:
+            return pd.DataFrame(columns=out.names)
+        weights = means @ np.linalg.inv(pooled)
+        biases = np.log(n / n.sum()) - 0.5 * (weights * means).sum(axis=1)
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in by}, "n_train": [int(n.sum())], "classes": [rows[label].astype(int).tolist()], "weights": [weights.tolist()], "biases": [biases.tolist()]})
+
+    return moments(df, columns, *by, label).groupBy(*by).applyInPandas(solve, out)
+
+
+def predict_by(df: DataFrame, fitted: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """Add y_pred and confidence by the discriminant of the row's key; rows of keys without one go."""
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    dot = lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    scored = df.join(fitted, list(by)).withColumn("_p", softmax(F.zip_with("weights", "biases", lambda w, b: dot(w) + b)))
+    best = F.array_max("_p")
+    return scored.withColumns({"y_pred": F.element_at("classes", F.array_position("_p", best).cast("int")), "confidence": best}).drop("_p", "classes", "weights", "biases")
+
+
+def evaluate_splits(rows: DataFrame, columns: list[str], fit_predict, label: str = "label") -> DataFrame:
+    """Metrics a split of rows (split, role, label, columns) for any model, fitted once a split.
+
+    fit_predict takes the training rows, the columns and the label's name and returns a function
+    that adds y_pred and confidence (the probability of the predicted class) to test rows, one row each.
+    The splits' names, and no rows, come to the driver.
+    """
+    out = []
+    for (name,) in rows.select("split").distinct().sort("split").collect():
+        side = rows.filter(F.col("split") == name)
+        test = side.filter("role = 'test'").withColumn("y_true", F.col(label))
+        predicted_rows = fit_predict(side.filter("role = 'train'"), columns, label)(test)
+        if (got := predicted_rows.count()) != (want := test.count()):
+            raise ValueError(f"{got} predictions for {want} rows")
+        n_train = side.filter("role = 'train'").count()
+        out.append(metrics.evaluate(predicted_rows).select(F.lit(name).alias("split"), F.lit(n_train).cast("long").alias("n_train"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def lda(train: DataFrame, columns: list[str], label: str = "label"):
+    """The discriminant as a fit_predict."""
+    return Discriminant.fit(train, columns, label).predict
+
+
 def softmax(scores: Column) -> Column:
     top = F.array_max(scores)
     e = F.transform(scores, lambda s: F.exp(s - top))
@@ -104,7 +173,7 @@ class OneClass:
         if row["n"] < 2:
             raise ValueError("two training rows are needed at least")
         model = cls(columns, np.array([row[f"mean_{c}"] for c in columns]), np.linalg.inv(_matrix(row, columns) + ridge * np.eye(len(columns))))
-        model.threshold = (df if calibration is None else calibration).agg(F.percentile(model.distance(), F.lit(1 - contamination))).first()[0]
+        model.threshold = exact_quantiles(df if calibration is None else calibration, {"t": (model.distance(), 1 - contamination)})["t"]
         return model
 
     def distance(self) -> Column:
@@ -120,7 +189,28 @@ class OneClass:
 
 
 def adaptive_threshold(df: DataFrame, distance: str, *by: str, order: str = "seq", contamination: float = 0.025, most: int = 4000, least: int = 200) -> DataFrame:
-    """Add threshold: quantile of the trailing distances of the session, infinite until there are enough."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(most - 1), 0)
-    ready = F.count(distance).over(w) >= least
-    return df.withColumn("threshold", F.when(ready, F.percentile(distance, F.lit(1 - contamination)).over(w)).otherwise(F.lit(float("inf"))))
+    """Rows (by, order, distance) with threshold: quantile of the trailing distances of the session, infinite until there are enough.
+
+    Rows come sorted, and a task keeps the last most distances, sorted too, from row to row.
+    """
+    q = 1 - contamination
+
+    def trail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, ordered, recent = None, [], deque()
+        for batch in batches:
+            out = []
+            for key, d in zip(zip(*(batch.column(k).to_pylist() for k in range(len(by)))), batch.column(len(by) + 1).to_pylist()):
+                if key != session:
+                    session, ordered, recent = key, [], deque()
+                recent.append(d)
+                insort(ordered, d)
+                if len(recent) > most:
+                    ordered.pop(bisect_left(ordered, recent.popleft()))
+                at = q * (len(ordered) - 1)
+                low = int(at)
+                high = min(low + 1, len(ordered) - 1)
+                out.append(ordered[low] + (ordered[high] - ordered[low]) * (at - low) if len(ordered) >= least else float("inf"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "threshold"])
+
+    rows = df.select(*by, order, F.col(distance).cast("double").alias(distance)).repartition(*by).sortWithinPartitions(*by, order)
+    return rows.mapInArrow(trail, T.StructType([*rows.schema.fields, T.StructField("threshold", T.DoubleType())]))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.operators.dsp import mains_column
+from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.sources.signals import KEYS
 
-DEFAULTS = {"flatline_std": 1e-6, "saturation_limit": 1.0, "max_saturated": 0.05, "min_clip_run": 5, "min_zero_run": 10, "min_rms": 1e-3, "max_rms": 5.0, "max_offset": 0.2}
+DEFAULTS = {"flatline_std": 1e-6, "saturation_limit": 1.0, "max_saturated": 0.05, "min_clip_run": 5, "min_zero_run": 10, "min_rms": 1e-3, "max_rms": 5.0, "max_offset": 0.2, "max_mains": 0.5}
+#: Limits that every window passes, for profiling.
+WIDE_GATE = {"flatline_std": 0.0, "saturation_limit": 1e18, "min_rms": 0.0, "max_rms": 1e18, "max_offset": 1e18}
 
 
 def over(value: Column, limit: Column) -> Column:
@@ -26,11 +30,11 @@ def saturated_fraction(x: Column, limit: Column) -> Column:
     return F.size(hits) / F.size(x)
 
 
-def reasons(limits: dict[str, Column], x="x", std="std", mean="mean", rms="rms") -> dict[str, Column]:
-    """Failed check -> condition, in the order in which failures are listed."""
+def reasons(limits: dict[str, Column], x="x", std="std", mean="mean", rms="rms", rate: float | None = None, mains: float = 50.0) -> dict[str, Column]:
+    """Failed check -> condition, in the order in which failures are listed; interference from the mains is judged where a sample rate is given."""
     x, std, mean, rms = map(F.col, (x, std, mean, rms))
     near_zero = F.greatest(F.lit(1e-6), std * 0.01)
-    return {
+    out = {
         "dropout": (std < limits["flatline_std"]) & ~F.isnan(std),
         "dropout_run": longest_run(x, lambda v: F.abs(v) < near_zero) >= limits["min_zero_run"],
         "saturation": over(saturated_fraction(x, limits["saturation_limit"]), limits["max_saturated"]),
@@ -39,15 +43,27 @@ def reasons(limits: dict[str, Column], x="x", std="std", mean="mean", rms="rms")
         "amplitude_high": over(rms, limits["max_rms"]),
         "baseline_offset": over(F.abs(mean), limits["max_offset"]),
     }
+    if rate is not None:
+        out["powerline"] = over(mains_column(x, rate, mains), limits["max_mains"])
+    return out
+
+
+def of_channels(by_channel: DataFrame, channels: list[str], wanted: list[int] | None) -> DataFrame:
+    """The rows of the wanted channels, given by their places among the channels (None: of all); a place that there isn't is an error."""
+    if wanted is None:
+        return by_channel
+    if bad := [k for k in wanted if not 0 <= k < len(channels)]:
+        raise IndexError(f"no such channels: {bad}")
+    return by_channel.filter(F.col("channel").isin([channels[k] for k in wanted]))
 
 
 def limits(**given) -> dict[str, Column]:
     return {k: v if isinstance(v, Column) else F.lit(v) for k, v in (DEFAULTS | given).items()}
 
 
-def channel_failures(df: DataFrame, lim: dict[str, Column]) -> DataFrame:
+def channel_failures(df: DataFrame, lim: dict[str, Column], rate: float | None = None) -> DataFrame:
     """Add failures: distinct reasons of a window's channel, in the order of the checks; a run of zeros counts as dropout."""
-    named = [F.when(c, F.lit("dropout" if k == "dropout_run" else k)) for k, c in reasons(lim).items()]
+    named = [F.when(c, F.lit("dropout" if k == "dropout_run" else k)) for k, c in reasons(lim, rate=rate).items()]
     return df.withColumn("failures", F.array_distinct(F.array_compact(F.array(*named))))
 
 
@@ -78,20 +94,34 @@ def account_reasons(windows: DataFrame, *by: str) -> DataFrame:
     return windows.select(*by, F.explode("failures").alias("reason")).groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def one_row(df: DataFrame, values: dict) -> DataFrame:
+    return df.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"`{k}` double" for k in values))
+
+
 def thresholds(profile: DataFrame, margin: float = 3.0, low: float = 0.1) -> DataFrame:
     """One row of limits from the pooled amplitudes of windows and channels."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return profile.agg(
-        (p("rms", 0.001) * low).alias("min_rms"),
-        (p("rms", 0.001) * low).alias("flatline_std"),
-        (p("rms", 0.999) * margin).alias("max_rms"),
-        (p(F.abs("mean"), 0.999) * margin).alias("max_offset"),
-        (p("absmax", 0.999) * margin).alias("saturation_limit"),
-    )
+    q = exact_quantiles(profile, {"low": (F.col("rms"), 0.001), "rms": (F.col("rms"), 0.999), "offset": (F.abs("mean"), 0.999), "peak": (F.col("absmax"), 0.999)})
+    times = lambda v, k: None if v is None else v * k
+    return one_row(profile, {"min_rms": times(q["low"], low), "flatline_std": times(q["low"], low), "max_rms": times(q["rms"], margin), "max_offset": times(q["offset"], margin), "saturation_limit": times(q["peak"], margin)})
 
 
 def corruption_settings(profile: DataFrame, severity: float = 3.0) -> DataFrame:
     """One row: the rail, the typical amplitude and the strengths of the injected faults."""
-    one = profile.agg((F.percentile("absmax", F.lit(0.999)) * severity).alias("rail"), F.percentile("rms", F.lit(0.5)).alias("typical"))
-    gain = F.when(F.col("typical") == 0, 10.0).otherwise(severity * F.col("rail") / F.col("typical"))
-    return one.select("rail", "typical", gain.alias("gain"), (F.col("typical") * severity).alias("offset"))
+    q = exact_quantiles(profile, {"peak": (F.col("absmax"), 0.999), "typical": (F.col("rms"), 0.5)})
+    rail = q["peak"] * severity
+    return one_row(profile, {"rail": rail, "typical": q["typical"], "gain": 10.0 if q["typical"] == 0 else severity * rail / q["typical"], "offset": q["typical"] * severity})
+
+
+#: How each threshold follows from the profile, for the record.
+DERIVATION = {"min_rms": "p0.1 of window RMS x 0.1", "flatline_std": "p0.1 of window RMS x 0.1", "max_rms": "p99.9 of window RMS x {margin}", "max_offset": "p99.9 of |window mean| x {margin}", "saturation_limit": "p99.9 of window max|x| x {margin}"}
+PROFILED = (0.1, 1.0, 50.0, 99.0, 99.9)
+
+
+def calibrate(profile: DataFrame, margin: float = 3.0) -> DataFrame:
+    """Rows (section, name, value, derivation): percentiles of the profile, thresholds with how they follow, and strengths of faults."""
+    amplitudes = {"rms": F.col("rms"), "abs_mean": F.abs("mean"), "abs_max": F.col("absmax")}
+    q = exact_quantiles(profile, {f"{a}_p{p:g}".replace(".", "_"): (c, p / 100) for a, c in amplitudes.items() for p in PROFILED})
+    rows = [("profile", "n", float(profile.count()), None)] + [("profile", k, v, None) for k, v in q.items()]
+    rows += [("thresholds", k, v, DERIVATION[k].format(margin=margin)) for k, v in thresholds(profile, margin).first().asDict().items()]
+    rows += [("faults", k, v, None) for k, v in corruption_settings(profile).first().asDict().items()]
+    return profile.sparkSession.createDataFrame(rows, "section string, name string, value double, derivation string")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulseframe.sources.signals import KEYS
 
 ID = [*KEYS, "seq"]
+MOST_SUBJECTS = 10_000
 
 
 def recording() -> WindowSpec:
@@ -69,8 +70,10 @@ def cross_session(df: DataFrame, first: int = 1) -> DataFrame:
 
 
 def cross_subject(df: DataFrame) -> DataFrame:
-    """Leave one subject out."""
+    """Leave one subject out: windows times subjects rows, so there may be MOST_SUBJECTS subjects at most."""
     held = df.select(F.col("subject_id").alias("_out")).distinct()
+    if (n := held.limit(MOST_SUBJECTS + 1).count()) > MOST_SUBJECTS:
+        raise ValueError(f"{n} or more subjects: each is left out once, with all windows on one of the sides")
     pairs = df.crossJoin(F.broadcast(held))
     return _assigned(pairs, "cross-subject", F.concat_ws("/", F.lit("cross-subject"), "_out"), F.when(F.col("subject_id") == F.col("_out"), "test").otherwise("train"))
 
@@ -95,6 +98,15 @@ def calibrate_repetitions(assigned: DataFrame, n: int = 1) -> DataFrame:
     return assigned.withColumn("role", F.when(moved, "train").otherwise(F.col("role"))).withColumn("split", F.concat("split", F.lit(f"+cal{n}rep")))
 
 
+def three_way(df: DataFrame, fit: int = 2000, calibrate: int = 2000, test: int = 500, seed: int | None = None) -> DataFrame:
+    """Per recording: the first windows fit, the next calibrate, the next test; with a seed in shuffled order (by hash) instead of time."""
+    u = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ID)))
+    pos = F.row_number().over(recording().orderBy("seq" if seed is None else u)) - 1
+    role = F.when(F.col("_pos") < fit, "fit").when(F.col("_pos") < fit + calibrate, "calibrate").when(F.col("_pos") < fit + calibrate + test, "test")
+    name = "three-way" if seed is None else "three-way-shuffled"
+    return _assigned(df.withColumn("_pos", pos), name, F.concat_ws("/", F.lit(name), *KEYS), role)
+
+
 def overlaps(assigned: DataFrame) -> DataFrame:
     """Windows on both sides of a split: none, if the protocol is sound."""
     return assigned.groupBy("protocol", "split", *ID).agg(F.count_distinct("role").alias("roles")).filter("roles > 1")

@@ -97,6 +97,29 @@ def synthetic_samples(spark: SparkSession, subjects: int = 3, sessions: int = 4,
     return grid.groupBy("s", "k").applyInPandas(draw, SAMPLES)
 
 
+def load(samples: DataFrame, subjects: list[str] | None = None, sessions: list[str] | None = None) -> DataFrame:
+    """Samples of the subjects and sessions (None: all); both are partition columns of cached recordings, so others aren't read."""
+    for column, wanted in zip(KEYS, (subjects, sessions)):
+        samples = samples if wanted is None else samples.filter(F.col(column).isin(list(wanted)))
+    return samples
+
+
+def read_config(path: str) -> dict:
+    """Quality limits from a JSON file of this machine."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def synthetic_frames(spark: SparkSession, n: int = 200, size: int = 50, rate: float = 1000.0, lost: tuple[int, int] = (75, 85), seed: int = 0) -> DataFrame:
+    """One run of frames (run_id, i, x, valid, latency): bursts under a square envelope with noise; the lost frames are flat and not valid."""
+    t = np.arange(n * size) / rate
+    raw = 0.6 * (np.sin(np.pi * t) > 0) + 0.05 * np.random.default_rng(seed).standard_normal(n * size)
+    raw = raw.reshape(n, size)
+    raw[slice(*lost)] = 0.0
+    rows = [("synthetic", i, x.tolist(), not lost[0] <= i < lost[1], 0.0) for i, x in enumerate(raw)]
+    return spark.createDataFrame(rows, "run_id string, i long, x array<double>, valid boolean, latency double")
+
+
 def select_channels(df: DataFrame, indices: list[int], n_channels: int, column: str = "ch") -> DataFrame:
     """Keep the channels in the order given; an index out of range is an error."""
     if bad := [i for i in indices if not 0 <= i < n_channels]:
@@ -134,8 +157,8 @@ def windows_or_build(spark: SparkSession, path: str, config: PreprocessConfig, b
 
 
 def write_csv(df: DataFrame, path: str, sort_columns: bool = True) -> None:
-    """One CSV with a header; columns sorted by name, or in their order."""
-    df.select(*(sorted(df.columns) if sort_columns else df.columns)).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A folder of CSV parts, each with a header; columns sorted by name, or in their order."""
+    df.select(*(sorted(df.columns) if sort_columns else df.columns)).write.mode("overwrite").csv(path, header=True)
 
 
 def write_events(df: DataFrame, path: str) -> None:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulseframe.operators.decision import MAX_LATENCY, MAX_MISSED
 
+TICKS = "run_id string, i long, valid boolean, latency double, intent boolean, confidence double, safety_ok boolean, emergency boolean, reset boolean"
 OUTPUT = "run_id string, i long, missed int, fault string, state string"
 
 
@@ -44,3 +46,13 @@ def run_loop(frames: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["run_id", "i", "missed", "fault", "state"])
 
     return frames.groupBy("run_id").applyInPandasWithState(update, OUTPUT, "name string, missed int", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(spark: SparkSession, path: str, schema: str = TICKS) -> DataFrame:
+    """Recorded frames as a stream that ends with its files."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def to_memory(df: DataFrame, name: str) -> StreamingQuery:
+    """Append a stream to the in-memory table of that name until its input ends."""
+    return df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
