@@ -43,13 +43,18 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> d
                 cells = data.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.k", "m.bin")
                 for r in cells.agg(F.count(F.lit(1)).alias("n"), F.min("m.v").alias("least"), F.max("m.v").alias("most")).collect():
                     counts.setdefault(r.k, []).append(r)
+            few = sorted({(name, least, most) for name, _, least, most, _, n in open_ if n <= FETCHED and least < most})
+            values: dict[tuple, list] = {}
+            if few:  # one job fetches the values of all spans that have few
+                marks = [F.when(inside(*s), F.struct(F.lit(k).alias("k"), F.col(s[0]).alias("v"))) for k, s in enumerate(few)]
+                for k, v in sorted(tuple(r.m) for r in data.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).collect()):
+                    values.setdefault(few[k], []).append(v)
             rest = []
             for name, rank, least, most, below, n in open_:
                 if least == most:
                     found[name, rank] = least
                 elif n <= FETCHED:
-                    values = sorted(r[0] for r in data.filter(inside(name, least, most)).select(name).collect())
-                    found[name, rank] = values[rank - below]
+                    found[name, rank] = values[name, least, most][rank - below]
                 else:
                     for r in sorted(counts[spans.index((name, least, most))], key=lambda r: r.bin):
                         if rank < below + r.n:
