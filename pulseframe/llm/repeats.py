@@ -15,10 +15,11 @@ any document without a sort of the whole corpus.
   positions that no other document shares either side of 33 bytes with are done.
 * Round 3 ranks the single windows (50 bytes) of the runs that are left.
 
-In each round a task first compares its own rows: of equal strings only those of its
-least document are sent, and a rank with very many different runs in one task is sent
-to round 3 at once. So no rank, however common, brings more than a bounded number of
-rows from each task.
+In each round a task first compares its own rows: of equal strings only the first of its
+least document is compared, and a rank with very many different runs in one task is sent
+to round 3 at once. The further places of a string in that document travel under scattered
+keys and take the verdict of the first by a join. So no rank, however common within
+documents or across them, brings more than a bounded number of rows from each comparison.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ CHUNK, PIECE = 1 << 20, 1 << 22
 COMPARED = 1 << 20
 #: Different runs of one rank in a task from which all go to round 3.
 MANY_RUNS = 64
-#: What a row is: to be compared, already known to be removed, a mark that its rank has very many runs, and bound for round 3.
-COMPARE, REMOVED, MARK, UNSETTLED = 0, 1, 2, 3
+#: What a row is: to be compared, already known to be removed, a mark that its rank has very many runs, bound for round 3;
+#: a further place of a string in its document (the other bits are the rank's), and a row to be compared that has such.
+COMPARE, REMOVED, MARK, UNSETTLED, FOLLOWS, LEADS = 0, 1, 2, 3, 4, 8
 NO_ID = (1 << 63) - 1
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -152,10 +154,25 @@ def _scatter(doc: np.ndarray, loc: np.ndarray) -> np.ndarray:
     return _mix(doc.view(np.uint64), loc.view(np.uint64))
 
 
+def is_compared(kind: np.ndarray) -> np.ndarray:
+    return (kind == COMPARE) | (kind == LEADS)
+
+
+def is_follower(kind: np.ndarray) -> np.ndarray:
+    return (kind & 7) == FOLLOWS
+
+
+def led(kind: np.ndarray, rank: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Kinds where, of rows to be compared, each that isn't fresh follows the fresh one ahead of it."""
+    follows = (kind == COMPARE) & ~fresh
+    leads = (kind == COMPARE) & fresh & np.append(follows[1:], False)
+    return np.where(follows, (rank.view(np.int64) & ~7) | FOLLOWS, np.where(leads, LEADS, kind))
+
+
 def own_comparison(rank: np.ndarray, pair: np.ndarray, loc: np.ndarray, doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-    """What a task sends of its rows: of equal (rank, run) those of the least document; the others' are known to be removed."""
+    """What a task sends of its rows: of equal (rank, run) those of the least document, the first of equal pairs leading; the other documents' are known to be removed."""
     run = pair >> np.uint64(16)
-    order = np.lexsort((doc, run, rank))
+    order = np.lexsort((pair, doc, run, rank))
     rank, pair, run, loc, doc, row = (c[order] for c in (rank, pair, run, loc, doc, row))
     new_rank = np.concatenate([[True], rank[1:] != rank[:-1]])
     new_run = new_rank | np.concatenate([[True], run[1:] != run[:-1]])
@@ -163,10 +180,12 @@ def own_comparison(rank: np.ndarray, pair: np.ndarray, loc: np.ndarray, doc: np.
     kind = np.where(doc > least, REMOVED, COMPARE)
     key = rank.copy()
     heads = np.flatnonzero(new_rank)
-    many = np.add.reduceat(new_run.astype(np.int64), heads) > MANY_RUNS
+    new_pair = new_run | np.concatenate([[True], pair[1:] != pair[:-1]])
+    many = np.add.reduceat((new_pair & (kind == COMPARE)).astype(np.int64), heads) > MANY_RUNS
     crowded = many[np.cumsum(new_rank) - 1] & (kind == COMPARE)
     kind[crowded] = UNSETTLED
-    alone = kind != COMPARE
+    kind = led(kind, rank, new_pair)
+    alone = ~is_compared(kind)
     key[alone] = _scatter(doc[alone], loc[alone])
     if many.any():
         marks = heads[many]
@@ -223,8 +242,10 @@ def _of_group(values: np.ndarray, heads: np.ndarray, group: np.ndarray, how) ->
 
 
 def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by rank: those known to be removed, and those for round 3."""
+    """Of rows sorted by rank: those known to be removed, those for round 3, and the followers."""
     for key, pair, loc, doc, row, kind in _whole_groups(batches):
+        leads, follows = kind == LEADS, is_follower(kind)
+        kind = np.where(leads, COMPARE, kind)
         out = kind != COMPARE
         keep = [np.flatnonzero(out & (kind != MARK))]
         size = np.diff(np.concatenate([heads := np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]]))
@@ -260,14 +281,14 @@ def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = np.where(mark | sides[0], 0, np.minimum(np.maximum(anchor - SIDE, 0), count))
             end = np.where(mark | sides[1], count, ahead)
             loc = loc.copy()
-            loc[index] = np.where(unsettled, location((at >> 16) + begin, 0, np.maximum(end - begin, 0)), at)
+            loc[index] = np.where(unsettled, location((at >> 16) + begin, begin, np.maximum(end - begin, 0)), at)
             kind = kind.copy()
             kind[index[removed]] = REMOVED
             kind[index[unsettled]] = UNSETTLED
             keep.append(np.sort(index[removed | unsettled]))
         rows = np.concatenate(keep)
         if len(rows):
-            yield _batch([c[rows] for c in (key, pair, loc, doc, row, kind)])
+            yield _batch([c[rows] for c in (np.where(leads, key, 0), np.where(leads | follows, pair, 0), loc, doc, row, kind)])
 
 
 def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +301,8 @@ def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, second, loc, doc, row = (c[order] for c in (rank, second, loc, doc, row))
         fresh = np.concatenate([[True], (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])])
         kind = np.where(doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1], REMOVED, COMPARE)
-        alone = kind == REMOVED
+        kind = led(kind, rank, fresh)
+        alone = ~is_compared(kind)
         rank[alone] = _scatter(doc[alone], loc[alone])
         parts.clear()
         return _by_document([rank, second, loc, doc, row, kind])
@@ -301,16 +323,34 @@ def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by rank: those that a smaller document has too."""
+    """Of windows sorted by rank: those that a smaller document has too, and the followers."""
     for key, pair, loc, doc, row, kind in _whole_groups(batches):
-        order = np.lexsort((doc, pair, kind == REMOVED, key))
+        order = np.lexsort((doc, pair, ~is_compared(kind), key))
         key, pair, loc, doc, row, kind = (c[order] for c in (key, pair, loc, doc, row, kind))
-        known = kind == REMOVED
+        known, leads, follows = ~is_compared(kind), kind == LEADS, is_follower(kind)
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]) | (known[1:] != known[:-1])])
         least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         rows = np.flatnonzero(known | (doc > least))
         if len(rows):
-            yield _batch([key[rows], pair[rows], loc[rows], doc[rows], row[rows], np.full(len(rows), REMOVED)])
+            yield _batch([c[rows] for c in (np.where(leads, key, 0), np.where(leads | follows, pair, 0), loc, doc, row, np.where(follows, kind, REMOVED))])
+
+
+def with_followers(rows: DataFrame, name: str) -> DataFrame:
+    """Settled rows (doc, row, loc, kind), where followers have taken the verdict of the row that leads them; those without one are gone.
+
+    The join's left side may hold any number of followers under one key; its right side has one row there.
+    """
+    follows = F.col("kind").bitwiseAND(7) == FOLLOWS
+    low = lambda shift: F.shiftright("loc", shift).bitwiseAND(0xFF)
+    unsettled = F.col("kind") == UNSETTLED
+    led_by = rows.filter(~follows & ((F.col("key") != 0) | (F.col("pair") != 0)))
+    verdicts = led_by.select(
+        "doc", F.shiftright("key", 3).alias("rank"), "pair", F.col("kind").alias("verdict"), F.when(unsettled, low(8)).alias("begin"), F.when(unsettled, low(0)).alias("count")
+    ).distinct()
+    placed = F.shiftleft(F.shiftright("loc", 16) + F.col("begin"), 16) + F.shiftleft("begin", 8) + F.col("count")
+    followers = rows.filter(follows).select("doc", "row", "loc", F.shiftright("kind", 3).alias("rank"), "pair").join(verdicts, ["doc", "rank", "pair"])
+    followers = materialize(followers.select("doc", "row", F.coalesce(placed, "loc").alias("loc"), F.col("verdict").alias("kind")), name)
+    return rows.filter(~follows).select("doc", "row", "loc", "kind").unionByName(followers)
 
 
 def cut(text: bytes, locs: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -356,11 +396,11 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     long_enough = docs.filter(F.octet_length("text") >= SPAN)
 
     anchors = long_enough.mapInArrow(rank_anchors, ROWS)
-    runs = materialize(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(settle_runs, ROWS).select("doc", "row", "loc", "kind"), "runs")
+    runs = with_followers(materialize(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(settle_runs, ROWS), "runs"), "run_followers")
     unsettled = runs.filter(F.col("kind") == UNSETTLED).groupBy("doc", "row").agg(F.collect_set("loc").alias("locs"))
     windows = long_enough.join(unsettled, ["doc", "row"]).select("doc", "row", "text", "locs").mapInArrow(rank_windows, ROWS)
-    single = materialize(windows.repartition("key").sortWithinPartitions("key").mapInArrow(settle_windows, ROWS).select("doc", "row", "loc"), "windows")
-    removed = runs.filter(F.col("kind") == REMOVED).select("doc", "row", "loc").unionByName(single)
+    single = with_followers(materialize(windows.repartition("key").sortWithinPartitions("key").mapInArrow(settle_windows, ROWS), "windows"), "window_followers")
+    removed = runs.filter(F.col("kind") == REMOVED).unionByName(single)
     removed = removed.groupBy("doc", "row").agg(F.collect_list("loc").alias("locs"))
     done = docs.join(removed, ["doc", "row"], "left").select("doc", _cut("text", "locs").alias("x"))
     return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_column), "x.n_bytes", "x.spans", "x.kept")

@@ -420,6 +420,34 @@ def test_repeats_of_a_very_common_line(spark, monkeypatch):
     assert got == {i: x[:3] for (i, *_), x in zip(rows, brute.repeats([r[:2] for r in rows]))}
 
 
+def test_repeats_inside_documents(spark):
+    """Periods, few letters and repeated lines within documents, shared with others at some places only."""
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice((20, 55, 70)))) + "\n" for _ in range(12)]
+    texts = ["0" * 3000, "ab" * 700 + "0" * 100, "=" * 400 + lines[0] * 9, "0" * 60 + "=" * 90, "abc" * 500, "cab" * 40]
+    texts += ["".join(rng.choice(lines) for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    texts += ["".join(rng.choice("ab") for _ in range(900)) for _ in range(4)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, texts[k], "s") for i, k in enumerate(order)]
+    want = {i: x for (i, *_), x in zip(rows, brute.repeats([r[:2] for r in rows]))}
+    for parts in (1, 7):
+        found = repeats.remove_repeats(docs(spark, rows).repartition(parts)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found} == want
+
+
+@pytest.mark.parametrize("text", ["0" * 200000, "abcdefg" * 30000, "".join(random.Random(11).choice(["line of a table that comes again and again\n", "=" * 70 + "\n", "zz"]) for _ in range(4000))])
+def test_repeats_of_one_document_send_few_rows_a_key(text):
+    rows = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([0]), pa.array([text])], ["doc", "row", "text"])
+    for sent in repeats.rank_anchors([rows]):
+        _, sizes = np.unique(sent.column(0).to_numpy(), return_counts=True)
+        assert sent.num_rows > 1000 and sizes.max() <= repeats.MANY_RUNS + 1
+    locs = pa.array([[repeats.location(p, 0, 1) for p in range(len(text) - repeats.SPAN)]], pa.list_(pa.int64()))
+    for sent in repeats.rank_windows([pa.RecordBatch.from_arrays([*rows.columns, locs], ["doc", "row", "text", "locs"])]):
+        _, sizes = np.unique(sent.column(0).to_numpy(), return_counts=True)
+        assert sizes.max() <= 2
+
+
 # 9
 
 
