@@ -62,14 +62,24 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def shuffle_files_go_at_the_end(spark: SparkSession):
-    """Shuffle files of queries that run in here are deleted when the query ends: what they write needs them no more."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str):
+    """Queries that run in here run under the setting; the former one comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def shuffle_files_go_at_the_end(spark: SparkSession):
+    """Shuffle files of queries that run in here are deleted when the query ends: what they write needs them no more."""
+    return setting(spark, _CLEANUP, "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow hands Python so many rows at once, so that neither side holds more than a few megabytes of common texts and the longest one."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
