@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact, media, mixing, quality, repeats, secrets, simhash, tokens, urls
-from pulseframe.llm.common import documents, scratch, text_or_empty
+from pulseframe.llm import bpe, exact, lexical, media, mixing, prefixes, quality, repeats, secrets, simhash, tokens, urls
+from pulseframe.llm.common import documents, materialize, scratch, text_or_empty
 
 
 def hex_sha256(c) -> F.Column:
@@ -131,3 +131,16 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_suffix_array_dedup": op8_suffix_array_dedup}
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefixes.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    return prefixes.prefix_trie(prefixes.rebuilt(turns), turns)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES |= {"op12_prefix_trie": op12_prefix_trie, "op13_lexical_search": op13_lexical_search}
+ORACLES |= {"op12_prefix_trie": prefixes.TRIE_SQL, "op13_lexical_search": lexical.SEARCH_SQL}
