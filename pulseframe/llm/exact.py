@@ -107,15 +107,20 @@ def without(df: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFram
     return misses.unionByName(hits.join(right, same, "left_anti"))
 
 
-def maybe_among(df: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> DataFrame:
-    """The rows of df whose keys some row of wanted has, and about one other in BITS_A_DIGEST; no row moves.
-    Where there are more keys than the largest filter can tell apart, all rows."""
+def split_among(df: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose keys some row of wanted has and about one other in BITS_A_DIGEST, and the rest; no row moves.
+    Where there are more keys than the largest filter can tell apart, all rows come first and none is left."""
     wanted = wanted.select(F.xxhash64(*keys).alias("digest")).distinct()
     n = wanted.count()
     bits = filter_bits(n)
     if (n >> bits - 2) > 0:
-        return df
-    return split_by_filter(df, F.xxhash64(*keys.values()), materialize(filter_of(wanted, bits), "filter"), bits)[0]
+        return df, df.filter(F.lit(False))
+    return split_by_filter(df, F.xxhash64(*keys.values()), materialize(filter_of(wanted, bits), "filter"), bits)
+
+
+def maybe_among(df: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> DataFrame:
+    """The first part of split_among."""
+    return split_among(df, keys, wanted)[0]
 
 
 def duplicate_groups(

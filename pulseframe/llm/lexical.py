@@ -120,14 +120,15 @@ def search(df: DataFrame, items: DataFrame, k: int = 10, id_column: str = "doc_i
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 SEARCH_SQL = f"""
-    WITH words AS (SELECT doc_id, len({_TERMS}) AS n, unnest({_TERMS}) AS term FROM documents),
-    post AS (SELECT doc_id, n, term, count(*) AS tf FROM words GROUP BY ALL),
-    whole AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM (SELECT DISTINCT doc_id, n FROM words)),
-    items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
-    weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM post, whole GROUP BY term, nd),
-    scored AS (
-        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))))::BIGINT AS score
-        FROM items JOIN post USING (term) JOIN weights USING (term), whole GROUP BY ALL)
+    WITH lists AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+    whole AS (SELECT count(*) AS nd, sum(len(terms))::BIGINT AS l FROM lists WHERE len(terms) > 0),
+    words AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM lists),
+    post AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM words GROUP BY ALL),
+    spelled AS (SELECT item_id, {_TERMS} AS terms FROM benchmark),
+    items AS MATERIALIZED (SELECT DISTINCT item_id, unnest(terms) AS term FROM spelled),
+    weights AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * (SELECT nd FROM whole) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM post GROUP BY term),
+    points AS (SELECT doc_id, post.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * (SELECT nd FROM whole)) // (SELECT l FROM whole)))) AS p FROM post JOIN weights ON post.term = weights.term),
+    scored AS (SELECT item_id, doc_id, sum(p)::BIGINT AS score FROM items JOIN points ON items.term = points.term GROUP BY ALL)
     SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
     FROM scored WHERE score > 0 QUALIFY rank <= 10
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact, lexical, media, mixing, prefixes, quality, repeats, secrets, simhash, tokens, urls
+from pulseframe.llm import bpe, exact, lexical, media, mixing, phrases, prefixes, quality, repeats, secrets, simhash, tokens, urls
 from pulseframe.llm.common import documents, materialize, scratch, text_or_empty
 
 
@@ -133,6 +133,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op8_suffix_array_dedup": op8_suffix_array_dedup}
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = phrases.remove_repeated_phrases(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = materialize(prefixes.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
     return prefixes.prefix_trie(prefixes.rebuilt(turns), turns)
@@ -142,5 +147,5 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES |= {"op12_prefix_trie": op12_prefix_trie, "op13_lexical_search": op13_lexical_search}
-ORACLES |= {"op12_prefix_trie": prefixes.TRIE_SQL, "op13_lexical_search": lexical.SEARCH_SQL}
+QUERIES |= {"op11_repeated_phrases": op11_repeated_phrases, "op12_prefix_trie": op12_prefix_trie, "op13_lexical_search": op13_lexical_search}
+ORACLES |= {"op11_repeated_phrases": phrases.REPEATED_SQL, "op12_prefix_trie": prefixes.TRIE_SQL, "op13_lexical_search": lexical.SEARCH_SQL}
