@@ -11,6 +11,8 @@ from pulseframe.sources.signals import KEYS
 
 WIDTH, STRIDE, CHANNELS = 8, 2, ("ch0", "ch1")
 FEATURES = ("rms", "mav", "zcr", "wl", "ssc")
+#: Samples of a recording that a task takes at once.
+BLOCK = 4096
 
 
 def guard_windows(width: float | None, stride: float | None) -> int:
@@ -18,46 +20,72 @@ def guard_windows(width: float | None, stride: float | None) -> int:
     return max(0, math.ceil(width / stride) - 1) if width and stride else 0
 
 
-def sliding(df: DataFrame, width: int = WIDTH, stride: int = STRIDE, channels=CHANNELS, zc_threshold: float = 0.0) -> DataFrame:
+def sliding(df: DataFrame, width: int = WIDTH, stride: int = STRIDE, channels=CHANNELS, zc_threshold: float = 0.0, block: int = BLOCK) -> DataFrame:
     """One row per window: keys, seq, start_idx, label and repetition of the last sample,
     pure, and per channel the window x_<ch> with its statistics.
 
     Windows begin at 0, stride, ... and never cross recordings; a recording shorter
-    than a window has none. One exchange by recording serves all frames; differences
-    to earlier samples use frames shortened so that they stay inside the window.
+    than a window has none. Samples are numbered from 0 without gaps.
+
+    Samples are aggregated to panes as long as width and stride divide by, and windows are
+    sums over their panes: what lies inside a pane, and what crosses from one pane to the next. A recording is cut in
+    blocks of about that many samples, and the panes that a block's first windows need of the one before are copied to it.
+    So one exchange by recording and block serves all, and no task holds a recording. Lists are made once a pane, not once a sample.
     """
-    by = Window.partitionBy(*KEYS).orderBy("sample_idx")
-    frame = lambda n: by.rowsBetween(-(n - 1), 0)
-    rows = df
+    pane = math.gcd(width, stride)
+    k, hop = width // pane, stride // pane
+    per_block = max(k, -(-block // pane))
+    at, own = F.expr(f"sample_idx div {pane}"), F.expr(f"sample_idx div {pane * per_block}")
+    needed = F.when(at % per_block >= per_block - (k - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = df.select(*KEYS, F.col("sample_idx").cast("long").alias("sample_idx"), "label", "repetition", *channels).withColumns({"_pane": at, "_offset": F.col("sample_idx") % pane})
+    rows = rows.withColumn("_block", F.explode(needed))
+
+    by = Window.partitionBy(*KEYS, "_block").orderBy("sample_idx")
+    steps = {}
+    for c in channels:
+        steps |= {f"_d_{c}": F.col(c) - F.lag(c, 1).over(by), f"_s_{c}": F.when(F.col(c) < 0, -1).otherwise(1)}
+    rows = rows.withColumns(steps)
+    steps = {}
     for c in channels:
-        rows = rows.withColumn(f"_d_{c}", F.col(c) - F.lag(c, 1).over(by)).withColumn(f"_s_{c}", F.when(F.col(c) < 0, -1).otherwise(1))
+        d, before, s, sign = F.col(f"_d_{c}"), F.lag(f"_d_{c}", 1).over(by), F.col(f"_s_{c}"), F.lag(f"_s_{c}", 1).over(by)
+        steps[f"_z_{c}"] = ((s != sign) & (F.abs(d) > zc_threshold)).cast("double")
+        steps[f"_t_{c}"] = ((before * d < 0) & (F.greatest(F.abs(before), F.abs(d)) > zc_threshold)).cast("double")
+    rows = rows.withColumns(steps)
+
+    inside, crossing = (lambda v, m: F.sum(F.when(F.col("_offset") >= m, v))), (lambda v, m: F.sum(F.when(F.col("_offset") < m, v)))
+    state = [F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("label", "sample_idx").alias("label"), F.max_by("repetition", "sample_idx").alias("repetition")]
     for c in channels:
-        d, s = F.col(f"_d_{c}"), F.col(f"_s_{c}")
-        before, sign = F.lag(f"_d_{c}", 1).over(by), F.lag(f"_s_{c}", 1).over(by)
-        rows = rows.withColumns(
-            {
-                f"_z_{c}": ((s != sign) & (F.abs(d) > zc_threshold)).cast("double"),
-                f"_t_{c}": ((before * d < 0) & (F.greatest(F.abs(before), F.abs(d)) > zc_threshold)).cast("double"),
-            }
-        )
-    w, w1, w2 = frame(width), frame(width - 1), frame(width - 2)
-    out = [*KEYS, "sample_idx", "label", "repetition", (F.min("label").over(w) == F.max("label").over(w)).alias("pure")]
+        x, d = F.col(c), F.abs(f"_d_{c}")
+        state += [
+            F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", x.alias("x")))), lambda v: v["x"]).alias(f"x_{c}"),
+            *(f.alias(f"{name}_{c}") for name, f in {"n": F.count(x), "sum": F.sum(x), "abs": F.sum(F.abs(x)), "sq": F.sum(x * x), "m2": F.var_pop(x) * F.count(x), "avg": F.avg(x), "absmax": F.max(F.abs(x))}.items()),
+            *(f(v, m).alias(f"{name}_{way}_{c}") for name, v, m in (("wl", d, 1), ("zcr", F.col(f"_z_{c}"), 1), ("ssc", F.col(f"_t_{c}"), 2)) for way, f in (("in", inside), ("edge", crossing))),
+        ]
+    panes = rows.groupBy(*KEYS, "_block", "_pane").agg(*state)
+
+    trail = Window.partitionBy(*KEYS, "_block").orderBy("_pane")
+    last = lambda v, n=k: F.sum(v).over(trail.rowsBetween(-(n - 1), 0)) if n > 0 else F.lit(0.0)
+    total = lambda name, c, edges=k - 1: F.coalesce(last(f"{name}_in_{c}"), F.lit(0.0)) + F.coalesce(last(f"{name}_edge_{c}", edges), F.lit(0.0))
+    whole = trail.rowsBetween(-(k - 1), 0)
+    out = [*KEYS, "_block", "_pane", "label", "repetition", (F.min("least").over(whole) == F.max("most").over(whole)).alias("pure"), last("n").alias("_n")]
     for c in channels:
-        x = F.col(c)
+        n = last(f"n_{c}")
+        mean, square = last(f"sum_{c}") / n, last(f"sq_{c}") / n
+        spread = F.when(n == width, last(f"m2_{c}") / width + F.var_pop(f"avg_{c}").over(whole)).otherwise(F.greatest(F.lit(0.0), square - mean * mean))
         out += [
-            F.collect_list(c).over(w).alias(f"x_{c}"),
-            F.sqrt(F.avg(x * x).over(w)).alias(f"rms_{c}"),
-            F.avg(F.abs(x)).over(w).alias(f"mav_{c}"),
-            (F.coalesce(F.sum(f"_z_{c}").over(w1), F.lit(0.0)) / (width - 1)).alias(f"zcr_{c}"),
-            F.coalesce(F.sum(F.abs(f"_d_{c}")).over(w1), F.lit(0.0)).alias(f"wl_{c}"),
-            (F.coalesce(F.sum(f"_t_{c}").over(w2), F.lit(0.0)) / (width - 2)).alias(f"ssc_{c}"),
-            F.stddev_pop(x).over(w).alias(f"std_{c}"),
-            F.avg(x).over(w).alias(f"mean_{c}"),
-            F.max(F.abs(x)).over(w).alias(f"absmax_{c}"),
+            F.filter(F.flatten(F.collect_list(f"x_{c}").over(whole)), lambda v: v.isNotNull()).alias(f"x_{c}"),
+            F.sqrt(square).alias(f"rms_{c}"),
+            (last(f"abs_{c}") / n).alias(f"mav_{c}"),
+            (total("zcr", c) / (width - 1)).alias(f"zcr_{c}"),
+            total("wl", c).alias(f"wl_{c}"),
+            (total("ssc", c, k - 1 if pane > 1 else k - 2) / (width - 2)).alias(f"ssc_{c}"),
+            F.sqrt(spread).alias(f"std_{c}"),
+            mean.alias(f"mean_{c}"),
+            F.max(f"absmax_{c}").over(whole).alias(f"absmax_{c}"),
         ]
-    start = F.col("sample_idx") - (width - 1)
-    hops = rows.select(*out).filter((start >= 0) & (start % stride == 0))
-    return hops.withColumns({"start_idx": start, "seq": F.expr(f"(sample_idx - {width - 1}) div {stride}")}).drop("sample_idx")
+    first = F.col("_pane") - (k - 1)
+    hops = panes.select(*out).filter((first >= 0) & (first % hop == 0) & (F.col("_n") == width) & (F.expr(f"_pane div {per_block}") == F.col("_block")))
+    return hops.withColumns({"start_idx": first * pane, "seq": F.expr(f"(_pane - {k - 1}) div {hop}")}).drop("_block", "_pane", "_n")
 
 
 def binary_labels(df: DataFrame) -> DataFrame:

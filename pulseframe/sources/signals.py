@@ -52,8 +52,21 @@ def samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("value") - 50) / 50).alias("ch0"),
         ((F.col("k") - 50) / 50).alias("ch1"),
     )
-    order = Window.partitionBy(*KEYS).orderBy("ts", "event_id")
-    return raw.withColumn("sample_idx", (F.row_number().over(order) - 1).cast("long")).drop("ts", "event_id")
+    return numbered(raw, "ts", "event_id").drop("ts", "event_id")
+
+
+def numbered(df: DataFrame, time: str, tie: str, tick_s: int = 60) -> DataFrame:
+    """Add sample_idx: the place of each row in its recording in order of time, then tie; rows without a time come first.
+
+    Rows are counted by recording and tick; the sums over earlier ticks are offsets, and rows are ranked
+    inside their tick. So no task holds a recording, however long: what meets for one is a row a tick.
+    """
+    tick = F.coalesce(F.floor(F.unix_timestamp(time) / tick_s), F.lit(-(1 << 62)))
+    rows = df.withColumn("_tick", tick)
+    earlier = Window.partitionBy(*KEYS).orderBy("_tick").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*KEYS, "_tick").agg(F.count(F.lit(1)).alias("_n")).select(*KEYS, "_tick", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "_tick").orderBy(F.asc_nulls_first(time), tie)) - 1
+    return rows.withColumn("_rank", rank).join(offsets, [*KEYS, "_tick"]).withColumn("sample_idx", (F.col("_ahead") + F.col("_rank")).cast("long")).drop("_tick", "_rank", "_ahead")
 
 
 def embedding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
