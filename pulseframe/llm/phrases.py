@@ -147,9 +147,31 @@ def gathered(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return values[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])], offsets
 
 
-def binaries(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    data, offsets = gathered(codes, starts, ends)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
+def letters(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """The codes of each span, filled up with zeros, as four 64-bit numbers: of fixed width, so that they are aggregated by hash."""
+    at = starts[:, None] + np.arange(LONGEST)
+    packed = np.where(at < ends[:, None], codes[np.minimum(at, len(codes) - 1)], 0).astype(np.uint8).reshape(-1, LONGEST)
+    return [pa.array(np.ascontiguousarray(c)) for c in packed.view(np.int64).T]
+
+
+def first_places(doc: np.ndarray, place: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """Of each entry the least place among those with its document and hashes."""
+    order = np.lexsort((place, *hashes, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (doc, *hashes)], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = place[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
+
+
+def repeated(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which passages have an anchor that their document has more than once: others can't repeat anything in it."""
+    order = np.lexsort((anchor, doc))
+    same = (doc[order][1:] == doc[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
+    out = np.zeros(len(order), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,63 +183,83 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([signed(found), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
 
+class Found:
+    """The passages of a block: document, place of the first word, slice and span in it, anchor, and two hashes."""
+
+    def __init__(self, block: Block):
+        parts = [(part, *passages(block, part)) for part in block.slices(SPAN - 1)]
+        self.block, self.parts = block, [(part, starts, ends) for part, starts, ends, _ in parts]
+        joined = lambda f: np.concatenate([f(*p) for p in parts]) if parts else np.zeros(0, np.int64)
+        self.doc, self.place = joined(lambda part, s, e, a: block.doc[part][s]), joined(lambda part, s, e, a: block.place[part][s])
+        self.anchor = joined(lambda part, s, e, a: a)
+        self.repeated = repeated(self.doc, self.anchor)
+
+    def hashes(self, multiplier: int, words: np.ndarray) -> np.ndarray:
+        return np.concatenate([span_hashes(words[part], multiplier, s, e) for part, s, e in self.parts]) if self.parts else np.zeros(0, np.uint64)
+
+    def letters(self) -> list[pa.Array]:
+        columns = [letters(self.block.codes[part], s, e) for part, s, e in self.parts if len(s)]
+        return [pa.concat_arrays(c) for c in zip(*columns)] or [pa.array([], pa.int64())] * 4
+
+    def windows(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Two hashes and the first place in the document of every window, in the order of the passages, and the offsets of the passages."""
+        values, sizes = [], []
+        for part, s, e in self.parts:
+            at = np.arange(max(0, len(self.block.h1[part]) - SPAN + 1))
+            each = [gathered(span_hashes(h[part], m, at, at + SPAN), s, e - SPAN + 1)[0] for h, m in zip((self.block.h1, self.block.h2), MULTIPLIERS)]
+            values.append((*each, gathered(self.block.place[part], s, e - SPAN + 1)[0]))
+            sizes.append(e - SPAN + 1 - s)
+        if not values:
+            return [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)], np.zeros(1, np.int64)
+        w1, w2, place = (np.concatenate(c) for c in zip(*values))
+        sizes = np.concatenate(sizes)
+        again = np.repeat(self.repeated, sizes)
+        place[again] = first_places(np.repeat(self.doc, sizes)[again], place[again], w1[again], w2[again])
+        return [w1, w2, place], np.concatenate([[0], np.cumsum(sizes)])
+
+
 def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, start, anchor, h1, h2, codes) of every passage."""
+    """(doc, start, anchor, h1, h2, c0 to c3) of every passage; start is that of the first equal passage of the document."""
     for batch in freed(batches):
         for first, block in blocks(batch.column("text")):
-            for part in block.slices(SPAN - 1):
-                starts, ends, anchors = passages(block, part)
-                where = pa.array(block.doc[part][starts] + first)
-                hashes = [signed(span_hashes(h[part], m, starts, ends)) for h, m in zip((block.h1, block.h2), MULTIPLIERS)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(where), batch.column("tie").take(where), pa.array(block.place[part][starts]), signed(anchors), *hashes, binaries(block.codes[part], starts, ends)],
-                    ["id", "tie", "start", "anchor", "h1", "h2", "codes"],
-                )
+            found = Found(block)
+            h1, h2 = (found.hashes(m, h) for m, h in zip(MULTIPLIERS, (block.h1, block.h2)))
+            again, start = found.repeated, found.place.copy()
+            start[again] = first_places(found.doc[again], start[again], h1[again], h2[again])
+            where = pa.array(found.doc + first)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(where), pa.array(start), signed(found.anchor), signed(h1), signed(h2), *found.letters()], ["doc", "start", "anchor", "h1", "h2", "c0", "c1", "c2", "c3"])
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, start, codes, w1, w2) of every passage: w1 and w2 list the hashes of its windows, from its start on."""
+    """(doc, start, c0 to c3, w1, w2, first) of every passage: of its windows two hashes, and where the first equal one of the document starts."""
     for batch in freed(batches):
-        for first, block in blocks(batch.column("text")):
-            for part in block.slices(SPAN - 1):
-                starts, ends, _ = passages(block, part)
-                where = pa.array(block.doc[part][starts] + first)
-                at = np.arange(max(0, len(block.h1[part]) - SPAN + 1))
-                lists = []
-                for h, m in zip((block.h1, block.h2), MULTIPLIERS):
-                    values, offsets = gathered(span_hashes(h[part], m, at, at + SPAN).view(np.int64), starts, ends - SPAN + 1)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(where), batch.column("tie").take(where), pa.array(block.place[part][starts]), binaries(block.codes[part], starts, ends), *lists], ["id", "tie", "start", "codes", "w1", "w2"]
-                )
+        for at, block in blocks(batch.column("text")):
+            found = Found(block)
+            (w1, w2, first), offsets = found.windows()
+            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(v.view(np.int64))) for v in (w1, w2, first)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(found.doc + at)), pa.array(found.place), *found.letters(), *lists], ["doc", "start", "c0", "c1", "c2", "c3", "w1", "w2", "first"])
 
 
 class Phrases:
     """An automaton over phrases spelled by one letter a word; each letter string leads to all phrases that are spelled so."""
 
     def __init__(self, phrases: pa.Table):
-        self.h1, self.h2, self.start = (phrases.column(c).to_numpy() for c in ("h1", "h2", "first_start"))
-        self.first = keys_of(phrases.column("first_id"), phrases.column("first_tie"))
-        self.sizes = np.array([len(c) for c in phrases.column("codes").to_pylist()], np.int64)
-        spelled: dict[str, list[int]] = {}
-        for k, c in enumerate(phrases.column("codes").to_pylist()):
-            spelled.setdefault(c.decode("latin-1"), []).append(k)
+        self.h1, self.h2, self.doc, self.start = (phrases.column(c).to_numpy() for c in ("h1", "h2", "doc", "start"))
+        packed = np.column_stack([phrases.column(f"c{k}").to_numpy() for k in range(4)]).astype(np.int64)
+        self.sizes = (packed.view(np.uint8).reshape(len(packed), LONGEST) > 0).sum(axis=1)
+        spelled: dict[bytes, list[int]] = {}
+        for k, (row, n) in enumerate(zip(packed, self.sizes)):
+            spelled.setdefault(row.tobytes()[:n], []).append(k)
         self.automaton = ahocorasick.Automaton()
-        for letters, those in spelled.items():
-            self.automaton.add_word(letters, those)
+        for codes, those in spelled.items():
+            self.automaton.add_word(codes.decode("latin-1"), those)
         self.automaton.make_automaton()
 
-    def ranks(self, keys: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the keys, and of those of the phrases' first documents, in one order."""
-        order = {k: n for n, k in enumerate(sorted({*keys, *self.first}))}
-        return np.array([order[k] for k in keys], np.int64), np.array([order[k] for k in self.first], np.int64)
-
-    def covered(self, block: Block, keys: list[tuple]) -> np.ndarray:
-        """Which words of the block lie in a phrase that also starts earlier; keys order the documents."""
+    def covered(self, block: Block, docs: np.ndarray) -> np.ndarray:
+        """Which words of the block lie in a phrase that also starts earlier; docs orders the block's documents."""
         gone = np.zeros(len(block.doc) + 1, np.int64)
         if not len(self.automaton):
             return gone[:-1] > 0
-        ranks, firsts = self.ranks(keys)
         for part in block.slices(LONGEST - 1):
             hits = list(self.automaton.iter(block.codes[part].tobytes().decode("latin-1")))
             if not hits:
@@ -229,25 +271,19 @@ class Phrases:
             same = doc[start] == doc[end - 1]
             for h, m, told in ((block.h1, MULTIPLIERS[0], self.h1), (block.h2, MULTIPLIERS[1], self.h2)):
                 same &= span_hashes(h[part], m, start, end).view(np.int64) == told[phrase]
-            mine, first = ranks[doc[start]], firsts[phrase]
+            mine, first = docs[doc[start]], self.doc[phrase]
             same &= (mine > first) | (mine == first) & (block.place[part][start] > self.start[phrase])
             np.add.at(gone, start[same] + part.start, 1)
             np.add.at(gone, end[same] + part.start, -1)
         return np.cumsum(gone)[:-1] > 0
 
 
-def keys_of(ids: pa.ChunkedArray, ties: pa.ChunkedArray) -> list[tuple]:
-    """Documents in order: by id, null last, then by tie."""
-    return [(i is None, 0 if i is None else i, t) for i, t in zip(ids.to_pylist(), ties.to_pylist())]
-
-
 def kept_rows(docs: pa.Table, phrases: pa.Table | None) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, n_removed, kept) of documents (id, tie, text)."""
+    """(id, n_words, n_removed, kept) of documents (id, doc, text)."""
     found = Phrases(phrases) if phrases is not None and phrases.num_rows else None
     for batch in docs.to_batches():
         for first, block in blocks(batch.column("text")):
-            some = batch.slice(first, len(block.counts))
-            gone = found.covered(block, keys_of(some.column("id"), some.column("tie"))) if found else np.zeros(len(block.doc), bool)
+            gone = found.covered(block, batch.column("doc").to_numpy()[first:]) if found else np.zeros(len(block.doc), bool)
             ends = np.cumsum(block.counts)
             kept, removed = [], []
             for k, n in enumerate(block.counts):
@@ -257,9 +293,22 @@ def kept_rows(docs: pa.Table, phrases: pa.Table | None) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(kept)), pa.array(block.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
 
-def place() -> Column:
-    """The order of places: documents by id (null last), those of one id by a hash of their text, then the word's number."""
-    return F.struct(F.col("id").isNull().alias("none"), "id", "tie", "start")
+def ordered(docs: DataFrame) -> DataFrame:
+    """Add doc, a number that orders documents by id (null last), then by a hash of their text; equal rows share it.
+
+    Where ids are whole numbers, none null or repeated, they serve themselves. Else the distinct (id, hash) are sorted in ranges, numbered by the
+    sizes of the ranges, and joined.
+    """
+    kind = docs.schema["id"].dataType
+    counted = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.count_if(F.col("id").isNull()).alias("none")).first()
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and (counted.n or 0) <= 1 and not counted.none:
+        return docs.withColumn("doc", F.col("id").cast("long"))
+    tied = docs.withColumn("tie", F.xxhash64("text"))
+    order = [F.col("id").isNull().asc(), F.col("id").asc(), F.col("tie").asc()]
+    names = tied.select("id", "tie").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    names = materialize(names.select("id", "tie", F.monotonically_increasing_id().alias("doc")), "order")  # rising from range to range, and inside each
+    right = names.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "doc")
+    return tied.join(right, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).drop("_id", "_tie", "tie")
 
 
 def remove_repeated_phrases(df: DataFrame, id_column: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
@@ -274,43 +323,51 @@ def remove_repeated_phrases(df: DataFrame, id_column: str = "doc_id", text: str
     Equality rests on 128 bits over the words. shards is the number of automata, by default one for every 20,000 passages whose anchors recur.
     """
     kind = df.schema[id_column].dataType
-    docs = df.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    long, binary = T.LongType(), T.BinaryType()
-    keyed = [T.StructField("id", kind), T.StructField("tie", long), T.StructField("start", long)]
+    docs = ordered(df.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text")))
+    letters_ = ["c0", "c1", "c2", "c3"]
 
     # Anchors that recur, and the passages that have them.
     anchors = docs.select("text").mapInArrow(anchor_rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     anchors = materialize(anchors, "anchors")
-    found = docs.mapInArrow(passage_rows, T.StructType([*keyed, *(T.StructField(c, long) for c in ("anchor", "h1", "h2")), T.StructField("codes", binary)]))
+    found = docs.select("doc", "text").mapInArrow(passage_rows, "doc long, start long, anchor long, h1 long, h2 long, c0 long, c1 long, c2 long, c3 long")
     found = materialize(maybe_among(found, {"anchor": F.col("anchor")}, anchors), "passages")
+    discard(anchors)
+    n_shards = shards or max(1, found.count() // SHARD)
+    shard_of = lambda doc: F.pmod(F.xxhash64(doc), F.lit(n_shards)).alias("shard")
+
+    def firsts(rows: DataFrame, *more: str) -> DataFrame:
+        """Of equal passages or windows the first place, their number, and what all share."""
+        return rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in (*letters_, *more)))
+
+    def needed(rows: DataFrame, first: DataFrame) -> DataFrame:
+        """The phrases of each shard: those that occur in it, unless it is for the first time and once."""
+        inside = rows.groupBy("h1", "h2", shard_of("doc")).agg(F.count(F.lit(1)).alias("inside"))
+        return inside.join(first.filter("n > 1").drop("n"), ["h1", "h2"]).filter((F.col("inside") > 1) | (F.col("shard") != shard_of("doc"))).select("shard", "h1", "h2", "doc", "start", *letters_)
 
     # Passages that recur; the first of each is the original.
-    n_shards = shards or max(1, found.count() // SHARD)
-    shard_of = F.pmod(F.xxhash64("id", "tie"), F.lit(n_shards)).alias("shard")
-    originals = materialize(found.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"), F.first("codes").alias("codes")), "originals")
-    again = found.groupBy("h1", "h2", shard_of).agg(F.max(place()).alias("last"))
-    phrases = again.join(originals.filter("n > 1").select("h1", "h2", "first", "codes"), ["h1", "h2"]).filter("last > first")
+    originals = materialize(firsts(found, "anchor"), "originals")
+    phrases = materialize(needed(found, originals), "phrases")
+    told = materialize(maybe_among(found, {"h1": F.col("h1"), "h2": F.col("h2")}, originals.filter("n > 1").select("h1", "h2")).select("doc").distinct(), "told")
+    discard(found)
 
     # Originals that share an anchor, window by window.
     shared = originals.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    apart = materialize(originals.join(shared, "anchor", "left_semi").select("first.id", "first.tie", "first.start"), "apart")
-    some = maybe_among(docs, {"id": F.col("id"), "tie": F.col("tie")}, apart.select("id", "tie"))
-    whole = some.mapInArrow(window_rows, T.StructType([*keyed, T.StructField("codes", binary), T.StructField("w1", T.ArrayType(long)), T.StructField("w2", T.ArrayType(long))]))
-    whole = maybe_among(whole, {c: F.col(c) for c in ("id", "tie", "start")}, apart)
-    windows = whole.select("id", "tie", F.col("start").alias("at"), "codes", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w"))
-    windows = windows.select("id", "tie", (F.col("at") + F.col("k")).alias("start"), F.col("w.w1").alias("h1"), F.col("w.w2").alias("h2"), F.expr(f"substring(codes, k + 1, {SPAN})").alias("codes"))
-    windows = materialize(windows, "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("codes").alias("codes")).filter("n > 1").drop("n")
-    again = windows.groupBy("h1", "h2", shard_of).agg(F.max(place()).alias("last"))
-    phrases = phrases.unionByName(again.join(first, ["h1", "h2"]).filter("last > first"))
-    phrases = materialize(phrases.select("shard", "h1", "h2", "codes", F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie"), F.col("first.start").alias("first_start")), "phrases")
-    told = maybe_among(found, {"h1": F.col("h1"), "h2": F.col("h2")}, originals.filter("n > 1")).select("id", "tie")
-    told = materialize(told.unionByName(windows.join(first, ["h1", "h2"], "left_semi").select("id", "tie")).distinct(), "told")
-    discard(found, windows, originals, anchors, apart)
+    apart = materialize(originals.join(shared, "anchor", "left_semi").select("doc", "start"), "apart")
+    discard(originals)
+    whole = maybe_among(docs.select("doc", "text"), {"doc": F.col("doc")}, apart.select("doc"))
+    whole = whole.mapInArrow(window_rows, "doc long, start long, c0 long, c1 long, c2 long, c3 long, w1 array<long>, w2 array<long>, first array<long>")
+    whole = maybe_among(whole, {c: F.col(c) for c in ("doc", "start")}, apart)
+    windows = whole.select("doc", F.array(*letters_).alias("c"), F.posexplode(F.arrays_zip("w1", "w2", "first")).alias("k", "w"))
+    windows = materialize(windows.select("doc", F.col("w.first").alias("start"), F.col("w.w1").alias("h1"), F.col("w.w2").alias("h2"), *window_letters()), "windows")
+    first = materialize(firsts(windows).filter("n > 1"), "firsts")
+    more = materialize(needed(windows, first), "phrases")
+    told = told.unionByName(windows.join(first.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc")).distinct()
+    told = materialize(told, "told")
+    discard(windows, first, apart)
 
     # Each shard's automaton over its documents; documents without a recurring passage stay where they are.
-    moved, rest = split_among(docs, {"id": F.col("id"), "tie": F.col("tie")}, told)
-    out = T.StructType([T.StructField("id", kind), T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("kept", T.StringType())])
+    moved, rest = split_among(docs, {"doc": F.col("doc")}, told)
+    out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def shard(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         names = pa.schema([docs.schema.field("id"), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -320,9 +377,21 @@ def remove_repeated_phrases(df: DataFrame, id_column: str = "doc_id", text: str
         for batch in freed(batches):
             yield from kept_rows(pa.Table.from_batches([batch]), None)
 
-    dealt = moved.select(shard_of, "id", "tie", "text").groupBy("shard")
-    swept = dealt.cogroup(phrases.groupBy("shard")).applyInArrow(shard, out)
-    return swept.unionByName(rest.select("id", "tie", "text").mapInArrow(alone, out)).withColumnRenamed("id", id_column)
+    dealt = moved.select(shard_of("doc"), "id", "doc", "text").groupBy("shard")
+    swept = dealt.cogroup(phrases.unionByName(more).groupBy("shard")).applyInArrow(shard, out)
+    return swept.unionByName(rest.select("id", "doc", "text").mapInArrow(alone, out)).withColumnRenamed("id", id_column)
+
+
+def window_letters() -> list[Column]:
+    """c0 to c3 of the window that begins k letters into the passage c, shifted byte by byte."""
+    def number(j: int) -> Column:
+        at, shift = (F.col("k") / 8).cast("int") + j, (F.col("k") % 8).cast("int") * 8
+        value = lambda i: F.coalesce(F.try_element_at("c", i + 1), F.lit(0).cast("long"))
+        low = F.call_function("shiftrightunsigned", value(at), shift)
+        return low.bitwiseOR(F.when(shift == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", value(at + 1), 64 - shift)))
+
+    left = SPAN - 16  # letters in the third number
+    return [number(0).alias("c0"), number(1).alias("c1"), number(2).bitwiseAND(F.lit((1 << 8 * left) - 1)).alias("c2"), F.lit(0).cast("long").alias("c3")]
 
 
 REPEATED_SQL = r"""
