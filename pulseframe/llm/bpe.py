@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.common import freed, text_or_empty
+from pulseframe.llm.common import freed, fresh, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 NO_PAIR = 1 << 62
@@ -353,7 +353,8 @@ def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", path: str =
 def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """Add the column out: the text that the ids stand for; invalid UTF-8 becomes U+FFFD.
 
-    A null or empty array gives an empty text.
+    A null or empty array gives an empty text, repeated rows are decoded alike. An existing column
+    of the name out is replaced, all others pass through. An empty df gives no rows.
     """
 
     @F.arrow_udf(T.StringType())
@@ -394,4 +395,5 @@ def bpe_round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded:
 
     coded = both(text_or_empty(text))
     others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (ids.lower(), decoded.lower())]
-    return df.select(*others, coded.alias("__coded")).select(*others, F.col("__coded.ids").alias(ids), F.col("__coded.decoded").alias(decoded))
+    both_of = fresh("_coded", df)
+    return df.select(*others, coded.alias(both_of)).select(*others, F.col(f"{both_of}.ids").alias(ids), F.col(f"{both_of}.decoded").alias(decoded))
