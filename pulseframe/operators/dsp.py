@@ -134,9 +134,10 @@ def rows_of(keys: list, index: np.ndarray, signals: np.ndarray, schema: pa.Schem
     return pa.RecordBatch.from_arrays([*columns, pa.array(index, pa.int64()), *(pa.array(np.ascontiguousarray(c), pa.float64()) for c in signals.T)], schema.names)
 
 
-def forward_pass(b: np.ndarray, a: np.ndarray):
+def forward_pass(b: np.ndarray, a: np.ndarray, short: str = "error"):
     """Filters rows in order of time and adds those of the odd extension at the end. A task keeps the
-    filter's state and the samples that the extensions need, whatever the length of a recording."""
+    filter's state and the samples that the extensions need, whatever the length of a recording.
+    A recording no longer than the extension is an error, or comes out undefined (short="nan")."""
     pad = padding(b, a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,11 @@ def forward_pass(b: np.ndarray, a: np.ndarray):
         def end() -> Iterator[pa.RecordBatch]:
             if keys is not None:
                 if state is None:
-                    raise ValueError(f"a recording needs more than {pad} samples")
+                    if short == "error":
+                        raise ValueError(f"a recording needs more than {pad} samples")
+                    n = len(held) + pad
+                    yield rows_of(keys, np.arange(n), np.full((n, held.shape[1]), np.nan), names)
+                    return
                 yield rows_of(keys, np.arange(done, done + pad), filt(2 * held[-1] - held[-2:-pad - 2:-1], state)[0], names)
 
         for begins, _, x, schema in recordings(batches):
@@ -252,26 +257,29 @@ def resample_recordings(df: DataFrame, rate: float, target: float, channels=("ch
     return signals.join(labels, [*KEYS, "sample_idx"]).select(*keep)
 
 
-def filter_recordings(df: DataFrame, rate: float, band: tuple[float, float] | None = (20.0, 450.0), mains: float | None = 50.0, channels=("ch0", "ch1")) -> DataFrame:
+def filter_recordings(df: DataFrame, rate: float, band: tuple[float, float] | None = (20.0, 450.0), mains: float | None = 50.0, channels=("ch0", "ch1"), short: str = "error") -> DataFrame:
     """Band-pass, then notch, each channel of each recording forward and backward; either may be None.
 
     A filter is a pass in order of time and one in reverse, so a recording of any length
-    takes bounded memory in its task.
+    takes bounded memory in its task. One that is no longer than a filter's extension stops
+    the job with a ValueError (short="error") or keeps its rows with NaN for signals (short="nan").
     """
+    if short not in ("error", "nan"):
+        raise ValueError(short)
     stages = [butterworth_bandpass(*band, rate)] if band else []
     stages += [notch(mains, rate)] if mains else []
     if not stages:
         return df
     signals = signal_rows(df, channels)
     for b, a in stages:
-        signals = in_order(in_order(signals, forward_pass(b, a)), backward_pass(b, a), backward=True)
+        signals = in_order(in_order(signals, forward_pass(b, a, short)), backward_pass(b, a), backward=True)
     rest = df.drop(*channels).withColumn("sample_idx", F.col("sample_idx").cast("long"))
     return rest.join(signals, [*KEYS, "sample_idx"]).select(*df.columns)
 
 
-def preprocess(df: DataFrame, config: PreprocessConfig, rate: float, channels=("ch0", "ch1")) -> DataFrame:
-    """Resample to the configured rate, then band-pass, then notch."""
-    return filter_recordings(resample_recordings(df, rate, config.target_sample_rate, channels), config.target_sample_rate, config.bandpass_hz, config.notch_hz, channels)
+def preprocess(df: DataFrame, config: PreprocessConfig, rate: float, channels=("ch0", "ch1"), short: str = "error") -> DataFrame:
+    """Resample to the configured rate, then band-pass, then notch; short recordings as in filter_recordings."""
+    return filter_recordings(resample_recordings(df, rate, config.target_sample_rate, channels), config.target_sample_rate, config.bandpass_hz, config.notch_hz, channels, short)
 
 
 def mains_shares(x: np.ndarray, rate: float, mains: float = 50.0, width: float = 5.0) -> np.ndarray:

@@ -68,8 +68,8 @@ def channel_failures(df: DataFrame, lim: dict[str, Column], rate: float | None =
 
 
 def window_failures(by_channel: DataFrame) -> DataFrame:
-    """One row per window: reasons over its channels in channel order, each once."""
-    listed = F.array_sort(F.collect_list(F.struct("channel", "failures")))
+    """One row per window: reasons over its channels in order of their positions, each once."""
+    listed = F.array_sort(F.collect_list(F.struct("position", "failures")))
     grouped = by_channel.groupBy(*KEYS, "seq", "label").agg(listed.alias("l"))
     return grouped.select(*KEYS, "seq", "label", F.array_distinct(F.flatten(F.col("l.failures"))).alias("failures")).withColumn("valid", F.size("failures") == 0)
 
@@ -106,14 +106,24 @@ def thresholds(profile: DataFrame, margin: float = 3.0, low: float = 0.1) -> Dat
 
 
 def corruption_settings(profile: DataFrame, severity: float = 3.0) -> DataFrame:
-    """One row: the rail, the typical amplitude and the strengths of the injected faults."""
+    """One row: the rail, the typical amplitude and the strengths of the injected faults; nulls for an empty profile."""
     q = exact_quantiles(profile, {"peak": (F.col("absmax"), 0.999), "typical": (F.col("rms"), 0.5)})
+    if q["peak"] is None or q["typical"] is None:
+        return one_row(profile, dict.fromkeys(("rail", "typical", "gain", "offset")))
     rail = q["peak"] * severity
     return one_row(profile, {"rail": rail, "typical": q["typical"], "gain": 10.0 if q["typical"] == 0 else severity * rail / q["typical"], "offset": q["typical"] * severity})
 
 
-#: How each threshold follows from the profile, for the record.
-DERIVATION = {"min_rms": "p0.1 of window RMS x 0.1", "flatline_std": "p0.1 of window RMS x 0.1", "max_rms": "p99.9 of window RMS x {margin}", "max_offset": "p99.9 of |window mean| x {margin}", "saturation_limit": "p99.9 of window max|x| x {margin}"}
+#: Threshold -> quantile and quantity that it follows from, and whether the low factor or the margin multiplies it.
+FOLLOWS = {"min_rms": (0.001, "window RMS", "low"), "flatline_std": (0.001, "window RMS", "low"), "max_rms": (0.999, "window RMS", "margin"), "max_offset": (0.999, "abs of window mean", "margin"), "saturation_limit": (0.999, "window peak", "margin")}
+
+
+def derivation(name: str, margin: float = 3.0, low: float = 0.1) -> str:
+    """How a threshold follows from the profile, for the record."""
+    q, of, factor = FOLLOWS[name]
+    return f"{low if factor == 'low' else margin:g} times the {q:g} quantile of {of}"
+
+
 PROFILED = (0.1, 1.0, 50.0, 99.0, 99.9)
 
 
@@ -122,6 +132,6 @@ def calibrate(profile: DataFrame, margin: float = 3.0) -> DataFrame:
     amplitudes = {"rms": F.col("rms"), "abs_mean": F.abs("mean"), "abs_max": F.col("absmax")}
     q = exact_quantiles(profile, {f"{a}_p{p:g}".replace(".", "_"): (c, p / 100) for a, c in amplitudes.items() for p in PROFILED})
     rows = [("profile", "n", float(profile.count()), None)] + [("profile", k, v, None) for k, v in q.items()]
-    rows += [("thresholds", k, v, DERIVATION[k].format(margin=margin)) for k, v in thresholds(profile, margin).first().asDict().items()]
+    rows += [("thresholds", k, v, derivation(k, margin)) for k, v in thresholds(profile, margin).first().asDict().items()]
     rows += [("faults", k, v, None) for k, v in corruption_settings(profile).first().asDict().items()]
     return profile.sparkSession.createDataFrame(rows, "section string, name string, value double, derivation string")

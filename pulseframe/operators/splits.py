@@ -69,6 +69,14 @@ def cross_session(df: DataFrame, first: int = 1) -> DataFrame:
     return side(train, "train").unionByName(side(test, "test"))
 
 
+def cross_session_sides(df: DataFrame, first: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The sides of cross_session without repeats: all splits of a subject train on the same rows, which come once;
+    test rows carry the name of their split. Models are then fitted a subject, not a split."""
+    ranked = df.withColumn("_rank", F.dense_rank().over(Window.partitionBy("subject_id").orderBy("session_id")))
+    name = F.concat_ws("/", F.lit("cross-session"), *KEYS)
+    return ranked.filter(F.col("_rank") <= first).drop("_rank"), ranked.filter(F.col("_rank") > first).drop("_rank").withColumn("split", name)
+
+
 def cross_subject(df: DataFrame) -> DataFrame:
     """Leave one subject out: windows times subjects rows, so there may be MOST_SUBJECTS subjects at most."""
     held = df.select(F.col("subject_id").alias("_out")).distinct()

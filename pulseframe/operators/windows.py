@@ -93,10 +93,10 @@ def binary_labels(df: DataFrame) -> DataFrame:
 
 
 def long_by_channel(windows: DataFrame, channels=CHANNELS, names=("x", "rms", "mav", "std", "mean", "absmax")) -> DataFrame:
-    """One row per window and channel."""
-    part = lambda c: F.struct(F.lit(c).alias("channel"), *(F.col(f"{n}_{c}").alias(n) for n in names))
+    """One row per window and channel, with the channel's position among them."""
+    part = lambda k, c: F.struct(F.lit(c).alias("channel"), F.lit(k).alias("position"), *(F.col(f"{n}_{c}").alias(n) for n in names))
     keep = [*KEYS, "seq", "label", "repetition", "pure"]
-    return windows.select(*keep, F.explode(F.array(*map(part, channels))).alias("c")).select(*keep, "c.*")
+    return windows.select(*keep, F.explode(F.array(*(part(k, c) for k, c in enumerate(channels)))).alias("c")).select(*keep, "c.*")
 
 
 def resample_labels(df: DataFrame, new_length: Column, old_length: Column) -> DataFrame:

@@ -124,11 +124,11 @@ register("filter_finite", f"WITH {o.SAMPLES} SELECT subject_id, session_id, coun
 def preprocess(spark, sf_dir):
     """Resampled to half the rate, band-passed and notched; no SQL has the filters, tests hold them against whole-recording versions."""
     config = signals.PreprocessConfig(target_sample_rate=500.0, bandpass_hz=(20.0, 200.0))
-    return rounded(dsp.preprocess(sample_rows(spark, sf_dir), config, 1000.0))
+    return rounded(dsp.preprocess(sample_rows(spark, sf_dir), config, 1000.0, short="nan"))
 
 
 register("resample_poly")(lambda s, d: rounded(dsp.resample_recordings(sample_rows(s, d), 1000.0, 800.0)))
-register("filter_recording")(lambda s, d: rounded(dsp.filter_recordings(sample_rows(s, d), 1000.0)))
+register("filter_recording")(lambda s, d: rounded(dsp.filter_recordings(sample_rows(s, d), 1000.0, short="nan")))
 register(
     "resample_labels",
     f"WITH {o.SAMPLES}, sized AS (SELECT subject_id, session_id, count(*) AS n_old, ceil(count(*) / 2)::BIGINT AS n_new FROM smp GROUP BY ALL), grid AS (SELECT *, unnest(range(n_new)) AS i FROM sized)"
@@ -345,7 +345,7 @@ register(
 _CAL = " UNION ALL ".join(f"SELECT 'profile' AS section, '{a}_p{p:g}'".replace(".", "_") + f" AS name, quantile_cont({c}, {p / 100!r}) AS value, NULL AS derivation FROM chan" for a, c in (("rms", "rms"), ("abs_mean", "abs(mean)"), ("abs_max", "absmax")) for p in qc.PROFILED)
 _CAL += " UNION ALL SELECT 'profile', 'n', count(*), NULL FROM chan"
 _CAL += "".join(
-    f" UNION ALL SELECT 'thresholds', '{k}', quantile_cont({c}, {q}) * {m}, '{qc.DERIVATION[k].format(margin=3.0)}' FROM chan"
+    f" UNION ALL SELECT 'thresholds', '{k}', quantile_cont({c}, {q}) * {m}, '{qc.derivation(k)}' FROM chan"
     for k, c, q, m in (("min_rms", "rms", 0.001, 0.1), ("flatline_std", "rms", 0.001, 0.1), ("max_rms", "rms", 0.999, 3), ("max_offset", "abs(mean)", 0.999, 3), ("saturation_limit", "absmax", 0.999, 3))
 )
 _CAL += " UNION ALL SELECT 'faults', unnest(['rail', 'typical', 'gain', 'offset']), unnest([rail, typical, CASE WHEN typical = 0 THEN 10 ELSE 3 * rail / typical END, typical * 3]), NULL FROM (SELECT quantile_cont(absmax, 0.999) * 3 AS rail, quantile_cont(rms, 0.5) AS typical FROM chan)"
@@ -436,19 +436,11 @@ register("met_policy_pick", f"WITH {o.PREDICTIONS}, {_SWEEP} SELECT coalesce(min
 XY = ["rms_ch0", "wl_ch0"]
 
 
-def split_rows(spark, sf_dir):
-    """Windows in the roles of the cross-session splits, with the features and the binary label that the models see."""
-    w = win.binary_labels(windows(spark, sf_dir).filter("pure"))
-    roles = splits.cross_session(w.select(*ID, "label", "repetition")).select("split", "role", *ID)
-    return roles.join(w.select(*ID, "label", *XY), ID)
-
-
-def by_split(spark, sf_dir):
-    """A discriminant fitted on each split's training rows and all metrics of its test rows, in one aggregation each."""
-    rows = split_rows(spark, sf_dir)
-    fitted = models.discriminants(rows.filter("role = 'train'"), XY, "split")
-    scored = models.predict_by(rows.filter("role = 'test'").withColumn("y_true", F.col("label")), fitted, XY, "split")
-    return metrics.evaluate(scored, "split", "n_train")
+def by_split(spark, sf_dir, fit=models.discriminants):
+    """A model of each subject's first session, and all metrics of each later session, in one aggregation each."""
+    w = win.binary_labels(windows(spark, sf_dir).filter("pure")).select(*ID, "label", *XY)
+    train, test = splits.cross_session_sides(w)
+    return models.evaluate_splits(train, test, XY, fit, "subject_id")
 
 
 _ROWS = "rws AS (SELECT split, role, c.subject_id, c.session_id, c.seq, (c.label <> 0)::INT AS y, rms_ch0 AS a, wl_ch0 AS b FROM cross_s c JOIN win USING (subject_id, session_id, seq))"
@@ -510,9 +502,8 @@ register("ml_argmax", f"WITH e AS ({_E}) SELECT vec_id, (list_position(x[1:8], l
 
 @register("ml_logreg")
 def ml_logreg(spark, sf_dir):
-    """Metrics a split of penalised logistic regressions; no SQL maximises a likelihood, a test holds the fit against Newton's method."""
-    rows = split_rows(spark, sf_dir).filter("split LIKE 'cross-session/s00/%'")
-    return rounded(models.evaluate_splits(rows, XY, models.logistic))
+    """Metrics of all splits of penalised logistic regressions; no SQL maximises a likelihood, a test holds the fits against plain Newton."""
+    return rounded(by_split(spark, sf_dir, models.logistic_by))
 
 
 def subject_results(spark, sf_dir):

@@ -74,8 +74,13 @@ def lda(name: str, rows: str) -> str:
     """CTEs that fit a discriminant of the columns a and b a split on the training rows of rows
     (split, role, keys, y, a, b), and as name the test rows with y_true, y_pred and confidence."""
     return f"""{name}_m AS (SELECT split, y, count(*) AS n, avg(a) AS ma, avg(b) AS mb, coalesce(var_samp(a), 0) AS va, coalesce(var_samp(b), 0) AS vb, coalesce(covar_samp(a, b), 0) AS c FROM {rows} WHERE role = 'train' GROUP BY split, y),
-{name}_p AS (SELECT split, sum(n)::DOUBLE AS total, sum((n - 1) * va) / (sum(n) - count(*)) AS p11, sum((n - 1) * c) / (sum(n) - count(*)) AS p12, sum((n - 1) * vb) / (sum(n) - count(*)) AS p22 FROM {name}_m GROUP BY split),
-{name}_w AS (SELECT m.split, y, n, total, ma, mb, (ma * p22 - mb * p12) / (p11 * p22 - p12 * p12) AS w1, (mb * p11 - ma * p12) / (p11 * p22 - p12 * p12) AS w2 FROM {name}_m m JOIN {name}_p p ON m.split = p.split WHERE p11 * p22 - p12 * p12 BETWEEN 1e-12 AND 1e300),
+{name}_p AS (SELECT split, sum(n)::DOUBLE AS total, sum((n - 1) * va) / greatest(1, sum(n) - count(*)) AS p11, sum((n - 1) * c) / greatest(1, sum(n) - count(*)) AS p12, sum((n - 1) * vb) / greatest(1, sum(n) - count(*)) AS p22 FROM {name}_m GROUP BY split),
+{name}_i AS (SELECT *, sqrt(p11) AS sa, sqrt(p22) AS sb, coalesce(p12 / nullif(sqrt(p11) * sqrt(p22), 0), 0) AS rho FROM {name}_p),
+{name}_v AS (SELECT split, total,
+    CASE WHEN sa > 0 AND sb > 0 THEN CASE WHEN 1 - abs(rho) > 1e-10 * (1 + abs(rho)) THEN 1 / ((1 - rho * rho) * p11) ELSE 1 / (4 * p11) END WHEN sa > 0 THEN 1 / p11 ELSE 0 END AS i11,
+    CASE WHEN sa > 0 AND sb > 0 THEN CASE WHEN 1 - abs(rho) > 1e-10 * (1 + abs(rho)) THEN -rho / ((1 - rho * rho) * sa * sb) ELSE sign(rho) / (4 * sa * sb) END ELSE 0 END AS i12,
+    CASE WHEN sa > 0 AND sb > 0 THEN CASE WHEN 1 - abs(rho) > 1e-10 * (1 + abs(rho)) THEN 1 / ((1 - rho * rho) * p22) ELSE 1 / (4 * p22) END WHEN sb > 0 THEN 1 / p22 ELSE 0 END AS i22 FROM {name}_i),
+{name}_w AS (SELECT m.split, y, n, total, ma, mb, ma * i11 + mb * i12 AS w1, ma * i12 + mb * i22 AS w2 FROM {name}_m m JOIN {name}_v v ON m.split = v.split),
 {name}_s AS (SELECT t.split, subject_id, session_id, seq, t.y AS y_true, w.y AS cls, ln(n / total) - 0.5 * (w1 * ma + w2 * mb) + w1 * a + w2 * b AS s FROM {rows} t JOIN {name}_w w ON t.split = w.split WHERE role = 'test'),
 {name}_t AS (SELECT *, max(s) OVER (PARTITION BY split, subject_id, session_id, seq) AS top FROM {name}_s),
 {name} AS (SELECT split, subject_id, session_id, seq, y_true, min(cls) FILTER (s = top) AS y_pred, 1 / sum(exp(s - top)) AS confidence FROM {name}_t GROUP BY split, subject_id, session_id, seq, y_true)"""
