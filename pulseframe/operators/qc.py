@@ -48,13 +48,29 @@ def reasons(limits: dict[str, Column], x="x", std="std", mean="mean", rms="rms",
     return out
 
 
-def of_channels(by_channel: DataFrame, channels: list[str], wanted: list[int] | None) -> DataFrame:
-    """The rows of the wanted channels, given by their places among the channels (None: of all); a place that there isn't is an error."""
+def places(channels: list[str], wanted: list[int] | tuple[int, ...] | None) -> list[str]:
+    """The wanted channels, given by their places (None: all); a place that there isn't is an error."""
     if wanted is None:
-        return by_channel
+        return channels
     if bad := [k for k in wanted if not 0 <= k < len(channels)]:
         raise IndexError(f"no such channels: {bad}")
-    return by_channel.filter(F.col("channel").isin([channels[k] for k in wanted]))
+    return [channels[k] for k in wanted]
+
+
+def of_channels(by_channel: DataFrame, channels: list[str], wanted: list[int] | None) -> DataFrame:
+    """The rows of the wanted channels, given by their places among the channels."""
+    return by_channel if wanted is None else by_channel.filter(F.col("channel").isin(places(channels, wanted)))
+
+
+def named_failures(found: dict[str, Column]) -> Column:
+    """The names of the conditions that hold; a run of zeros counts as dropout."""
+    return F.array_compact(F.array(*(F.when(c, F.lit("dropout" if k == "dropout_run" else k)) for k, c in found.items())))
+
+
+def judge(windows: DataFrame, channels: list[str], lim: dict[str, Column], rate: float | None = None, mains: float = 50.0) -> DataFrame:
+    """Add failures (distinct reasons over the channels, in their order) and valid to windows with x_, std_, mean_ and rms_<channel>; no row moves."""
+    each = [named_failures(reasons(lim, f"x_{c}", f"std_{c}", f"mean_{c}", f"rms_{c}", rate, mains)) for c in channels]
+    return windows.withColumn("failures", F.array_distinct(F.concat(F.array().cast("array<string>"), *each))).withColumn("valid", F.size("failures") == 0)
 
 
 def limits(**given) -> dict[str, Column]:
@@ -63,8 +79,7 @@ def limits(**given) -> dict[str, Column]:
 
 def channel_failures(df: DataFrame, lim: dict[str, Column], rate: float | None = None) -> DataFrame:
     """Add failures: distinct reasons of a window's channel, in the order of the checks; a run of zeros counts as dropout."""
-    named = [F.when(c, F.lit("dropout" if k == "dropout_run" else k)) for k, c in reasons(lim, rate=rate).items()]
-    return df.withColumn("failures", F.array_distinct(F.array_compact(F.array(*named))))
+    return df.withColumn("failures", F.array_distinct(named_failures(reasons(lim, rate=rate))))
 
 
 def window_failures(by_channel: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ has protocol, split, the window's keys and role; windows in neither role are the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulseframe.sources.signals import KEYS
@@ -86,10 +86,41 @@ def cross_subject(df: DataFrame) -> DataFrame:
     return _assigned(pairs, "cross-subject", F.concat_ws("/", F.lit("cross-subject"), "_out"), F.when(F.col("subject_id") == F.col("_out"), "test").otherwise("train"))
 
 
+#: Rows that may come to the driver to settle where a seeded order is cut.
+FETCHED = 10_000
+
+
+def seeded_order(seed: int | None) -> Column:
+    """A text by which windows are in seeded order: a digest of seed and keys, the same under any partitioning."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ID)))
+
+
+def smallest(df: DataFrame, order: Column, n: int, digits: int = 4) -> str | None:
+    """The n-th smallest value of order, hexadecimal text, among the rows of df (None: n is 0), without sorting them.
+
+    Rows are counted by leading digits, then by further ones inside the group of the cut, until few
+    rows are left in it; these alone are fetched. Groups are at most 16 ** digits.
+    """
+    if n <= 0:
+        return None
+    values, prefix = df.select(order.alias("v")), ""
+    while True:
+        inside = values.filter(F.col("v").startswith(prefix)) if prefix else values
+        groups = sorted(tuple(r) for r in inside.groupBy(F.substring("v", 1, len(prefix) + digits).alias("g")).count().collect())
+        for group, count in groups:
+            if n <= count:
+                break
+            n -= count
+        if count <= FETCHED or len(group) == len(prefix):
+            return sorted(r.v for r in values.filter(F.col("v").startswith(group)).limit(FETCHED).collect())[min(n, FETCHED) - 1]
+        prefix = group
+
+
 def random_shuffle(df: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
-    """A seeded share of the windows tests, by hash: neighbours leak into the other side, as is the point."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ID))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    return _assigned(df, "random-shuffle", F.lit("random-shuffle"), F.when(u < share, "test").otherwise("train"))
+    """Exactly trunc(n * (1 - share)) windows, the first in seeded order, train; the others test. Neighbours leak into the other side, as is the point."""
+    order = seeded_order(seed)
+    cut = smallest(df, order, int(df.count() * (1.0 - share)))
+    return _assigned(df, "random-shuffle", F.lit("random-shuffle"), F.when(order <= F.lit(cut), "train").otherwise("test"))
 
 
 def calibrate_class(assigned: DataFrame, n: int = 2) -> DataFrame:
@@ -108,7 +139,7 @@ def calibrate_repetitions(assigned: DataFrame, n: int = 1) -> DataFrame:
 
 def three_way(df: DataFrame, fit: int = 2000, calibrate: int = 2000, test: int = 500, seed: int | None = None) -> DataFrame:
     """Per recording: the first windows fit, the next calibrate, the next test; with a seed in shuffled order (by hash) instead of time."""
-    u = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ID)))
+    u = seeded_order(seed)
     pos = F.row_number().over(recording().orderBy("seq" if seed is None else u)) - 1
     role = F.when(F.col("_pos") < fit, "fit").when(F.col("_pos") < fit + calibrate, "calibrate").when(F.col("_pos") < fit + calibrate + test, "test")
     name = "three-way" if seed is None else "three-way-shuffled"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import arrays
-from pulseframe.operators import decision, dsp, metrics, models, qc, splits
+from pulseframe.operators import build, decision, dsp, metrics, models, qc, splits
 from pulseframe.operators import windows as win
 from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.plans import oracles as o
@@ -109,7 +111,36 @@ register(
     f"WITH {o.WINDOWS} SELECT subject_id, session_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, session_id ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY subject_id, session_id) AS n FROM win)"
     " WHERE n <= 5 OR list_contains(list_transform(range(5), lambda k: trunc(k * (n - 1)::DOUBLE / 4)::BIGINT), pos)",
 )(lambda s, d: splits.capped(windows(s, d), 5, *KEYS).select(*ID))
-_TUMBLING = o.WINDOWS.replace("(sample_idx - 7) % 2 = 0", "(sample_idx - 7) % 8 = 0").replace("(sample_idx - 7) // 2", "(sample_idx - 7) // 8")
+
+
+def builds(spark, sf_dir, make):
+    """What make gives of several configurations, from samples that need no filter."""
+    out = []
+    for width, stride, inspected in o.BUILDS:
+        config = signals.PreprocessConfig(bandpass_hz=None, notch_hz=None, window_ms=width, stride_ms=stride, qc_kwargs=o.LIMITS, qc_channels=tuple(win.CHANNELS.index(c) for c in inspected))
+        out.append(make(sample_rows(spark, sf_dir), config).withColumn("size", F.lit(f"{width}/{stride}")))
+    return reduce(DataFrame.unionByName, out)
+
+
+_BUILT_COLUMNS = ", ".join(f"{f}_{c}" for f in ("rms", "wl", "ssc", "zcr", "std") for c in win.CHANNELS)
+register("build_windows", f"WITH {o.BUILT} SELECT size, subject_id, session_id, seq, start_idx, label, repetition, list_sum(x_ch0) * 0 AS zero, {r(_BUILT_COLUMNS)} FROM built WHERE len(failures) = 0")(
+    lambda s, d: rounded(builds(s, d, lambda smp, config: build.build_windows(smp, config, 1000.0)).select("size", *ID, "start_idx", "label", "repetition", (arrays.total(F.col("x_ch0")) * 0).alias("zero"), *_BUILT_COLUMNS.split(", ")))
+)
+register("build_judged", f"WITH {o.BUILT} SELECT size, subject_id, session_id, seq, array_to_string(failures, ',') AS failures FROM built")(
+    lambda s, d: builds(s, d, lambda smp, config: build.judged_windows(smp, config, 1000.0)).select("size", *ID, F.array_join("failures", ",").alias("failures"))
+)
+_REASONS = ", ".join(f"count(*) FILTER (list_contains(failures, '{k}')) AS {k}" for k in build.REASONS)
+register("build_account", f"WITH {o.BUILT} SELECT size, subject_id, count(*) AS total, count(*) FILTER (len(failures) = 0) AS kept, round(avg((len(failures) > 0)::INT), 6) AS rejection_rate, {_REASONS} FROM built GROUP BY size, subject_id")(
+    lambda s, d: rounded(builds(s, d, lambda smp, config: build.account(build.judged_windows(smp, config, 1000.0), "subject_id")).select("size", "subject_id", "total", "kept", "rejection_rate", *(F.coalesce(F.col("rejected_by_reason")[k], F.lit(0)).alias(k) for k in build.REASONS)))
+)
+_PICKS = "CASE WHEN n <= 7 THEN range(n) ELSE list_distinct(list_transform(range(7), lambda k: CASE WHEN k = 6 THEN n - 1 ELSE trunc(k * ((n - 1) / 6.0::DOUBLE))::BIGINT END)) END"
+register(
+    "profile_sampled",
+    f"WITH {o.WINDOWS}, c AS (SELECT subject_id, session_id, count(*) AS n FROM win GROUP BY ALL), picks AS (SELECT subject_id, session_id, unnest({_PICKS}) AS seq FROM c), p AS (SELECT win.* FROM win JOIN picks USING (subject_id, session_id, seq))"
+    f" SELECT subject_id, session_id, seq, 'ch0' AS channel, {r('rms_ch0, mean_ch0, absmax_ch0').replace('AS rms_ch0', 'AS rms').replace('AS mean_ch0', 'AS mean').replace('AS absmax_ch0', 'AS absmax')} FROM p"
+    f" UNION ALL SELECT subject_id, session_id, seq, 'ch1', {r('rms_ch1, mean_ch1, absmax_ch1')} FROM p",
+)(lambda s, d: rounded(build.sampled_profile(sample_rows(s, d), win.WIDTH, win.STRIDE, most=7)))
+_TUMBLING = f"{o.SAMPLES}, {o.LAGGED}, {o.sliding('win', 8, 8)}"
 register("win_tumbling", f"WITH {_TUMBLING} SELECT subject_id, session_id, seq, start_idx, {r('rms_ch0, wl_ch1')} FROM win")(lambda s, d: rounded(win.sliding(sample_rows(s, d), stride=win.WIDTH).select(*ID, "start_idx", "rms_ch0", "wl_ch1")))
 register("filter_finite", f"WITH {o.SAMPLES} SELECT subject_id, session_id, count(*) AS n, count(*) FILTER (ch1 > 0) AS finite, round(avg(ln(ch1)) FILTER (ch1 > 0), 6) AS mean_log FROM smp GROUP BY ALL")(
     lambda s, d: rounded(
@@ -379,9 +410,10 @@ register("split_cross_session", f"WITH {o.CROSS} SELECT {_S} FROM cross_s")(lamb
 register("split_cross_subject", f"WITH {o.PURE} SELECT 'cross-subject' AS protocol, 'cross-subject/' || t AS split, subject_id, session_id, seq, label, repetition, CASE WHEN subject_id = t THEN 'test' ELSE 'train' END AS role FROM pw, (SELECT DISTINCT subject_id AS t FROM pw)")(
     lambda s, d: splits.cross_subject(pure(s, d))
 )
+_SEEDED = "row_number() OVER (ORDER BY md5('0|' || subject_id || '|' || session_id || '|' || seq))"
 register(
     "split_random",
-    f"WITH {o.PURE} SELECT 'random-shuffle' AS protocol, 'random-shuffle' AS split, subject_id, session_id, seq, label, repetition, CASE WHEN ('0x' || substr(md5('0|' || subject_id || '|' || session_id || '|' || seq), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.3::DOUBLE THEN 'test' ELSE 'train' END AS role FROM pw",
+    f"WITH {o.PURE} SELECT 'random-shuffle' AS protocol, 'random-shuffle' AS split, subject_id, session_id, seq, label, repetition, CASE WHEN {_SEEDED} <= trunc((SELECT count(*) FROM pw) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS role FROM pw",
 )(lambda s, d: splits.random_shuffle(pure(s, d)))
 register(
     "split_cal_class",

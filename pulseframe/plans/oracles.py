@@ -8,24 +8,28 @@ SAMPLES = """smp AS (
     FROM (SELECT *, date_diff('day', DATE '2024-01-01', ts::DATE) AS d, json_extract_string(props, '$.k')::DOUBLE AS k FROM events))"""
 
 
-def _channel(c: str) -> str:
+def _channel(c: str, width: int) -> str:
     return f"""list({c}) OVER w AS x_{c}, sqrt(avg({c} * {c}) OVER w) AS rms_{c}, avg(abs({c})) OVER w AS mav_{c},
-        coalesce(sum(CASE WHEN (({c} < 0) <> (p_{c} < 0)) AND abs({c} - p_{c}) > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER w1, 0) / 7 AS zcr_{c},
+        coalesce(sum(CASE WHEN (({c} < 0) <> (p_{c} < 0)) AND abs({c} - p_{c}) > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER w1, 0) / {width - 1} AS zcr_{c},
         coalesce(sum(abs({c} - p_{c})) OVER w1, 0) AS wl_{c},
-        coalesce(sum(CASE WHEN (p_{c} - q_{c}) * ({c} - p_{c}) < 0 THEN 1.0::DOUBLE ELSE 0 END) OVER w2, 0) / 6 AS ssc_{c},
+        coalesce(sum(CASE WHEN (p_{c} - q_{c}) * ({c} - p_{c}) < 0 THEN 1.0::DOUBLE ELSE 0 END) OVER w2, 0) / {width - 2} AS ssc_{c},
         stddev_pop({c}) OVER w AS std_{c}, avg({c}) OVER w AS mean_{c}, max(abs({c})) OVER w AS absmax_{c}"""
 
 
-WINDOWS = f"""{SAMPLES},
-lagged AS (SELECT *, lag(ch0, 1) OVER b AS p_ch0, lag(ch0, 2) OVER b AS q_ch0, lag(ch1, 1) OVER b AS p_ch1, lag(ch1, 2) OVER b AS q_ch1
-           FROM smp WINDOW b AS (PARTITION BY subject_id, session_id ORDER BY sample_idx)),
-win AS (SELECT *, (sample_idx - 7) // 2 AS seq, sample_idx - 7 AS start_idx FROM (
-    SELECT subject_id, session_id, sample_idx, label, repetition, min(label) OVER w = max(label) OVER w AS pure, {_channel("ch0")}, {_channel("ch1")}
-    FROM lagged
-    WINDOW w AS (PARTITION BY subject_id, session_id ORDER BY sample_idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW),
-           w1 AS (PARTITION BY subject_id, session_id ORDER BY sample_idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
-           w2 AS (PARTITION BY subject_id, session_id ORDER BY sample_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
-    WHERE sample_idx >= 7 AND (sample_idx - 7) % 2 = 0)"""
+LAGGED = """lagged AS (SELECT *, lag(ch0, 1) OVER b AS p_ch0, lag(ch0, 2) OVER b AS q_ch0, lag(ch1, 1) OVER b AS p_ch1, lag(ch1, 2) OVER b AS q_ch1
+           FROM smp WINDOW b AS (PARTITION BY subject_id, session_id ORDER BY sample_idx))"""
+
+
+def sliding(name: str, width: int, stride: int) -> str:
+    """A CTE of the windows of one size, over lagged."""
+    frame = "(PARTITION BY subject_id, session_id ORDER BY sample_idx ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    return f"""{name} AS (SELECT *, (sample_idx - {width - 1}) // {stride} AS seq, sample_idx - {width - 1} AS start_idx FROM (
+    SELECT subject_id, session_id, sample_idx, label, repetition, min(label) OVER w = max(label) OVER w AS pure, {_channel("ch0", width)}, {_channel("ch1", width)}
+    FROM lagged WINDOW w AS {frame.format(width - 1)}, w1 AS {frame.format(width - 2)}, w2 AS {frame.format(width - 3)})
+    WHERE sample_idx >= {width - 1} AND (sample_idx - {width - 1}) % {stride} = 0)"""
+
+
+WINDOWS = f"{SAMPLES}, {LAGGED}, {sliding('win', 8, 2)}"
 
 _RUN = "list_reduce(list_prepend({{'run': 0, 'best': 0}}, list_transform({x}, lambda v: {{'run': CASE WHEN {t} THEN 1 ELSE 0 END, 'best': 0}})), lambda s, v: {{'run': CASE WHEN v.run = 1 THEN s.run + 1 ELSE 0 END, 'best': greatest(s.best, CASE WHEN v.run = 1 THEN s.run + 1 ELSE 0 END)}}).best"
 
@@ -53,6 +57,34 @@ failed AS (SELECT *, list_filter([CASE WHEN dropout OR dropout_run THEN 'dropout
 gated AS (SELECT subject_id, session_id, seq, label, max(failures) FILTER (channel = 'ch0') AS f0, max(failures) FILTER (channel = 'ch1') AS f1 FROM failed GROUP BY ALL),
 qc AS (SELECT *, f0 || list_filter(f1, lambda v: NOT list_contains(f0, v)) AS failures, len(f0) + len(f1) = 0 AS valid FROM gated)"""
 
+#: Windows of several sizes under fixed limits that no mean of two-digit values meets exactly; the mains are not checked. (width, stride, inspected channels)
+BUILDS = ((12, 4, ("ch0", "ch1")), (20, 5, ("ch1",)), (9, 2, ("ch1", "ch0")))
+LIMITS = {"min_rms": 0.35, "max_rms": 0.75, "max_offset": 0.30037, "saturation_limit": 0.97, "flatline_std": 0.3, "clip_min_run": 2}
+
+
+def _failures(c: str) -> str:
+    at = f"abs(v) >= {LIMITS['saturation_limit']}::DOUBLE"
+    named = {
+        "dropout": f"std_{c} < {LIMITS['flatline_std']}::DOUBLE OR {run(f'x_{c}', f'abs(v) < greatest(1e-6, std_{c} * 0.01)')} >= 10",
+        "saturation": f"len(list_filter(x_{c}, lambda v: {at})) / len(x_{c})::DOUBLE > 0.05::DOUBLE",
+        "clipping": f"{run(f'x_{c}', at)} >= 2",
+        "amplitude_low": f"rms_{c} < {LIMITS['min_rms']}::DOUBLE",
+        "amplitude_high": f"rms_{c} > {LIMITS['max_rms']}::DOUBLE",
+        "baseline_offset": f"abs(mean_{c}) > {LIMITS['max_offset']}::DOUBLE",
+    }
+    return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in named.items()) + "], lambda v: v IS NOT NULL)"
+
+
+def _built(k: int, width: int, stride: int, channels: tuple) -> str:
+    first, *rest = channels
+    listed = "f_0" + "".join(f" || list_filter(f_{i}, lambda v: NOT list_contains(f_0, v))" for i in range(1, len(channels)))
+    each = ", ".join(f"{_failures(c)} AS f_{i}" for i, c in enumerate(channels))
+    return f"SELECT *, {listed} AS failures FROM (SELECT '{width}/{stride}' AS size, *, {each} FROM w{k} WHERE pure)"
+
+
+BUILT = f"{SAMPLES}, {LAGGED}, " + ", ".join(f"{sliding(f'w{k}', w, s)}" for k, (w, s, _) in enumerate(BUILDS))
+BUILT += ", built AS (" + " UNION ALL BY NAME ".join(f"({_built(k, *b)})" for k, b in enumerate(BUILDS)) + ")"
+
 PREDICTIONS = f"""{WINDOWS},
 pred AS (SELECT subject_id, session_id, seq, (label <> 0)::INT AS y_true, (rms_ch0 > 0.8)::INT AS y_pred, least(1, rms_ch0 / 1.5) AS confidence FROM win WHERE pure)"""
 
