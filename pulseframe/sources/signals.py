@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulseframe.sources.storage import Snapshots, exists, read_text
+
 KEYS = ("subject_id", "session_id")
 SAMPLES = "source string, subject_id string, session_id string, sample_idx long, label int, repetition int, ch array<double>"
 
@@ -84,13 +86,20 @@ def recording_index(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def list_recordings(spark: SparkSession, root: str, glob: str = "*.mat") -> DataFrame:
-    """Index of the binary files under root; their contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return recording_index(files.select("path"))
+    """Index of the binary files under root; their contents aren't read. A root without any, or with none whose name tells subject, day and time, is an error."""
+    if not exists(spark, root):
+        raise FileNotFoundError(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path")
+    if files.isEmpty():
+        raise FileNotFoundError(f"no {glob} under {root}")
+    found = recording_index(files)
+    if found.isEmpty():
+        raise ValueError(f"no name under {root} tells subject, day and time, such as {[r.path for r in files.limit(5).collect()]}")
+    return found
 
 
-def synthetic_samples(spark: SparkSession, subjects: int = 3, sessions: int = 4, channels: int = 2, rate: float = 1000.0, block_s: float = 1.0, blocks: int = 6, drift: float = 0.25, seed: int = 0) -> DataFrame:
-    """Recordings that alternate rest and activity and drift from session to session; each is drawn where it is needed."""
+def synthetic_samples(spark: SparkSession, subjects: int = 3, sessions: int = 4, channels: int = 2, rate: float = 1000.0, block_s: float = 1.0, pairs: int = 6, drift: float = 0.25, seed: int = 0) -> DataFrame:
+    """Recordings of pairs of rest and activity, drifting from session to session; each is drawn where it is needed. Subjects and sessions count from 1."""
 
     def draw(keys: pd.DataFrame) -> pd.DataFrame:
         s, k = int(keys["s"].iloc[0]), int(keys["k"].iloc[0])
@@ -98,13 +107,13 @@ def synthetic_samples(spark: SparkSession, subjects: int = 3, sessions: int = 4,
         n = int(block_s * rate)
         gain = (1 + drift * k) * (1 + 0.1 * s)
         parts, labels, reps = [], [], []
-        for b in range(blocks):
+        for b in range(2 * pairs):
             active = b % 2
             parts.append(rng.normal(0, 1, (n, channels)) * (0.06 if active else 0.01) * gain + 0.002 * k)
             labels += [active] * n
             reps += [(b // 2 + 1) if active else 0] * n
         x = np.concatenate(parts)
-        return pd.DataFrame({"source": "synthetic", "subject_id": f"s{s:02d}", "session_id": f"d{k:02d}", "sample_idx": np.arange(len(x)), "label": labels, "repetition": reps, "ch": list(x)})
+        return pd.DataFrame({"source": "synthetic", "subject_id": f"s{s + 1:02d}", "session_id": f"d{k + 1:02d}", "sample_idx": np.arange(len(x)), "label": labels, "repetition": reps, "ch": list(x)})
 
     grid = spark.range(subjects * sessions).select((F.col("id") / sessions).cast("int").alias("s"), (F.col("id") % sessions).cast("int").alias("k"))
     return grid.groupBy("s", "k").applyInPandas(draw, SAMPLES)
@@ -117,10 +126,12 @@ def load(samples: DataFrame, subjects: list[str] | None = None, sessions: list[s
     return samples
 
 
-def read_config(path: str) -> dict:
-    """Quality limits from a JSON file of this machine."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def read_config(spark: SparkSession, path: str) -> dict:
+    """Quality limits from a JSON file, wherever Spark reads; FileNotFoundError where there is none."""
+    text = read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
 
 
 def synthetic_frames(spark: SparkSession, n: int = 200, size: int = 50, rate: float = 1000.0, lost: tuple[int, int] = (75, 85), seed: int = 0) -> DataFrame:
@@ -146,27 +157,21 @@ def frames(df: DataFrame, column: str = "x", rate: float = 1000.0, id_column: st
 
 
 def save_windows(df: DataFrame, path: str, config: PreprocessConfig, **manifest) -> None:
-    """Windows as Parquet by subject and session, with a manifest beside them."""
-    df.write.mode("overwrite").partitionBy(*KEYS).parquet(path)
-    line = json.dumps({"config": asdict(config), "fingerprint": config.fingerprint(), **manifest}, sort_keys=True)
-    df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
+    """Windows as Parquet by subject and session under the configuration's fingerprint; the manifest that names them is put last, in one step."""
+    Snapshots(df.sparkSession, path).write(df, config.fingerprint(), {**manifest, "config": asdict(config), "fingerprint": config.fingerprint()}, KEYS)
 
 
-def load_windows(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(path), json.loads(spark.read.text(f"{path}.manifest").first().value)
+def load_windows(spark: SparkSession, path: str, config: PreprocessConfig) -> tuple[DataFrame, dict]:
+    """The windows that were saved under a configuration, and their manifest; FileNotFoundError without any."""
+    snapshots = Snapshots(spark, path)
+    return snapshots.read(config.fingerprint()), snapshots.manifest(config.fingerprint())
 
 
 def windows_or_build(spark: SparkSession, path: str, config: PreprocessConfig, build) -> DataFrame:
-    """The cached windows if their manifest has the config's fingerprint, else built and cached."""
-    try:
-        found, manifest = load_windows(spark, path)
-        if manifest["fingerprint"] == config.fingerprint():
-            return found
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    save_windows(build(), path, config)
-    return load_windows(spark, path)[0]
+    """The cached windows of the configuration, else built and cached."""
+    if Snapshots(spark, path).manifest(config.fingerprint()) is None:
+        save_windows(build(), path, config)
+    return load_windows(spark, path, config)[0]
 
 
 def write_csv(df: DataFrame, path: str, sort_columns: bool = True) -> None:

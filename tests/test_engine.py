@@ -107,7 +107,7 @@ def test_filters():
 
 def test_recordings_are_filtered_one_by_one(spark):
     df = signals.synthetic_samples(spark, subjects=1, sessions=2, rate=500.0).select("subject_id", "session_id", "sample_idx", "label", "repetition", F.col("ch")[0].alias("ch0"), F.col("ch")[1].alias("ch1"))
-    assert dsp.filter_recordings(df, 500.0, band=(20.0, 200.0)).count() == df.count() == 6000
+    assert dsp.filter_recordings(df, 500.0, band=(20.0, 200.0)).count() == df.count() == 12000
 
 
 def test_models(spark):
