@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.common import freed, fresh, text_or_empty
+from pulseframe.llm.common import freed, fresh, give_back, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 NO_PAIR = 1 << 62
@@ -41,6 +41,10 @@ class TwoGenerations(dict):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
@@ -201,6 +205,11 @@ class ChunkedEncoder:
         self.spaced = TwoGenerations(lambda s: self._piece(s, " "), kept)
         self.bare = TwoGenerations(lambda s: self._piece(s, ""), kept // 3)
 
+    def forget(self) -> None:
+        """Let go of all words that are kept."""
+        for kept in (self.tails, self.spaced, self.bare):
+            kept.forget()
+
     def _word(self, word: str) -> bytes:
         return self.ready.get(word) or self.encode_words([word])[0]
 
@@ -376,6 +385,15 @@ def slices(texts: pa.Array, most: int = BLOCK) -> Iterator[list[str]]:
         begin = end
 
 
+def forgotten(batches: Iterator, bpe: SegmentTreeBPE) -> Iterator:
+    """freed, and the worker forgets its words at the end: it may stand idle beside those of other stages."""
+    try:
+        yield from freed(batches)
+    finally:
+        bpe.encoder.forget()
+        give_back()
+
+
 def bpe_round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """bpe_encode, and bpe_decode of the ids that it gave, in one step.
 
@@ -387,8 +405,8 @@ def bpe_round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded:
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for batch in freed(batches):
-            for texts in freed(slices(batch)):
+        for batch in forgotten(batches, bpe):
+            for texts in slices(batch):
                 packed = bpe.encoder.packed_all(texts)
                 back = pa.array((bpe.decode(np.frombuffer(p, np.uint32).tolist()) for p in packed), pa.string())
                 yield pa.StructArray.from_arrays([list_of_packed(packed), back], ["ids", "decoded"])

@@ -2,55 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from pulseframe.sources.storage import delete, fresh_path
+
 _scopes: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only where the setting is absent in a local session (as in tests) a temporary
-    folder of this machine serves, and goes when Python ends. On a cluster, where
-    executors would each write to their own disks, an absent setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="pulseframe-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return _own["dir"]
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it goes when the session ends, if not before."""
+    path = fresh_path(spark, name)
     for scope in _scopes:
         scope.append(path)
     return path
 
 
-def delete(spark: SparkSession, *paths: str) -> None:
-    """Delete folders, in whatever store they are."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """What is written to scratch paths in here goes at the end; results must be written elsewhere by then."""
@@ -120,12 +94,21 @@ def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def give_back() -> None:
+    """Memory that Python and Arrow hold without need goes back to the system: workers outlive their tasks and stand beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def freed(batches: Iterator) -> Iterator:
-    """The batches of a task; what Arrow holds of earlier ones without need goes back to the system ahead of each, and at the end."""
+    """The batches of a task; what Arrow holds of earlier ones without need goes back to the system ahead of each, and all else at the end."""
     for batch in batches:
         yield batch
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
