@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +16,12 @@ from pyspark.storagelevel import StorageLevel
 
 from pulseframe.operators import metrics
 from pulseframe.operators.quantiles import exact_quantiles
+from pulseframe.streaming.threshold import Trailing
 
 #: Share of the largest eigenvalue, of scaled covariances, below which a direction counts as one without variance.
 RANK_CUT = 1e-10
+#: Share of a mean by which a constant column may seem to vary.
+ROUNDING = 1e-13
 #: Models that may be fitted side by side by iteration: a small matrix of each comes to the driver.
 MOST_MODELS = 10_000
 
@@ -39,14 +40,16 @@ def _matrix(row, columns: list[str]) -> np.ndarray:
     return c
 
 
-def pooled_inverse(pooled: np.ndarray) -> np.ndarray:
+def pooled_inverse(pooled: np.ndarray, means: np.ndarray) -> np.ndarray:
     """Inverse of a covariance on the directions that vary; the others have no weight.
 
     Variances are scaled to 1 first, so the cut doesn't depend on the units: a constant or repeated
-    column takes away a direction, small amplitudes don't.
+    column takes away a direction, small amplitudes don't. A deviation that rounding of the classes' means
+    (rows of means) can make is none.
     """
     scale = np.sqrt(np.clip(np.diag(pooled), 0, None))
-    scale = np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0)
+    varies = scale > ROUNDING * np.abs(means).max(axis=0)
+    scale = np.where(varies, 1 / np.where(varies, scale, 1), 0)
     values, vectors = np.linalg.eigh(pooled * np.outer(scale, scale))
     kept = values > RANK_CUT * max(values.max(initial=0.0), 0.0)
     white = vectors[:, kept] / np.sqrt(values[kept])
@@ -76,7 +79,7 @@ class Discriminant:
         n = np.array([r["n"] for r in rows], float)
         means = np.array([[r[f"mean_{c}"] for c in columns] for r in rows])
         pooled = sum((_matrix(r, columns) * (r["n"] - 1) for r in rows if r["n"] > 1), np.zeros((len(columns),) * 2)) / max(1, n.sum() - len(rows))
-        weights = means @ pooled_inverse(pooled)
+        weights = means @ pooled_inverse(pooled, means)
         return cls(columns, [r[label] for r in rows], weights, np.log(n / n.sum()) - 0.5 * (weights * means).sum(axis=1))
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def discriminants(df: DataFrame, columns: list[str], *by: str, label: str = "lab
         pooled = np.zeros((len(columns),) * 2)
         for _, r in rows[rows["n"] > 1].iterrows():
             pooled += _matrix(r, columns) * (r["n"] - 1) / max(1, n.sum() - len(rows))
-        weights = means @ pooled_inverse(pooled)
+        weights = means @ pooled_inverse(pooled, means)
         biases = np.log(n / n.sum()) - 0.5 * (weights * means).sum(axis=1)
         return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in by}, "n_train": [int(n.sum())], "classes": [rows[label].astype(int).tolist()], "weights": [weights.tolist()], "biases": [biases.tolist()]})
 
@@ -222,12 +225,13 @@ def predict_any(train: DataFrame, test: DataFrame, columns: list[str], fit_predi
             return pd.DataFrame({f.name: [] for f in out})
         if not len(left):
             raise ValueError(f"no training rows for {[right[k].iloc[0] for k in by]}")
-        got, sure = fit_predict(left[columns].to_numpy(float), left[label].to_numpy(), right[columns].to_numpy(float))
+        got, sure = fit_predict(left[[f"_x{k}" for k in range(len(columns))]].to_numpy(float), left["_y"].to_numpy(), right[columns].to_numpy(float))
         if len(got) != len(right):
             raise ValueError(f"{len(got)} predictions for {len(right)} rows")
         return right.assign(y_pred=np.asarray(got).astype("int32"), confidence=np.asarray(sure, float))
 
-    return train.select(*by, label, *columns).groupBy(*by).cogroup(test.groupBy(*by)).applyInPandas(run, out)
+    left = train.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col(label).alias("_y"), *(F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)))
+    return left.groupBy(*(f"_k{i}" for i in range(len(by)))).cogroup(test.groupBy(*by)).applyInPandas(run, out)
 
 
 def lda(train: DataFrame, columns: list[str], label: str = "label"):
@@ -287,14 +291,6 @@ class OneClass:
         return self.distance() > self.threshold
 
 
-def quantile_of(ordered: list[float], q: float) -> float:
-    """Linearly interpolated quantile of a sorted list; equal neighbours give their value, infinite ones too."""
-    at = q * (len(ordered) - 1)
-    low = int(at)
-    a, b = ordered[low], ordered[min(low + 1, len(ordered) - 1)]
-    return a if a == b else a + (b - a) * (at - low)
-
-
 def adaptive_threshold(df: DataFrame, distance: str, *by: str, order: str = "seq", contamination: float = 0.025, most: int = 4000, least: int = 200) -> DataFrame:
     """Rows (by, order, distance) with threshold: quantile of the trailing distances of the session, infinite until there are enough.
 
@@ -304,18 +300,15 @@ def adaptive_threshold(df: DataFrame, distance: str, *by: str, order: str = "seq
     q = 1 - contamination
 
     def trail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, ordered, recent = None, [], deque()
+        session, trailing = None, Trailing(most)
         for batch in batches:
             out = []
             for key, d in zip(zip(*(batch.column(k).to_pylist() for k in range(len(by)))), batch.column(len(by) + 1).to_pylist()):
                 if key != session:
-                    session, ordered, recent = key, [], deque()
+                    session, trailing = key, Trailing(most)
                 if d is not None and d == d:
-                    recent.append(d)
-                    insort(ordered, d)
-                    if len(recent) > most:
-                        ordered.pop(bisect_left(ordered, recent.popleft()))
-                out.append(quantile_of(ordered, q) if len(ordered) >= least else float("inf"))
+                    trailing.add(d)
+                out.append(trailing.quantile(q) if len(trailing) >= least else float("inf"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "threshold"])
 
     rows = df.select(*by, order, F.col(distance).cast("double").alias(distance)).repartition(*by).sortWithinPartitions(*by, order)

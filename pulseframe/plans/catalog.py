@@ -12,8 +12,9 @@ from pulseframe.operators import build, decision, dsp, metrics, models, qc, spli
 from pulseframe.operators import windows as win
 from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.plans import oracles as o
-from pulseframe.sources import signals
+from pulseframe.sources import mat, signals, storage
 from pulseframe.sources.signals import KEYS
+from pulseframe.streaming import threshold
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,6 +88,17 @@ def src_db6_index(spark, sf_dir):
     return signals.recording_index(paths)
 
 
+@register("src_db6_read", f"WITH {o.SAMPLES} SELECT subject_id, session_id || '_t01' AS session_id, sample_idx, label, repetition, {r('ch0, ch1')} FROM smp WHERE subject_id IN ('s01', 's03')")
+def src_db6_read(spark, sf_dir):
+    """Recordings written as matrix files, one each, and those of two subjects read back; files of others stay closed."""
+    root = storage.fresh_path(spark, "recordings")
+    name = F.concat(F.lit("S"), F.substring("subject_id", 2, 9), F.lit("_D"), F.substring("session_id", 2, 9), F.lit("_T1"))
+    rows = sample_rows(spark, sf_dir).select(name.alias("file"), "sample_idx", "label", "repetition", F.array("ch0", "ch1").alias("ch"))
+    mat.write_recordings(rows, root).write.format("noop").mode("overwrite").save()
+    read = mat.read_recordings(spark, root, subjects=["s01", "s03"], channels=(0, 1))
+    return rounded(read.select(*KEYS, "sample_idx", "label", "repetition", F.col("ch")[0].alias("ch0"), F.col("ch")[1].alias("ch1")))
+
+
 register("src_frames", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 6) AS value, round((generate_subscripts(embedding, 1) - 1) / 1000.0::DOUBLE, 6) AS timestamp FROM embeddings")(
     lambda s, d: rounded(signals.frames(signals.embedding_windows(s, d))).withColumn("pos", F.col("pos").cast("long"))
 )
@@ -668,6 +680,27 @@ register(
     "anom_adaptive",
     f"WITH {o.WINDOWS}, {_D} SELECT subject_id, session_id, seq, CASE WHEN count(*) OVER w >= 20 THEN round(quantile_cont(distance, 0.975) OVER w, 6) ELSE 'inf'::DOUBLE END AS threshold FROM dist WINDOW w AS (PARTITION BY subject_id, session_id ORDER BY seq ROWS BETWEEN 3999 PRECEDING AND CURRENT ROW)",
 )(lambda s, d: models.adaptive_threshold(distances(s, d), "distance", *KEYS, least=20).select(*ID, F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(F.round("threshold", ROUND)).alias("threshold")))
+_THRESHOLD = "CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(distance, 0.975) OVER w ELSE 'inf'::DOUBLE END"
+
+
+@register("anom_stream", f"WITH {o.WINDOWS}, {_D} SELECT subject_id, session_id, seq, round({_THRESHOLD}, 6) AS threshold, distance > {_THRESHOLD} AS flag FROM dist WINDOW w AS (PARTITION BY subject_id, session_id ORDER BY seq ROWS BETWEEN 3999 PRECEDING AND CURRENT ROW)")
+def anom_stream(spark, sf_dir):
+    """anom_adaptive as a stream that is stopped and started again twice in the middle of all sessions, into a sink whose batches count once."""
+    dist = distances(spark, sf_dir).select(*ID, "distance")
+    at = storage.fresh_path(spark, "stream")
+    sink = storage.EpochSink(spark, f"{at}/out")
+    thirds = dist.groupBy(*KEYS).agg(F.max("seq").alias("last"))
+    dealt = dist.join(thirds, list(KEYS)).withColumn("third", F.least(F.lit(2), (F.col("seq") * 3 / (F.col("last") + 1)).cast("int"))).drop("last")
+    dealt.write.partitionBy("third").parquet(f"{at}/dealt")
+    for third in range(3):
+        spark.read.schema(dist.schema).parquet(f"{at}/dealt/third={third}").write.mode("append").parquet(f"{at}/in")
+        rows = threshold.adaptive_stream(spark.readStream.schema(dist.schema).parquet(f"{at}/in"), "distance", *KEYS, least=20)
+        query = rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = sink.read(rows.schema)
+    return out.select(*ID, F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(F.round("threshold", ROUND)).alias("threshold"), "flag")
+
+
 _FLAGS = "fr AS (SELECT session_id, avg((distance > (SELECT quantile_cont(distance, 0.975) FROM dist))::INT) AS fixed_fp, avg((distance > thr)::INT) AS adaptive_fp FROM (SELECT *, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(distance, 0.975) OVER w ELSE 'inf'::DOUBLE END AS thr FROM dist WINDOW w AS (PARTITION BY subject_id, session_id ORDER BY seq ROWS BETWEEN 3999 PRECEDING AND CURRENT ROW)) GROUP BY session_id)"
 register("agg_benign_vs_degraded", f"WITH {o.WINDOWS}, {_D}, {_FLAGS} SELECT session_id = 'd04' AS degraded, {', '.join(f'round({f}({c}), 6) AS {c}_{n}' for c in ('fixed_fp', 'adaptive_fp') for n, f in (('mean', 'avg'), ('max', 'max')))} FROM fr GROUP BY ALL")(
     lambda s, d: rounded(

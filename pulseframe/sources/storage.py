@@ -75,7 +75,7 @@ def commit_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text, or None where there is none; read by Spark, in whatever store it is."""
-    return spark.read.option("wholetext", "true").text(path).first().value if exists(spark, path) else None
+    return spark.read.text(path, wholetext=True).first().value if exists(spark, path) else None
 
 
 class Snapshots:
