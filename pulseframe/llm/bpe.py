@@ -19,9 +19,9 @@ from pulseframe.llm.common import freed, fresh, give_back, text_or_empty
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 NO_PAIR = 1 << 62
 #: Words after a space that a worker keeps, in each of two generations; a third of it of words that begin a line, and of endings.
-CACHED = 105_000
+CACHED = 50_000
 #: Characters of text whose new words are encoded together.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
