@@ -21,8 +21,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: The vocabulary by category: one strict term rejects; soft terms have weights, and LEAST_SOFT or more
-#: distinct ones that weigh REJECT_AT or more together reject.
+#: The vocabulary by category: one strict term rejects; soft terms have weights from 1 (common in honest shops) to 3 (rare there),
+#: and LEAST_SOFT or more distinct ones that weigh REJECT_AT or more together reject: two heavy ones, or several light ones.
 STRICT_TERMS = {
     "gambling": ("casino", "casinos", "jackpot", "roulette", "blackjack", "sportsbook", "betting"),
     "adult": ("porn", "porno", "xxx", "escort", "escorts", "hentai", "camgirls"),
@@ -31,17 +31,17 @@ STRICT_TERMS = {
     "piracy": ("torrent", "torrents", "crackz"),
 }
 SOFT_TERMS = {
-    "commerce": {"cheap": 1, "deal": 1, "deals": 1, "sale": 1, "discount": 1, "coupon": 1, "coupons": 1, "free": 1, "bonus": 1, "offer": 1, "outlet": 1},
-    "gambling": {"bet": 1, "bets": 1, "win": 1, "slots": 2, "poker": 2, "lottery": 2, "odds": 1},
-    "adult": {"adult": 2, "dating": 1, "singles": 1, "nude": 2, "webcam": 1},
-    "pharmacy": {"pills": 1, "pharmacy": 1, "meds": 1, "dosage": 1},
-    "finance": {"loan": 1, "loans": 1, "payday": 2, "crypto": 1, "forex": 1, "refinance": 1},
-    "tracking": {"ads": 1, "track": 1, "tracker": 1, "click": 1, "affiliate": 1, "popup": 1, "banner": 1},
-    "farms": {"farm": 1, "linkfarm": 2, "seo": 1, "backlinks": 2},
+    "commerce": {"cheap": 1, "deal": 1, "deals": 1, "sale": 1, "discount": 1, "coupon": 1, "coupons": 1, "free": 1, "bonus": 2, "offer": 1, "outlet": 1},
+    "gambling": {"bet": 2, "bets": 2, "win": 1, "slots": 2, "poker": 3, "lottery": 3, "odds": 1},
+    "adult": {"adult": 2, "dating": 2, "singles": 2, "nude": 3, "webcam": 1},
+    "pharmacy": {"pills": 2, "pharmacy": 1, "meds": 2, "dosage": 1},
+    "finance": {"loan": 1, "loans": 1, "payday": 3, "crypto": 2, "forex": 2, "refinance": 1},
+    "tracking": {"ads": 2, "track": 1, "tracker": 2, "click": 1, "affiliate": 2, "popup": 2, "banner": 1},
+    "farms": {"farm": 1, "linkfarm": 3, "seo": 1, "backlinks": 3},
 }
 STRICT = tuple(t for terms in STRICT_TERMS.values() for t in terms)
 SOFT = {t: w for terms in SOFT_TERMS.values() for t, w in terms.items()}
-LEAST_SOFT, REJECT_AT = 2, 2
+LEAST_SOFT, REJECT_AT = 2, 4
 
 
 def ascii_lower(c: Column) -> Column:
@@ -143,7 +143,7 @@ FILTER_SQL = f"""
     named AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
     found AS (SELECT *, {_hits_sql(repr(list(STRICT)))} AS strict, {_hits_sql(repr(list(SOFT)))} AS soft FROM named),
-    weighed AS (SELECT *, coalesce(list_sum(list_transform(soft, lambda t: CASE WHEN list_contains({[t for t, w in SOFT.items() if w == 2]!r}, t) THEN 2 ELSE 1 END)), 0) AS weight,
+    weighed AS (SELECT *, coalesce(list_sum(list_transform(soft, lambda t: CASE {" ".join(f"WHEN list_contains({[t for t, v in SOFT.items() if v == w]!r}, t) THEN {w}" for w in sorted(set(SOFT.values())))} END)), 0) AS weight,
         CASE {" ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1])))} END AS rule FROM found)
     SELECT page_id, host, path, rule,
            CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in RULES)}
