@@ -347,3 +347,87 @@ def block_starts(spark: SparkSession, at: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(ahead(Window.orderBy("shard"))), F.lit(0)).alias("shard_first"))
     inside = F.coalesce(F.sum("n_ids").over(ahead(Window.partitionBy("shard").orderBy("block"))), F.lit(0))
     return blocks.withColumn("inside", inside).join(shards, "shard").select("shard", "block", (F.col("shard_first") + F.col("inside")).alias("first"))
+
+
+def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], np.ndarray, WaveletMatrix]]:
+    """(shard, block, doc_ids, ends of the documents, matrix) of rows (shard, block, doc_ids, lengths, matrix); nothing is decoded."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            shard, block, ids, lengths, matrix = (batch.column(k)[row].as_py() for k in range(5))
+            yield shard, block, ids, np.cumsum(lengths), WaveletMatrix.from_bytes(matrix)
+
+
+def _blocks(spark: SparkSession, at: str, shard: int | None) -> DataFrame:
+    files = spark.read.schema(BLOCKS).parquet(at)
+    files = files if shard is None else files.filter(F.col("shard") == shard)
+    return files.select("shard", "block", "doc_ids", "lengths", "matrix")
+
+
+def count_tokens(spark: SparkSession, at: str, tokens: list[int], shard: int | None = None) -> DataFrame:
+    """(shard, token, n) of every shard, or one: how often it has each of the tokens, 0 too, by ranks in its matrices.
+
+    Repeated tokens count once. Files without blocks, and no tokens, give no rows.
+    """
+    wanted = sorted(set(tokens))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _, _, _, matrix in _per_block(batches):
+            n = [matrix.count(t) if t >> matrix.bits == 0 else 0 for t in wanted]
+            yield pa.RecordBatch.from_pydict({"shard": [shard] * len(wanted), "token": wanted, "n": n}, pa.schema([(c, pa.int64()) for c in ("shard", "token", "n")]))
+
+    return _blocks(spark, at, shard).mapInArrow(count, "shard long, token long, n long").groupBy("shard", "token").agg(F.sum("n").alias("n"))
+
+
+def find_tokens(spark: SparkSession, at: str, tokens: list[int], shard: int | None = None) -> DataFrame:
+    """(shard, token, position, doc_id, place) of every occurrence of the tokens: where it stands in its shard and in its document, from 0, by selection in the matrices.
+
+    Documents with null ids have a null doc_id. Files without blocks, and no tokens, give no rows.
+    """
+    wanted = sorted(set(tokens))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, block, ids, ends, matrix in _per_block(batches):
+            for t in wanted:
+                if t >> matrix.bits:
+                    continue
+                found = np.array(matrix.occurrences(t), np.int64)
+                doc = np.searchsorted(ends, found, "right")
+                place = found - np.concatenate([[0], ends])[doc]
+                yield pa.RecordBatch.from_pydict(
+                    {"shard": [shard] * len(found), "block": [block] * len(found), "token": [t] * len(found), "inside": found, "doc_id": [ids[d] for d in doc], "place": place},
+                    pa.schema([(c, pa.int64()) for c in ("shard", "block", "token", "inside", "doc_id", "place")]),
+                )
+
+    found = _blocks(spark, at, shard).mapInArrow(find, "shard long, block long, token long, inside long, doc_id long, place long")
+    return found.join(shard_starts(spark, at), ["shard", "block"]).select("shard", "token", (F.col("ahead") + F.col("inside")).alias("position"), "doc_id", "place")
+
+
+def shard_starts(spark: SparkSession, at: str) -> DataFrame:
+    """(shard, block, ahead, n_ids): ids of a shard ahead of each of its blocks, and in it."""
+    blocks = spark.read.schema(BLOCKS).parquet(at).select("shard", "block", "n_ids")
+    ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("ahead"), "n_ids")
+
+
+def access_tokens(spark: SparkSession, at: str, positions: DataFrame) -> DataFrame:
+    """positions (shard, position) with the token that stands there; a position that its shard doesn't have gets null.
+
+    Positions meet their block by the last start at or below them; each block answers its own by bits and
+    ranks. Repeated positions get equal tokens, null ones null. No positions give no rows.
+    """
+    starts = shard_starts(spark, at)
+    marks = starts.select("shard", F.col("ahead").alias("position"), F.lit(0).alias("kind"), "block", "ahead", "n_ids").unionByName(
+        positions.select("shard", F.col("position").cast("long").alias("position"), F.lit(1).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("block", "ahead", "n_ids")))
+    )
+    before = Window.partitionBy("shard").orderBy("position", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    asked = marks.select("shard", "position", "kind", *(F.last(c, ignorenulls=True).over(before).alias(c) for c in ("block", "ahead", "n_ids"))).filter("kind = 1")
+    inside = asked.select("shard", "position", "block", F.when((F.col("position") >= F.col("ahead")) & (F.col("position") < F.col("ahead") + F.col("n_ids")), F.col("position") - F.col("ahead")).alias("inside"))
+
+    def access(wanted: pa.Table, block: pa.Table) -> pa.Table:
+        at = wanted.column("inside").to_pylist()
+        matrix = WaveletMatrix.from_bytes(block.column("matrix")[0].as_py()) if block.num_rows and wanted.num_rows else None
+        token = pa.array([None if i is None or matrix is None else matrix.access(i) for i in at], pa.int64())
+        return pa.table({"shard": wanted.column("shard"), "position": wanted.column("position"), "token": token})
+
+    matrices = spark.read.schema(BLOCKS).parquet(at).select("shard", "block", "matrix")
+    return inside.groupBy("shard", "block").cogroup(matrices.groupBy("shard", "block")).applyInArrow(access, "shard long, position long, token long")
