@@ -1,9 +1,10 @@
 """Exact dedup with a log-structured merge index of digests, all in DataFrame operations.
 
-Memtables are slices of the rows, aggregated by digest before they are shuffled; each
+Memtables are slices of a bounded number of rows, dealt by identifier, so that copies of one text are spread over all. Each
 is flushed as a run: digests in sorted order, with the smallest and largest identifier and the
-number of rows. Compaction merges the runs by digest. The digests that more than one
-row has make the filter, a bit set sized by their number; the rows that pass it are
+number of rows, and with a filter of the run's digests beside it. Compaction asks the filters first: rows whose bit
+no other run has set pass as they are, and only the others are merged by digest. The digests that more than one
+row has make another filter, a bit set sized by their number; the rows that pass it are
 hits, and their texts are compared byte by byte before they count as equal.
 """
 
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseframe.llm.common import fresh, materialize, scratch, shuffle_files_go_at_the_end, text_or_empty
+from pulseframe.sources.storage import exists
 
 #: Bits of the filter for each digest in it (about one in so many other rows passes), and its least and largest size
 #: as powers of two. Its rows are words of 64 bits: at most 2**20 rows of 16 bytes, so it can always be broadcast.
 BITS_A_DIGEST, LEAST_BITS, MOST_BITS = 16, 12, 26
-MEMTABLES = 4
+#: Rows of a memtable, about, and the fewest memtables of a flush.
+MEMTABLE_ROWS, MEMTABLES = 1 << 20, 4
 
 
 def sha256(text: Column) -> Column:
@@ -27,39 +30,67 @@ def sha256(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Runs of (digest, least_id, largest_id, n) in one folder, merged on compaction."""
+    """Runs of (digest, least_id, largest_id, n), each with its filter, in one folder; merged on compaction."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.runs, self.schema = spark, [], None
+    def __init__(self, spark: SparkSession, memtable_rows: int = MEMTABLE_ROWS, memtables: int = MEMTABLES):
+        self.spark, self.memtable_rows, self.memtables, self.runs, self.schema, self.rows = spark, memtable_rows, memtables, [], None, 0
 
-    def flush(self, rows: DataFrame, memtables: int = MEMTABLES) -> None:
-        """Aggregate rows (digest, id) in memtables and write each as a run in order of its digests."""
+    def flush(self, rows: DataFrame) -> None:
+        """Aggregate rows (digest, id) in memtables and write each as a run in order of its digests, and its filter."""
+        n = rows.count()
+        tables = max(self.memtables, -(-n // self.memtable_rows))
         path = scratch(self.spark, "run")
         run = (
-            rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(memtables)).alias("memtable"), "digest")
+            rows.withColumn("memtable", F.pmod(F.xxhash64("id"), F.lit(tables)))
+            .groupBy("memtable", "digest")
             .agg(F.min("id").alias("least_id"), F.max("id").alias("largest_id"), F.count(F.lit(1)).alias("n"))
             .sortWithinPartitions("memtable", "digest")
         )
         with shuffle_files_go_at_the_end(self.spark):
             run.write.partitionBy("memtable").parquet(path)
-        self.runs.append(path)
-        self.schema = run.drop("memtable").schema
+        self.rows, self.schema = self.rows + n, run.drop("memtable").schema
+        kept = [f"{path}/memtable={k}" for k in range(tables)]
+        self.runs += [(p, None) for p in kept if exists(self.spark, p)]
+
+    def _run(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def filters(self, bits: int) -> DataFrame:
+        """(run, word, mask) of every run's filter, written once; all are of one size, after all rows of the index, so that bits are comparable."""
+        for k, (path, made) in enumerate(self.runs):
+            if made is None or made[0] != bits:
+                at = scratch(self.spark, "run-filter")
+                filter_of(self._run(path), bits).write.parquet(at)
+                self.runs[k] = (path, (bits, at))
+        each = [self.spark.read.schema("word long, mask long").parquet(at).withColumn("run", F.lit(k)) for k, (_, (_, at)) in enumerate(self.runs)]
+        return reduce(DataFrame.unionByName, each)
+
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """The rows of all runs whose digest no other run can have, and the rest. Where rows are too many for filters to tell, all are rest."""
+        if self.schema is None:
+            raise ValueError("nothing was flushed")
+        rows = self._run(*(p for p, _ in self.runs))
+        bits = filter_bits(self.rows)
+        if len(self.runs) < 2:
+            return rows, rows.filter(F.lit(False))
+        if (self.rows >> bits - 2) > 0:
+            return rows.filter(F.lit(False)), rows
+        step = lambda s, m: F.struct(s["one"].bitwiseOR(m).alias("one"), s["two"].bitwiseOR(s["one"].bitwiseAND(m)).alias("two"))
+        none = F.lit(0).cast("long")
+        met = F.aggregate(F.collect_list("mask"), F.struct(none.alias("one"), none.alias("two")), step, lambda s: s["two"])
+        twice = self.filters(bits).groupBy("word").agg(met.alias("mask")).filter("mask <> 0")
+        together, apart = split_by_filter(rows, F.col("digest"), materialize(twice, "filter"), bits)
+        return apart, together
 
     def compact(self) -> DataFrame:
-        """One sorted run of all: per digest the smallest and largest identifier and the number of rows."""
-        if not self.runs:
-            raise ValueError("nothing was flushed")
-        merged = (
-            reduce(DataFrame.unionByName, [self.spark.read.schema(self.schema).parquet(p) for p in self.runs])
-            .groupBy("digest")
-            .agg(F.min("least_id").alias("least_id"), F.max("largest_id").alias("largest_id"), F.sum("n").alias("n"))
-            .sortWithinPartitions("digest")
-        )
+        """One run of all: per digest the smallest and largest identifier and the number of rows."""
+        apart, together = self.split()
+        merged = together.groupBy("digest").agg(F.min("least_id").alias("least_id"), F.max("largest_id").alias("largest_id"), F.sum("n").alias("n"))
         path = scratch(self.spark, "compacted")
         with shuffle_files_go_at_the_end(self.spark):
-            merged.write.parquet(path)
-        self.runs = [path]
-        return self.spark.read.schema(self.schema).parquet(path)
+            apart.unionByName(merged).sortWithinPartitions("digest").write.parquet(path)
+        self.runs = [(path, None)]
+        return self._run(path)
 
 
 def bit_of(digest: Column, bits: int) -> Column:
