@@ -232,3 +232,92 @@ def test_matches_are_summed_without_another_exchange(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(row" in plan.replace("row#", "row") and "hashpartitioning(item" in plan
     assert out.filter(F.col("rank") == 1).first().doc_id == 1
+
+
+# Weights of url terms, and questions to shards of token files
+
+
+def test_light_terms_reject_only_together():
+    from pulseframe.llm import urls
+
+    judge = lambda *terms: (lambda s, w: bool(s) or len(w) >= urls.LEAST_SOFT and sum(w.values()) >= urls.REJECT_AT)(*urls.hits("http://x.net/" + "-".join(terms), urls.STRICT, tuple(urls.SOFT.items())))
+    assert not judge("cheap", "deal") and not judge("cheap", "deal", "sale") and judge("cheap", "deal", "sale", "free")
+    assert judge("poker", "free") and judge("bets", "ads") and not judge("poker") and not judge("poker", "poker") and judge("casino")
+    assert set(urls.SOFT.values()) == {1, 2, 3}
+
+
+@pytest.fixture(scope="module")
+def token_files(spark):
+    import numpy as np
+
+    from pulseframe.llm import tokens
+    from pulseframe.llm.common import scratch
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", "ça", "zebra", "12", "\n", "a"]) for _ in range(rng.randrange(60)))) for i in range(90)] + [(None, "the a"), (400, None)]
+    at = scratch(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), at, block_ids=300)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plain = defaultdict(list)  # shard -> (doc, place, token)
+    for r in sorted(tokens.read_tokens(spark, at).collect(), key=lambda r: (r.shard, r.block, r.ahead)):
+        plain[r.shard] += [(r.doc_id, k, int(t)) for k, t in enumerate(np.frombuffer(bytes(r.ids), "<u4"))]
+    return at, plain
+
+
+def test_shards_count_and_find_tokens(spark, token_files):
+    from pulseframe.llm import tokens
+
+    at, plain = token_files
+    assert len(plain) > 1 and max(map(len, plain.values())) > 300  # several shards, and several blocks in one
+    wanted = sorted({t for rows in plain.values() for *_, t in rows})[::3] + [2, 49_999, 1 << 20, 2]
+    counts = {(r.shard, r.token): r.n for r in tokens.count_tokens(spark, at, wanted).collect()}
+    assert counts == {(s, t): sum(t == x for *_, x in rows) for s, rows in plain.items() for t in set(wanted)}
+    found = sorted((r.shard, r.token, r.position, r.doc_id, r.place) for r in tokens.find_tokens(spark, at, wanted).collect())
+    assert found == sorted((s, t, p, d, k) for s, rows in plain.items() for p, (d, k, t) in enumerate(rows) if t in wanted)
+    one = next(iter(plain))
+    assert {r.shard for r in tokens.count_tokens(spark, at, [2], shard=one).collect()} == {one}
+    assert tokens.count_tokens(spark, at, []).count() == tokens.find_tokens(spark, at, []).count() == 0
+
+
+def test_shards_give_the_token_at_a_position(spark, token_files):
+    from pulseframe.llm import tokens
+
+    at, plain = token_files
+    asked = [(s, p) for s, rows in plain.items() for p in (*range(0, len(rows), 41), len(rows) - 1, len(rows), -1, 0, 0)] + [(next(iter(plain)), None), (77_777, 3)]
+    got = sorted(((r.shard, r.position, r.token) for r in tokens.access_tokens(spark, at, spark.createDataFrame(asked, "shard long, position long")).collect()), key=str)
+    want = [(s, p, plain[s][p][2] if p is not None and 0 <= p < len(plain.get(s, ())) else None) for s, p in asked]
+    assert got == sorted(want, key=str)
+
+
+def test_only_digests_of_several_runs_are_merged(spark):
+    """Filters of runs are asked first: rows that their own run alone can have pass by the merge."""
+    from pulseframe.llm import exact
+
+    rows = spark.range(3000).select(F.sha2(F.when(F.col("id") % 100 == 0, F.lit("x")).otherwise(F.col("id").cast("string")).cast("binary"), 256).alias("digest"), "id")
+    index = exact.DigestIndex(spark, memtable_rows=500, memtables=1)
+    index.flush(rows.filter("id < 2000"))
+    index.flush(rows.filter("id >= 2000"))
+    assert len(index.runs) == 6  # four memtables of the first flush, two of the second
+    apart, together = index.split()
+    assert apart.count() + together.count() == sum(spark.read.parquet(p).count() for p, _ in index.runs)
+    assert together.filter(F.col("digest") == hashlib.sha256(b"x").hexdigest()).count() == 6 and together.count() < 0.3 * 3000
+    assert apart.filter(F.col("n") > 1).count() == 0 and apart.groupBy("digest").count().filter("count > 1").count() == 0
+    whole = index.compact()
+    assert whole.count() == 2971 and whole.filter("n > 1").collect()[0][1:] == (0, 2900, 30)
+    assert len(index.runs) == 1
+    index.flush(rows.filter("id < 7").select("digest", (F.col("id") + 5000).alias("id")))
+    again = {r.digest: (r.least_id, r.largest_id, r.n) for r in index.compact().filter("n > 1").collect()}
+    assert again[hashlib.sha256(b"x").hexdigest()] == (0, 5000, 31) and again[hashlib.sha256(b"3").hexdigest()] == (3, 5003, 2) and len(again) == 7
+
+
+def test_shards_of_nothing(spark):
+    from pulseframe.llm import tokens
+    from pulseframe.llm.common import scratch
+
+    at = scratch(spark, "tokens")
+    tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), at)
+    assert tokens.count_tokens(spark, at, [1]).count() == tokens.find_tokens(spark, at, [1]).count() == 0
+    assert [r.token for r in tokens.access_tokens(spark, at, spark.createDataFrame([(0, 0)], "shard long, position long")).collect()] == [None]
