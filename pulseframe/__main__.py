@@ -16,7 +16,8 @@ from collections.abc import Sequence
 def main(argv: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="pulseframe", description="Profile recordings and suggest limits for the quality gate.")
     command = parser.add_subparsers(dest="command", required=True).add_parser("calibrate")
-    command.add_argument("folder", help="samples as Parquet: subject_id, session_id, sample_idx, label, repetition and channels")
+    command.add_argument("folder")
+    command.add_argument("--source", default="parquet", help="how the folder is read: parquet (samples with subject_id, session_id, sample_idx, label, repetition and channels) or ninapro_db6 (matrix files)")
     command.add_argument("--subjects", nargs="*")
     command.add_argument("--sessions", nargs="*")
     command.add_argument("--channels", nargs="+", default=["ch0", "ch1"], help="those that will be gated on")
@@ -28,10 +29,10 @@ def main(argv: Sequence[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from pulseframe.operators import build, qc
-    from pulseframe.sources import signals
+    from pulseframe.sources import loaders, signals
 
     spark = SparkSession.builder.appName("pulseframe-calibrate").getOrCreate()
-    samples = signals.load(spark.read.parquet(args.folder), args.subjects, args.sessions)
+    samples = loaders.loader(args.source, spark, args.folder).load(args.subjects, args.sessions)
     profile = build.profile_recordings(samples, signals.PreprocessConfig(), args.rate, args.channels, args.windows)
     if profile.isEmpty():
         print("no windows", file=sys.stderr)

@@ -20,32 +20,41 @@ def mean(x: Column) -> Column:
 
 
 def rms(x: Column) -> Column:
-    return F.sqrt(mean(F.transform(x, lambda v: v * v)))
+    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x))
 
 
 def mav(x: Column) -> Column:
-    return mean(F.transform(x, F.abs))
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v)) / F.size(x)
 
 
 def kurtosis(x: Column) -> Column:
-    """Fourth standardised moment (3 for a normal distribution); 0 without variance."""
-    m = mean(x)
-    second = mean(F.transform(x, lambda v: (v - m) * (v - m)))
-    fourth = mean(F.transform(x, lambda v: F.pow(v - m, 4)))
-    return F.when(second == 0, 0.0).otherwise(fourth / (second * second))
+    """Fourth standardised moment (3 for a normal distribution); 0 without variance.
+
+    Two folds: the mean, then both moments about it.
+    """
+    def moments(m: Column) -> Column:
+        step = lambda s, v: F.struct((s["second"] + (v - m) * (v - m)).alias("second"), (s["fourth"] + (v - m) * (v - m) * (v - m) * (v - m)).alias("fourth"))
+        finish = lambda s: F.when(s["second"] == 0, 0.0).otherwise(s["fourth"] * F.size(x) / (s["second"] * s["second"]))
+        return F.aggregate(x, F.struct(F.lit(0.0).alias("second"), F.lit(0.0).alias("fourth")), step, finish)
+
+    return F.transform(F.array(mean(x)), moments)[0]  # the mean is computed once and bound
 
 
 def crest(x: Column) -> Column:
     r = rms(x)
-    return F.when(r == 0, 0.0).otherwise(F.array_max(F.transform(x, F.abs)) / r)
+    return F.when(r == 0, 0.0).otherwise(F.aggregate(x, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v))) / r)
 
 
 def sub_window_rms(x: Column, parts: int = 10) -> Column:
-    """Largest rms of equal sub-blocks (remainder cut off) over that of the whole; 1 if too short or silent."""
+    """Largest rms of equal sub-blocks (remainder cut off) over that of the whole; 1 if too short or silent.
+
+    Sums of squares a block and of the whole; roots are taken of the two results only.
+    """
     m = F.floor(F.size(x) / parts).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: rms(F.slice(x, (k * m + 1).cast("int"), m)))
+    squares = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)
+    most = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: squares(F.slice(x, (k * m + 1).cast("int"), m))))
     r = rms(x)
-    return F.when((F.size(x) < parts) | (r == 0), 1.0).otherwise(F.array_max(blocks) / r)
+    return F.when((F.size(x) < parts) | (r == 0), 1.0).otherwise(F.sqrt(most / m) / r)
 
 
 def steps(x: Column) -> Column:

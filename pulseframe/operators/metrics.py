@@ -58,22 +58,25 @@ def expected_calibration_error(df: DataFrame, *by: str) -> DataFrame:
     return bins.groupBy(*by).agg(gap.alias("ece"))
 
 
-def assists(low: float = LOW, high: float = HIGH) -> Column:
-    return (gate_scale(F.col("confidence"), low, high) > 0) & (F.col("y_pred") != REST)
+def assists(low: float = LOW, high: float = HIGH, gate=None) -> Column:
+    """Whether a prediction leads to assistance: it is no rest, and the gate gives its confidence a scale above 0.
+    gate is any function of the confidence's column that gives a column; by default gate_scale between low and high."""
+    scale = gate(F.col("confidence")) if gate else gate_scale(F.col("confidence"), low, high)
+    return (scale > 0) & (F.col("y_pred") != REST)
 
 
-def safety(df: DataFrame, *by: str, low: float = LOW, high: float = HIGH) -> DataFrame:
+def safety(df: DataFrame, *by: str, low: float = LOW, high: float = HIGH, gate=None) -> DataFrame:
     """Unsafe assistance over all windows, and availability over windows of movement (NaN if none)."""
-    moves = F.when(F.col("y_true") != REST, assists(low, high).cast("double"))
+    moves = F.when(F.col("y_true") != REST, assists(low, high, gate).cast("double"))
     return df.groupBy(*by).agg(
-        F.avg((assists(low, high) & (F.col("y_true") == REST)).cast("double")).alias("unsafe_assist_rate"),
+        F.avg((assists(low, high, gate) & (F.col("y_true") == REST)).cast("double")).alias("unsafe_assist_rate"),
         F.coalesce(F.avg(moves), F.lit(float("nan"))).alias("assist_availability"),
     )
 
 
-def evaluate(df: DataFrame, *by: str, low: float = LOW, high: float = HIGH) -> DataFrame:
+def evaluate(df: DataFrame, *by: str, low: float = LOW, high: float = HIGH, gate=None) -> DataFrame:
     """All metrics of predictions (y_true, y_pred, confidence) by keys, from one aggregation by keys, class and bin."""
-    hit, on = (F.col("y_true") == F.col("y_pred")).cast("long"), assists(low, high).cast("long")
+    hit, on = (F.col("y_true") == F.col("y_pred")).cast("long"), assists(low, high, gate).cast("long")
     fine = df.withColumn("bin", bin_of(F.col("confidence"))).groupBy(*by, "y_true", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.sum("confidence").alias("conf"), F.sum(on).alias("on"))
     within = lambda c, *more: F.sum(c).over(Window.partitionBy(*(by or [F.lit(1)]), *more))
     fine = fine.withColumns({"class_n": within("n", "y_true"), "class_hits": within("hits", "y_true"), "bin_n": within("n", "bin"), "gap": F.abs(within("hits", "bin") - within("conf", "bin"))})

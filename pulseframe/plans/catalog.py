@@ -12,8 +12,9 @@ from pulseframe.operators import build, decision, dsp, metrics, models, qc, spli
 from pulseframe.operators import windows as win
 from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.plans import oracles as o
-from pulseframe.sources import mat, signals, storage
+from pulseframe.sources import loaders, mat, signals, storage
 from pulseframe.sources.signals import KEYS
+from pulseframe.streaming import loop as control
 from pulseframe.streaming import threshold
 
 QUERIES: dict = {}
@@ -70,7 +71,7 @@ register("src_samples", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample
 derived("proj_channels", "src_samples", "subject_id, session_id, sample_idx, ch1")
 register("subjects", f"WITH {o.SAMPLES} SELECT DISTINCT subject_id FROM smp")(lambda s, d: sample_rows(s, d).select("subject_id").distinct())
 register("src_db6_load", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx FROM smp WHERE subject_id IN ('s01', 's03') AND session_id = 'd02'")(
-    lambda s, d: signals.load(sample_rows(s, d), ["s01", "s03"], ["d02"]).select("subject_id", "session_id", "sample_idx")
+    lambda s, d: loaders.loader("events", s, d).load(["s01", "s03"], ["d02"]).select("subject_id", "session_id", "sample_idx")
 )
 register("proj_binary_labels", f"WITH {o.WINDOWS} SELECT subject_id, session_id, seq, (label <> 0)::INT AS label FROM win")(lambda s, d: win.binary_labels(windows(s, d)).select(*ID, "label"))
 
@@ -603,6 +604,27 @@ register("limit_enforce", f"WITH {o.SAMPLES} SELECT subject_id, session_id, samp
 register("limit_clamp", f"WITH {o.SAMPLES} SELECT subject_id, session_id, sample_idx, round(greatest(-5, least(5, ch0 * 4)), 6) AS torque FROM smp")(lambda s, d: rounded(sample_rows(s, d).select(*KEYS, "sample_idx", decision.clamp(F.col("ch0") * 4).alias("torque"))))
 
 
+_LOOP_STREAM = f"""{o.TICKS}, {_FAULT}, faulty AS (SELECT *, CASE WHEN missed >= 3 THEN 'dropout' WHEN latency > 0.05::DOUBLE THEN 'latency' END AS fault FROM flt),
+ep2 AS (SELECT *, sum(reset::INT) OVER (PARTITION BY subject_id, session_id ORDER BY i) AS epoch, safety_ok AND fault IS NULL AS fine FROM faulty),
+st2 AS (SELECT *, CASE WHEN max(emergency::INT) OVER e = 1 THEN 'EMERGENCY_STOP' WHEN max((NOT fine)::INT) OVER e = 1 THEN 'FALLBACK'
+    WHEN intent AND confidence >= 0.7::DOUBLE THEN 'ASSIST' WHEN intent AND confidence >= 0.4::DOUBLE THEN 'DEGRADED' ELSE 'IDLE' END AS state FROM ep2 WINDOW e AS (PARTITION BY subject_id, session_id, epoch ORDER BY i))"""
+
+
+@register("loop_stream", f"WITH {_LOOP_STREAM} SELECT subject_id || '/' || session_id AS run_id, i, missed::INT AS missed, fault, state FROM st2")
+def loop_stream(spark, sf_dir):
+    """Recorded ticks replayed as a stream through the state machine, stopped and started once in the middle of all runs, into a sink whose batches count once."""
+    at = storage.fresh_path(spark, "loop")
+    t = ticks(spark, sf_dir).withColumn("run_id", F.concat_ws("/", *KEYS)).drop(*KEYS)
+    t = t.withColumn("half", (F.col("i") * 2 >= F.count(F.lit(1)).over(Window.partitionBy("run_id"))).cast("int"))
+    t.write.partitionBy("half").parquet(f"{at}/dealt")
+    sink, schema = storage.EpochSink(spark, f"{at}/out"), t.drop("half").schema
+    for half in range(2):
+        spark.read.schema(schema).parquet(f"{at}/dealt/half={half}").write.mode("append").parquet(f"{at}/in")
+        out = control.run_loop(control.replay(spark, f"{at}/in", schema))
+        out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink.read(out.schema)
+
+
 def loop(spark, sf_dir):
     t = decision.states(ticks(spark, sf_dir), *KEYS)
     mode = decision.fallback(~F.col("safety_ok"), F.col("confidence"))
@@ -666,7 +688,7 @@ _D = f"{_M}, dist AS (SELECT subject_id, session_id, seq, sqrt((vb * (rms_ch0 -
 
 
 def distances(spark, sf_dir):
-    w = windows(spark, sf_dir).filter("pure")
+    w = storage.saved(windows(spark, sf_dir).filter("pure").select(*ID, "rms_ch0", "wl_ch0"), "features")  # read for moments, for the quantile and for the distances
     model = models.OneClass.fit(w, ["rms_ch0", "wl_ch0"])
     return w.select(*ID, model.distance().alias("distance"), model.flag().alias("flag"))
 

@@ -52,6 +52,13 @@ def delete(spark: SparkSession, *paths: str) -> None:
         store.delete(at, True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written once in the shared folder: what reads it more than once doesn't compute it again, and it survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at, store = _place(spark, path)
     return store.exists(at)

@@ -194,3 +194,38 @@ def test_a_reset_begins_anew(spark, tmp_path):
     assert got[14] == pytest.approx(np.quantile(range(15), 0.975)) and got[23] == 9.0 and got[29] == pytest.approx(np.quantile(range(15, 30), 0.975))
     with pytest.raises(ValueError):
         threshold.adaptive_stream(df, "d", "session", least=0)
+
+
+def test_loaders_share_one_interface(spark, tmp_path):
+    from pulseframe.sources import loaders
+
+    put(tmp_path, "S1_D1_T1.mat", mat.file_of(variables(30)))
+    put(tmp_path, "S2_D1_T1.mat", mat.file_of(variables(20)))
+    files = loaders.loader("ninapro_db6", spark, str(tmp_path), channels=(0, 10))
+    assert files.subjects() == ["s01", "s02"] and files.load(["s02"]).count() == 20
+    files.load().write.partitionBy("subject_id", "session_id").parquet(str(tmp_path / "samples"))
+    again = loaders.loader("parquet", spark, str(tmp_path / "samples"))
+    assert again.subjects() == files.subjects() and again.load(sessions=["d01_t01"]).count() == 50
+    assert set(again.load().columns) == set(files.load().columns) == {"subject_id", "session_id", "sample_idx", "label", "repetition", "ch0", "ch1"}
+    with pytest.raises(KeyError, match="parquet"):
+        loaders.loader("none", spark, "")
+
+    class Empty(loaders.Loader):
+        name = "empty"
+
+        def index(self):
+            return self.spark.createDataFrame([], "subject_id string, session_id string")
+
+        def load(self, subjects=None, sessions=None):
+            return self.index()
+
+    assert loaders.loader("empty", spark, "").subjects() == []
+
+
+def test_a_gate_of_ones_own(spark):
+    from pulseframe.operators import metrics
+
+    df = spark.createDataFrame([(0, 1, 0.95), (1, 1, 0.45), (1, 1, 0.99)], "y_true int, y_pred int, confidence double")
+    never = metrics.safety(df, gate=lambda c: F.lit(0.0)).first()
+    hard = metrics.evaluate(df, gate=lambda c: (c >= 0.97).cast("double")).first()
+    assert never[:] == (0.0, 0.0) and hard.unsafe_assist_rate == 0.0 and hard.assist_availability == 0.5
