@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.common import materialize, text_or_empty
+from pulseframe.llm.common import discard, materialize, text_or_empty
+from pulseframe.llm.exact import maybe_among, split_among
 
 SPAN, GRAM = 50, 16
 PER_WINDOW = SPAN - GRAM + 1
@@ -396,11 +397,17 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     long_enough = docs.filter(F.octet_length("text") >= SPAN)
 
     anchors = long_enough.mapInArrow(rank_anchors, ROWS)
-    runs = with_followers(materialize(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(settle_runs, ROWS), "runs"), "run_followers")
-    unsettled = runs.filter(F.col("kind") == UNSETTLED).groupBy("doc", "row").agg(F.collect_set("loc").alias("locs"))
-    windows = long_enough.join(unsettled, ["doc", "row"]).select("doc", "row", "text", "locs").mapInArrow(rank_windows, ROWS)
-    single = with_followers(materialize(windows.repartition("key").sortWithinPartitions("key").mapInArrow(settle_windows, ROWS), "windows"), "window_followers")
-    removed = runs.filter(F.col("kind") == REMOVED).unionByName(single)
-    removed = removed.groupBy("doc", "row").agg(F.collect_list("loc").alias("locs"))
-    done = docs.join(removed, ["doc", "row"], "left").select("doc", _cut("text", "locs").alias("x"))
+    ranked = materialize(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(settle_runs, ROWS), "runs")
+    runs = with_followers(ranked, "run_followers")
+    which = {c: F.col(c) for c in ("doc", "row")}
+    # Texts move to what is known of them; those of which nothing is known stay where they are.
+    unsettled = materialize(runs.filter(F.col("kind") == UNSETTLED).groupBy("doc", "row").agg(F.collect_set("loc").alias("locs")), "unsettled")
+    windows = maybe_among(long_enough, which, unsettled).join(unsettled, ["doc", "row"]).select("doc", "row", "text", "locs").mapInArrow(rank_windows, ROWS)
+    decided = materialize(windows.repartition("key").sortWithinPartitions("key").mapInArrow(settle_windows, ROWS), "windows")
+    removed = runs.filter(F.col("kind") == REMOVED).unionByName(with_followers(decided, "window_followers"))
+    removed = materialize(removed.groupBy("doc", "row").agg(F.collect_list("loc").alias("locs")), "removed")
+    discard(ranked, decided, unsettled)
+    cut, whole = split_among(docs, which, removed)
+    done = cut.join(removed, ["doc", "row"], "left").select("doc", "text", "locs").unionByName(whole.select("doc", "text", F.lit(None).cast("array<bigint>").alias("locs")))
+    done = done.select("doc", _cut("text", "locs").alias("x"))
     return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_column), "x.n_bytes", "x.spans", "x.kept")
