@@ -136,8 +136,8 @@ def builds(spark, sf_dir, make):
 
 
 _BUILT_COLUMNS = ", ".join(f"{f}_{c}" for f in ("rms", "wl", "ssc", "zcr", "std") for c in win.CHANNELS)
-register("build_windows", f"WITH {o.BUILT} SELECT size, subject_id, session_id, seq, start_idx, label, repetition, list_sum(x_ch0) * 0 AS zero, {r(_BUILT_COLUMNS)} FROM built WHERE len(failures) = 0")(
-    lambda s, d: rounded(builds(s, d, lambda smp, config: build.build_windows(smp, config, 1000.0)).select("size", *ID, "start_idx", "label", "repetition", (arrays.total(F.col("x_ch0")) * 0).alias("zero"), *_BUILT_COLUMNS.split(", ")))
+register("build_windows", f"WITH {o.BUILT} SELECT size, subject_id, session_id, seq, start_idx, label, repetition, len(x_ch0) AS width, {r(_BUILT_COLUMNS)} FROM built WHERE len(failures) = 0")(
+    lambda s, d: rounded(builds(s, d, lambda smp, config: build.build_windows(smp, config, 1000.0)).select("size", *ID, "start_idx", "label", "repetition", F.size("x_ch0").cast("long").alias("width"), *_BUILT_COLUMNS.split(", ")))
 )
 register("build_judged", f"WITH {o.BUILT} SELECT size, subject_id, session_id, seq, array_to_string(failures, ',') AS failures FROM built")(
     lambda s, d: builds(s, d, lambda smp, config: build.judged_windows(smp, config, 1000.0)).select("size", *ID, F.array_join("failures", ",").alias("failures"))
