@@ -1,6 +1,6 @@
 """Command line: quality limits from a folder of recordings as Parquet samples.
 
-    python -m pulseframe calibrate FOLDER [--subjects S ...] [--sessions D ...] [--channels ch0 ...] [--rate 2000] [--margin 3]
+    python -m pulseframe calibrate FOLDER [--subjects S ...] [--sessions D ...] [--channels ch0 ...] [--rate 2000] [--settings FILE] [--margin 3]
 
 Samples are resampled and filtered as the gate sees them, and windows of 200 ms every 50 ms are profiled, at most 2,000 a recording, evenly spaced.
 """
@@ -22,6 +22,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     command.add_argument("--sessions", nargs="*")
     command.add_argument("--channels", nargs="+", default=["ch0", "ch1"], help="those that will be gated on")
     command.add_argument("--rate", type=float, default=2000.0, help="samples a second")
+    command.add_argument("--settings", help="JSON file of a configuration: rates, filters, window sizes")
     command.add_argument("--windows", type=int, default=2000, help="most windows a recording")
     command.add_argument("--margin", type=float, default=3.0)
     args = parser.parse_args(argv)
@@ -33,7 +34,8 @@ def main(argv: Sequence[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("pulseframe-calibrate").getOrCreate()
     samples = loaders.loader(args.source, spark, args.folder).load(args.subjects, args.sessions)
-    profile = build.profile_recordings(samples, signals.PreprocessConfig(), args.rate, args.channels, args.windows)
+    config = signals.config_of(signals.read_config(spark, args.settings)) if args.settings else signals.PreprocessConfig()
+    profile = build.profile_recordings(samples, config, args.rate, args.channels, args.windows)
     if profile.isEmpty():
         print("no windows", file=sys.stderr)
         return 1

@@ -126,8 +126,13 @@ def load(samples: DataFrame, subjects: list[str] | None = None, sessions: list[s
     return samples
 
 
+def config_of(settings: dict) -> PreprocessConfig:
+    """A configuration from its settings, as JSON has them (lists for pairs); a setting that there isn't is an error."""
+    return PreprocessConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
+
+
 def read_config(spark: SparkSession, path: str) -> dict:
-    """Quality limits from a JSON file, wherever Spark reads; FileNotFoundError where there is none."""
+    """Settings from a JSON file, wherever Spark reads; FileNotFoundError where there is none."""
     text = read_text(spark, path)
     if text is None:
         raise FileNotFoundError(path)

@@ -143,6 +143,12 @@ def test_the_command_profiles_what_the_gate_sees(spark, tmp_path, capsys):
     want = build.profile_recordings(df, signals.PreprocessConfig(), 1000.0, most=10)
     assert out["thresholds"]["max_rms"] == pytest.approx(qc.thresholds(want).first().max_rms)
     assert command.main(["calibrate", str(tmp_path / "samples"), "--subjects", "none"]) == 1
+    (tmp_path / "settings.json").write_text('{"bandpass_hz": [20, 200], "target_sample_rate": 500, "window_ms": 100}')
+    capsys.readouterr()
+    assert command.main(["calibrate", str(tmp_path / "samples"), "--rate", "1000", "--settings", str(tmp_path / "settings.json")]) == 0
+    assert json.loads(capsys.readouterr().out)["profile"]["n"] == 2 * ((1500 - 50) // 25 + 1)
+    with pytest.raises(TypeError):
+        signals.config_of({"no_such": 1})
 
 
 def test_channels_keep_their_order_beyond_ten():
