@@ -140,3 +140,12 @@ def test_cache_round_trip(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == sorted(build().columns)
     signals.write_events(spark.createDataFrame([(0.5, "state", {"to": "IDLE"})], "timestamp double, kind string, data map<string,string>"), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).first().kind == "state"
+
+
+@pytest.mark.parametrize("name", ["qc_report", "qc_window_failures", "agg_calibrate"])
+def test_quality_computes_its_windows_once(spark, monkeypatch, name):
+    made, windows_of = [], catalog.windows
+    monkeypatch.setattr(catalog, "windows", lambda *a: made.append(a) or windows_of(*a))
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1
+    assert "hashpartitioning" not in plan and "events.parquet" not in plan  # nothing is windowed again, and no window moves to be judged
