@@ -51,11 +51,11 @@ class WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for bit in range(bits - 1, -1, -1):
             on = (now & now.dtype.type(1 << bit)) != 0
-            low = now[~on]
+            low = np.compress(~on, now)  # several times as fast as now[~on]
             planes.append(np.packbits(on, bitorder="little"))
             zeros.append(len(low))
             ranks.append(cls._directory(planes[-1]))
-            now = np.concatenate([low, now[on]])
+            now = np.concatenate([low, np.compress(on, now)])
         return cls(len(values), bits, planes, zeros, ranks)
 
     @staticmethod
@@ -138,7 +138,7 @@ class WaveletMatrix:
             on = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             now[self.zeros[k]:] |= now.dtype.type(1 << self.bits - 1 - k)
             back = np.empty_like(now)
-            back[~on], back[on] = now[: self.zeros[k]], now[self.zeros[k]:]
+            back[np.flatnonzero(~on)], back[np.flatnonzero(on)] = now[: self.zeros[k]], now[self.zeros[k]:]
             now = back
         return now
 

@@ -321,3 +321,18 @@ def test_shards_of_nothing(spark):
     tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), at)
     assert tokens.count_tokens(spark, at, [1]).count() == tokens.find_tokens(spark, at, [1]).count() == 0
     assert [r.token for r in tokens.access_tokens(spark, at, spark.createDataFrame([(0, 0)], "shard long, position long")).collect()] == [None]
+
+
+def test_planes_of_a_matrix_are_those_of_its_definition():
+    import numpy as np
+    from pulseframe.llm.tokens import WaveletMatrix
+
+    rng = np.random.default_rng(3)
+    for bits, n in ((1, 9), (16, 0), (16, 1), (16, 5000), (17, 5000)):
+        values = rng.integers(0, 1 << bits, n)
+        matrix, now = WaveletMatrix.build(values, bits), values.tolist()
+        for k in range(bits):
+            on = [v >> bits - 1 - k & 1 for v in now]
+            assert np.unpackbits(matrix.planes[k], count=n, bitorder="little").tolist() == on and matrix.zeros[k] == on.count(0)
+            now = [v for v, o in zip(now, on) if not o] + [v for v, o in zip(now, on) if o]
+        assert WaveletMatrix.from_bytes(matrix.to_bytes()).values().tolist() == values.tolist()
