@@ -170,10 +170,22 @@ def led(kind: np.ndarray, rank: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return np.where(follows, (rank.view(np.int64) & ~7) | FOLLOWS, np.where(leads, LEADS, kind))
 
 
+def order_by(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order of lexsort by first, then more, then place, for a first key that mostly tells rows apart: only its ties are sorted by all."""
+    order = np.argsort(first)
+    ranked = first[order]
+    same = ranked[1:] == ranked[:-1]
+    tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(same) else []
+    if len(tied):
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((rows, *(c[rows] for c in reversed(more)), ranked[tied]))]
+    return order
+
+
 def own_comparison(rank: np.ndarray, pair: np.ndarray, loc: np.ndarray, doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
     """What a task sends of its rows: of equal (rank, run) those of the least document, the first of equal pairs leading; the other documents' are known to be removed."""
     run = pair >> np.uint64(16)
-    order = np.lexsort((pair, doc, run, rank))
+    order = order_by(rank, run, doc, pair)
     rank, pair, run, loc, doc, row = (c[order] for c in (rank, pair, run, loc, doc, row))
     new_rank = np.concatenate([[True], rank[1:] != rank[:-1]])
     new_run = new_rank | np.concatenate([[True], run[1:] != run[:-1]])

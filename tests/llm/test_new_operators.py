@@ -336,3 +336,13 @@ def test_planes_of_a_matrix_are_those_of_its_definition():
             assert np.unpackbits(matrix.planes[k], count=n, bitorder="little").tolist() == on and matrix.zeros[k] == on.count(0)
             now = [v for v, o in zip(now, on) if not o] + [v for v, o in zip(now, on) if o]
         assert WaveletMatrix.from_bytes(matrix.to_bytes()).values().tolist() == values.tolist()
+
+
+def test_rows_of_equal_ranks_alone_are_sorted_by_all_keys():
+    import numpy as np
+    from pulseframe.llm.repeats import order_by
+
+    rng = np.random.default_rng(4)
+    for n, values in ((0, 3), (1, 3), (2, 1), (4000, 3), (4000, 1500), (4000, 1 << 60)):
+        first, *more = (rng.integers(0, v, n).astype(np.uint64) for v in (values, 3, 4, 2))
+        assert order_by(first, *more).tolist() == np.lexsort((*reversed(more), first)).tolist()
