@@ -10,7 +10,6 @@ access, counting and search need one step a plane.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +33,8 @@ KEPT_WORDS = 500_000
 BLOCK, JOINED = 1 << 23, 2048
 #: A word of Latin letters and the punctuation at its end: byte-level pre-tokenizers cut it between the two and nowhere else.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[!-/:-@\\[-`{-~]*")
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+PLAIN = f"^{LETTERS}[!-/:-@\\[-`{{-~]*$"
 SUPER = 64  # bytes of a plane between two rank counts
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -143,6 +143,15 @@ class WaveletMatrix:
         return now
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of values (starts has one more than they are) in the order which, and their ends."""
+    sizes = starts[which + 1] - starts[which]
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return values[:0], ends
+    return values[np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1])], ends
+
+
 class LibraryEncoder:
     """Token ids of whole texts by the tokenizers library, as packed 32-bit integers.
 
@@ -181,16 +190,22 @@ class LibraryEncoder:
         packed = np.fromiter((i for x in ids for i in x), np.uint32, ends[-1] // 4 if ends else 0).tobytes()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def spaced(self, parts: list[str], fresh: dict[str, bytes]) -> list[bytes]:
-        """Packed ids of a space and each part. fresh gets the plain words that are new."""
-        words = [p.rstrip(PUNCTUATION) if self.usual and PLAIN.fullmatch(p) else "" for p in parts]
-        coded = {w: self.now.get(w) or self.old.get(w) or fresh.get(w) for w in words if w}
-        new = [w for w, x in coded.items() if x is None]
-        made = dict(zip(new, self._joined(new, True)))
-        coded |= made
-        fresh.update((w, x) for w, x in made.items() if len(w) < 60)
-        other = iter(self._joined([p for p, w in zip(parts, words) if not w], False))
-        return [coded[w] + self.endings[p[len(w):]] if w else next(other) for p, w in zip(parts, words)]
+    def spaced(self, parts: list[str], plain: bool) -> list[bytes]:
+        """Packed ids of a space and each part; they are kept for later if the part is short."""
+        out = list(map(self.now.get, parts))
+        unknown = [k for k, x in enumerate(out) if x is None]
+        names = [parts[k] for k in unknown]
+        held = list(map(self.old.get, names))
+        made = iter(self._joined([p for p, x in zip(names, held) if x is None], plain))
+        fresh = {}
+        for k, p, x in zip(unknown, names, held):
+            out[k] = x = next(made) if x is None else x
+            if len(p) < 60:
+                fresh[p] = x
+        if len(self.now) + len(fresh) > self.kept:
+            self.now, self.old = {}, self.now
+        self.now.update(fresh)
+        return out
 
     def _joined(self, parts: list[str], plain: bool) -> list[bytes]:
         """The parts are encoded as one text, in which a part begins where a token begins with a space."""
@@ -211,50 +226,48 @@ class LibraryEncoder:
             out += [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]
         return out
 
-    def pieces(self, parts: list[str]) -> list[bytes | None]:
-        """Packed ids of a space and each part; None where the part isn't separate."""
-        out = list(map(self.now.get, parts))
-        unknown = [k for k, x in enumerate(out) if x is None]
-        fresh = {}
-        for k in unknown:
-            p = parts[k]
-            if (x := self.old.get(p)) is not None:
-                out[k] = fresh[p] = x
-        new = [k for k in unknown if out[k] is None and separate(parts[k])]
-        names = [parts[k] for k in new]
-        coded = self.spaced(names, fresh)
-        for k, x in zip(new, coded):
-            out[k] = x
-        fresh.update((p, x) for p, x in zip(names, coded) if len(p) < 60)
-        if len(self.now) + len(fresh) > self.kept:
-            self.now, self.old = {}, self.now
-        self.now.update(fresh)
-        return out
+    def pieces(self, parts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, starts, missing: the ids of a space and each part that is inside, none for all others, and which of those inside aren't separate."""
+        plain = inside & pc.match_substring_regex(parts, PLAIN).to_numpy(zero_copy_only=False) if self.usual else np.zeros(len(parts), bool)
+        usual = parts.filter(pa.array(plain))
+        words = pc.utf8_rtrim(usual, characters=PUNCTUATION).dictionary_encode()
+        endings = pc.replace_substring_regex(usual, f"^{LETTERS}", "").dictionary_encode()
+        other = np.flatnonzero(inside & ~plain)
+        names = parts.take(pa.array(other)).to_pylist()
+        alone = np.array(list(map(separate, names)), bool)
+        missing = np.zeros(len(parts), bool)
+        missing[other[~alone]] = True
+        other, names = other[alone], [p for p, x in zip(names, alone.tolist()) if x]
+        coded = [b"", *self.spaced(words.dictionary.to_pylist(), True), *(self.endings[e] for e in endings.dictionary.to_pylist()), *self.spaced(names, False)]
+        two = np.zeros((len(parts), 2), np.int64)  # a part is a word and its ending, or one other piece
+        two[plain, 0] = words.indices.to_numpy() + 1
+        two[plain, 1] = endings.indices.to_numpy() + 1 + len(words.dictionary)
+        two[other, 0] = np.arange(len(coded) - len(other), len(coded))
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)])
+        ids, ends = gathered(np.frombuffer(b"".join(coded), np.uint32), starts, two.ravel())
+        return ids, np.concatenate([[0], ends[1::2]]), missing
 
     def block(self, texts: list[str]) -> list[bytes]:
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        at = coded.indices.to_numpy()
+        at, parts = coded.indices.to_numpy(), coded.dictionary
+        heads = ends[:-1]
         first = np.zeros(len(at), bool)
-        first[ends[:-1]] = True
-        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        inside = np.zeros(len(parts), bool)
+        first[heads] = True
+        inside = np.zeros(len(parts), bool)  # parts that stand after a space somewhere
         inside[at[~first]] = True
-        inner = np.flatnonzero(inside).tolist()  # parts that stand after a space somewhere
-        packed: list[bytes | None] = [None] * len(parts)
-        for k, x in zip(inner, self.pieces([parts[k] for k in inner])):
-            packed[k] = x
-        missing = np.array([x is None for x in packed], bool)[at] & ~first
-        odd = np.add.reduceat(missing, ends[:-1], dtype=np.int64) > 0
-        heads = [parts[k] for k in at[ends[:-1]].tolist()]
-        odd |= np.array([not separate(h) for h in heads], bool)
-        at = at.tolist()
-        ahead = self.whole([t if o else h for t, h, o in zip(texts, heads, odd.tolist())])
-        return [
-            x if o else x + b"".join(map(packed.__getitem__, at[a + 1:b]))
-            for x, o, a, b in zip(ahead, odd.tolist(), ends[:-1].tolist(), ends[1:].tolist())
-        ]
+        ids, starts, missing = self.pieces(parts, inside)
+        odd = np.add.reduceat(missing[at] & ~first, heads, dtype=np.int64) > 0
+        head = parts.take(pa.array(at[heads])).to_pylist()
+        odd |= np.array([not separate(h) for h in head], bool)
+        odd = odd.tolist()
+        ahead = self.whole([t if o else h for t, h, o in zip(texts, head, odd)])
+        at = at.astype(np.int64)
+        at[heads] = len(parts)  # no ids: a head has no space ahead
+        rest, to = gathered(ids, np.append(starts, starts[-1]), at)
+        packed, to = rest.tobytes(), np.concatenate([[0], to * 4])
+        return [x if o else x + packed[a:b] for x, o, a, b in zip(ahead, odd, to[heads].tolist(), to[ends[1:]].tolist())]
 
     def packed_all(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, block by block."""

@@ -346,3 +346,22 @@ def test_rows_of_equal_ranks_alone_are_sorted_by_all_keys():
     for n, values in ((0, 3), (1, 3), (2, 1), (4000, 3), (4000, 1500), (4000, 1 << 60)):
         first, *more = (rng.integers(0, v, n).astype(np.uint64) for v in (values, 3, 4, 2))
         assert order_by(first, *more).tolist() == np.lexsort((*reversed(more), first)).tolist()
+
+
+def test_a_word_is_kept_once_whatever_ends_it():
+    """And ids are the library's, for parts that are words, ends of line, not separate, or of other letters."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from pulseframe.llm import bpe, tokens
+
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefgh\u00e9") for _ in range(6)) + str(k).translate(str.maketrans("0123456789", "klmnopqrst")) for k in range(40)]
+    texts = [" ".join(w + end for w in words) for end in ("", ".", ",", "!?", "...", ")")]
+    encoder = tokens.LibraryEncoder(bpe.VOCABULARY)
+    list(encoder.packed_all(texts))
+    assert len(encoder.now) <= len(words)
+    texts += ["", " ", "  ", "a", " a", "a ", "a  b c", "a\n b", "a b\n", "don't (it) x1 \u0416\u0437, \u00fc! <|endoftext|> y", ". . !", "x " * 50]
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    for t, packed in zip(texts, encoder.packed_all(texts), strict=True):
+        assert np.frombuffer(packed, np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
